@@ -31,16 +31,19 @@ def into_blocks(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     )
 
 
-def row_index(df: DataFrame, order: list, name: str = "row_idx") -> DataFrame:
-    """0-based position in a total order; the order columns must be unique per row."""
+def row_index(df: DataFrame, order: list, name: str = "row_idx", total: str | None = None) -> DataFrame:
+    """0-based position in a total order (unique per row); ``total`` also names a row-count column."""
     b = into_blocks(df, [], order)
     sizes = b.groupBy(BLOCK).agg(F.count("*").alias("_n"))
     before = Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)  # one row per block
-    starts = sizes.select(BLOCK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return (
-        b.join(F.broadcast(starts), BLOCK)
-        .withColumn(name, F.col("_start") + F.col(POS))
-        .drop(BLOCK, POS, "_start")
+    starts = sizes.select(
+        BLOCK,
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
+        F.sum("_n").over(Window.partitionBy()).alias("_total"),
+    )
+    extra = [F.col("_total").alias(total)] if total else []
+    return b.join(F.broadcast(starts), BLOCK).select(
+        *df.columns, (F.col("_start") + F.col(POS)).alias(name), *extra
     )
 
 
