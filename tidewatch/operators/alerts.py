@@ -14,6 +14,9 @@ LADDERS = {
     "batch": ([0.21, 0.25, 0.30], ["NOMINAL", "MODERATE", "HIGH", "SEVERE"]),
 }
 
+# Wording of attribution changes.
+DIRECTIONS = ["⇅ FLIPPED", "↑ SHIFTED UP", "↓ SHIFTED DOWN", "⟷ STABLE"]
+
 # Recommendation text by intervention level; {} is the feature list.
 RECOMMENDATIONS = [
     "No action required. The model is performing within expected parameters. Continue routine monitoring.",
@@ -70,7 +73,10 @@ def direction(ref: Column, cur: Column) -> Column:
     change = (F.abs(cur) - F.abs(ref)) / F.greatest(F.abs(ref), F.lit(1e-10))
     flipped = (ref != 0) & (cur != 0) & ((ref > 0) != (cur > 0))
     return (
-        F.when(flipped, "FLIPPED").when(change > 0.20, "SHIFTED UP").when(change < -0.20, "SHIFTED DOWN").otherwise("STABLE")
+        F.when(flipped, DIRECTIONS[0])
+        .when(change > 0.20, DIRECTIONS[1])
+        .when(change < -0.20, DIRECTIONS[2])
+        .otherwise(DIRECTIONS[3])
     )
 
 

@@ -155,27 +155,16 @@ def _psi_term(r: Column, c: Column, n_r: Column, n_c: Column, eps: float, bins:
     return (b - a) * F.log(b / a)
 
 
-def psi(
-    current: DataFrame,
-    profile: DataFrame,
-    keys: list[str],
-    bins: int = 10,
-    variant: str = "detector",
-    threshold: float = 0.2,
-    edges: str = "joint",
-    min_rows: int = 1,
-) -> DataFrame:
-    """Population stability index over equal-width bins, per window and feature.
+def psi_cells(current: DataFrame, profile: DataFrame, keys: list[str], bins: int = 10, edges: str = "joint") -> DataFrame:
+    """Bin counts of both sides per window and feature, as columns ``_r0.. _c0..``.
 
     ``edges='joint'`` spans reference and window (reference counts come from profile lookups at the inner
     edges); ``edges='reference'`` spans the reference only and is mergeable across windows and streams.
-    Constant and empty inputs give 0.
     """
-    eps = PSI_EPSILON[variant]
     ref = F.broadcast(profile_stats(profile))  # one row per feature
-    rows = current.filter(F.col("value").isNotNull())
+    rows = collapse(current, keys)
     span = rows.groupBy(*keys, "feature").agg(
-        F.min("value").alias("_cmin"), F.max("value").alias("_cmax"), F.count("*").alias("n_cur")
+        F.min("value").alias("_cmin"), F.max("value").alias("_cmax"), F.sum("n").alias("n_cur")
     )
     lo = F.least("r_min", "_cmin") if edges == "joint" else F.col("r_min")
     hi = F.greatest("r_max", "_cmax") if edges == "joint" else F.col("r_max")
@@ -189,49 +178,82 @@ def psi(
 
     slot = sum([(F.col("value") >= edge(k)).cast("int") for k in inner], F.lit(0))
     cur = (
-        collapse(current, keys)
-        .join(span.select(*keys, "feature", "_lo", "_hi"), [*keys, "feature"])
+        rows.join(span.select(*keys, "feature", "_lo", "_hi"), [*keys, "feature"])
         .select(*keys, "feature", "n", slot.alias("_bin"))
         .groupBy(*keys, "feature")
         .agg(*[F.sum(F.when(F.col("_bin") == k, F.col("n")).otherwise(0)).alias(f"_c{k}") for k in range(bins)])
     )
-    wanted = span.select(
-        *keys, "feature", F.posexplode(F.array(*[edge(k) for k in inner])).alias("_k", "_edge")
-    )
+    wanted = span.select(*keys, "feature", F.posexplode(F.array(*[edge(k) for k in inner])).alias("_k", "_edge"))
     below = asof_lookup(wanted, profile, ["feature"], "_edge", "r_value", ["r_value", "r_n", "r_le"], ["_k", *keys])
     under = F.coalesce(
         F.col("r_le") - F.when(F.col("r_value") == F.col("_edge"), F.col("r_n")).otherwise(0), F.lit(0)
     )
     cum = below.groupBy(*keys, "feature").agg(
-        *[F.max(F.when(F.col("_k") == k - 1, under)).alias(f"_r{k}") for k in inner]
+        *[F.max(F.when(F.col("_k") == k - 1, under)).alias(f"_u{k}") for k in inner]
     )
+
+    def ref_count(k):
+        upper = F.col(f"_u{k + 1}") if k + 1 < bins else F.col("n_ref")
+        return (upper - (F.col(f"_u{k}") if k > 0 else F.lit(0))).alias(f"_r{k}")
+
     both = span.join(cur, [*keys, "feature"]).join(cum, [*keys, "feature"])
-    total = F.lit(0.0)
-    for k in range(bins):
-        upper = F.col(f"_r{k + 1}") if k + 1 < bins else F.col("n_ref")
-        lower = F.col(f"_r{k}") if k > 0 else F.lit(0)
-        total = total + _psi_term(upper - lower, F.col(f"_c{k}"), F.col("n_ref"), F.col("n_cur"), eps, bins, variant)
-    if variant == "index":
-        total = F.greatest(total, F.lit(0.0))
     grid = window_feature_grid(current, keys).drop("c_n")
-    scored = both.select(
+    return grid.join(both, [*keys, "feature"], "left").select(
         *keys,
         "feature",
-        "n_ref",
-        "n_cur",
-        F.when(F.col("_hi") - F.col("_lo") > 0, total).otherwise(0.0).alias("psi"),
-        F.when(F.col("_hi") - F.col("_lo") > 0, "ok").otherwise("constant").alias("status"),
+        F.coalesce("n_ref", F.lit(0)).alias("n_ref"),
+        F.coalesce("n_cur", F.lit(0)).alias("n_cur"),
+        (F.col("_hi") - F.col("_lo") > 0).alias("_spread"),
+        *[ref_count(k) for k in range(bins)],
+        *[f"_c{k}" for k in range(bins)],
     )
-    out = grid.join(scored, [*keys, "feature"], "left")
+
+
+def psi_score(
+    cells: DataFrame, keys: list[str], bins: int = 10, variant: str = "detector", threshold: float = 0.2, min_rows: int = 1
+) -> DataFrame:
+    """Population stability index from bin counts. Constant and empty inputs give 0.
+
+    ``detector`` and ``index`` renormalise the smoothed shares, ``additive`` does not.
+    """
+    eps = PSI_EPSILON[variant]
+    total = F.lit(0.0)
+    for k in range(bins):
+        total = total + _psi_term(
+            F.col(f"_r{k}"), F.col(f"_c{k}"), F.col("n_ref"), F.col("n_cur"), eps, bins, variant
+        )
+    if variant == "index":
+        total = F.greatest(total, F.lit(0.0))
     enough = (F.col("n_ref") >= min_rows) & (F.col("n_cur") >= min_rows)
-    return out.select(
+    spread = F.coalesce("_spread", F.lit(False))
+    return cells.select(
         *keys,
         "feature",
-        F.coalesce(F.when(enough, F.col("psi")), F.lit(0.0)).alias("psi"),
-        F.coalesce(F.when(enough, F.col("status")), F.lit("empty")).alias("status"),
+        F.when(enough & spread, total).otherwise(0.0).alias("psi"),
+        F.when(~enough, "empty").when(~spread, "constant").otherwise("ok").alias("status"),
     ).withColumn("flagged", F.col("psi") > threshold)
 
 
+def psi_both(cells: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
+    """The detector variant (``psi``, ``flagged``) next to the index variant (``psi_index``)."""
+    index = psi_score(cells, keys, bins, "index").select(*keys, "feature", F.col("psi").alias("psi_index"))
+    return psi_score(cells, keys, bins).join(index, [*keys, "feature"])
+
+
+def psi(
+    current: DataFrame,
+    profile: DataFrame,
+    keys: list[str],
+    bins: int = 10,
+    variant: str = "detector",
+    threshold: float = 0.2,
+    edges: str = "joint",
+    min_rows: int = 1,
+) -> DataFrame:
+    """Population stability index over equal-width bins, per window and feature."""
+    return psi_score(psi_cells(current, profile, keys, bins, edges), keys, bins, variant, threshold, min_rows)
+
+
 def psi_status(score: Column) -> Column:
     """Report wording of a stability index."""
     return F.when(score > 0.25, "major").when(score > 0.1, "moderate").otherwise("stable")

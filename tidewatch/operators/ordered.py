@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from tidewatch.functions.columns import to_col
 from tidewatch.functions.runtime import materialize
 
-BLOCK = "_block"
-POS = "_pos"
+BLOCK = "_blk_no"
+POS = "_blk_row"
 
 
 def into_blocks(df: DataFrame, keys: list[str], order: list) -> DataFrame:

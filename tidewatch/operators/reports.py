@@ -83,7 +83,13 @@ def describe(df: DataFrame, cols: list[str], keys: list[str] = ()) -> DataFrame:
 def score_corr(results: DataFrame, cols: list[str], keys: list[str] = ()) -> DataFrame:
     """Pearson correlation of every pair of scores, long, from one aggregate."""
     pairs = [(a, b) for a in cols for b in cols]
-    wide = results.groupBy(*keys).agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    wide = results.groupBy(*keys).agg(
+        *[
+            # NULL for a constant score, where the built-in corr divides by zero under ANSI mode
+            F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias(f"{a}|{b}")
+            for a, b in pairs
+        ]
+    )
     cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("corr")) for a, b in pairs])
     return wide.select(*keys, F.inline(cells))
 
