@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.runtime import materialize, stage
+from tidewatch.functions.runtime import materialize, scratch_dir, stage
+from tidewatch.operators import adversarial as AD
+from tidewatch.operators import adwin as AW
 from tidewatch.operators import alerts as AL
 from tidewatch.operators import attribution as A
 from tidewatch.operators import cleaning as C
@@ -15,13 +19,21 @@ from tidewatch.operators import divergence as D
 from tidewatch.operators import drift_index as I
 from tidewatch.operators import evaluation as E
 from tidewatch.operators import fairness as FR
+from tidewatch.operators import impute as IM
+from tidewatch.operators import modeling as ML
 from tidewatch.operators import quality as Q
 from tidewatch.operators import reports as R
+from tidewatch.operators import tree_attribution as TA
 from tidewatch.operators import windows as W
 from tidewatch.plans import model as M
 from tidewatch.plans import monitor
 from tidewatch.plans import oracles as O
 from tidewatch.plans import tables as T
+from tidewatch.sources import bundles as B
+from tidewatch.streaming import monitor as SM
+from tidewatch.streaming import stateful as SS
+from tidewatch.streaming import windows as SW
+from tidewatch.streaming.runner import file_stream, run_to_table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -1140,3 +1152,213 @@ def phase_histogram(s, sf):
 @query("scatter_data", "SELECT window_num, true_phase, D_total, est_auprc, risk_score, dpd, eod FROM results")
 def scatter_data(s, sf):
     return results(s, sf).select("window_num", "true_phase", "D_total", "est_auprc", "risk_score", "dpd", "eod")
+
+
+# ---- models, imputation, domain classifiers ---------------------------------------------------------
+
+
+@query(
+    "stratified_split",
+    f"""SELECT row_idx, y, CASE WHEN rn <= floor(n * {O.lit(0.2)}) THEN 'val' ELSE 'train' END AS split FROM (
+    SELECT row_idx, y, row_number() OVER (PARTITION BY y ORDER BY {O.mixed('row_idx', 42)}, row_idx) AS rn,
+      count(*) OVER (PARTITION BY y) AS n FROM ref)""",
+)
+def stratified_split(s, sf):
+    return ML.stratified_split(T.reference_rows(s, sf), "y", "row_idx").select("row_idx", "y", "split")
+
+
+def split_rows(s, sf) -> DataFrame:
+    return stage(s, ("split", sf), lambda: ML.stratified_split(T.reference_rows(s, sf), "y", "row_idx"))
+
+
+def gbt_model(s, sf, trees: int = 10):
+    key = (s.sparkContext.applicationId, sf, trees)
+    if key not in _MODELS:
+        _MODELS[key] = ML.train_gbt(split_rows(s, sf), FEATS, "y", trees=trees, depth=4)
+    return _MODELS[key]
+
+
+_MODELS: dict = {}
+
+
+def _quality(scored: DataFrame, model: str) -> DataFrame:
+    rounded = scored.withColumn("p", F.round("p", 9))
+    return Q.evaluate_model(rounded, ["split"], "p", "y").withColumn("model", F.lit(model))
+
+
+@query("train_gbt")
+def train_gbt(s, sf):
+    rows = split_rows(s, sf)
+    return _quality(ML.score(gbt_model(s, sf), rows, FEATS, ["split", "y"]), "gbt")
+
+
+@query("train_lr")
+def train_lr(s, sf):
+    rows = split_rows(s, sf)
+    model = ML.train_lr(rows.filter("split = 'train'"), FEATS, "y", 100)
+    return _quality(ML.score(model, rows, FEATS, ["split", "y"]), "logistic_regression")
+
+
+@query("calibrate")
+def calibrate(s, sf):
+    rows = split_rows(s, sf)
+    scored = ML.score(gbt_model(s, sf), rows, FEATS, ["split", "y"])
+    val = scored.filter("split = 'val'")
+    parts = [
+        _quality(scored.withColumn("p", ML.calibrate(val, "y", m)(F.col("margin"))), f"gbt_{m}")
+        for m in ("sigmoid", "isotonic")
+    ]
+    return R.union_all(parts)
+
+
+def _knn_sql() -> str:
+    seen = [f"(r.{f} IS NOT NULL AND d.{f} IS NOT NULL)::INTEGER" for f in FEATS]
+    sq = " + ".join(f"coalesce(pow(r.{f} - d.{f}, 2), 0)" for f in FEATS)
+    return f"""SELECT entity_id, round(avg(v), 4) AS qty_std FROM (
+      SELECT r.entity_id, d.qty_std AS v, row_number() OVER (PARTITION BY r.entity_id ORDER BY
+         round(sqrt(({sq}) * {len(FEATS)} / ({' + '.join(seen)})), 9), d.row_idx) AS rk
+      FROM cohort r JOIN cohort d ON d.phase = 'phase1' AND d.qty_std IS NOT NULL AND r.entity_id <> d.entity_id
+      WHERE r.qty_std IS NULL) WHERE rk <= 5 GROUP BY 1"""
+
+
+@query("knn_impute", _knn_sql())
+def knn_impute(s, sf):
+    c = T.cohort(s, sf).select("row_idx", "entity_id", "phase", *FEATS)
+    gaps = c.filter("qty_std is null").select("row_idx", "entity_id")
+    filled = IM.knn_impute(c, c.filter("phase = 'phase1'"), "row_idx", FEATS)
+    return r6(filled.join(gaps, ["row_idx", "entity_id"], "left_semi").select("entity_id", "qty_std"), "qty_std", digits=4)
+
+
+def held_out(s, sf) -> DataFrame:
+    return split_rows(s, sf).filter("split = 'val'")
+
+
+@query("adversarial")
+def adversarial(s, sf):
+    out = AD.adversarial_scores(held_out(s, sf), T.window_rows(s, sf), "window_id", "row_idx", FEATS, 3)
+    return r6(out, "adv_score")
+
+
+@query("adversarial_importance")
+def adversarial_importance(s, sf):
+    out = AD.adversarial_importance(held_out(s, sf), T.window_rows(s, sf), "window_id", "row_idx", FEATS)
+    return r6(out, "importance")
+
+
+@query("tree_attributions")
+def tree_attributions(s, sf):
+    model = gbt_model(s, sf).stages[-1]
+    leaves = TA.leaf_paths(model, s, f"{scratch_dir(s)}/tidewatch-{s.sparkContext.applicationId}")
+    rows = ML.clean_features(T.scored_stream(s, sf), FEATS)
+    counts = TA.background_masks(held_out(s, sf), FEATS, leaves)  # at most leaves times 2^depth rows
+    tables = TA.contribution_table(leaves, [(r["leaf"], r["mask"], r["n"]) for r in counts.collect()])
+    phi = TA.tree_attributions(rows, ["row_idx", "phase"], FEATS, leaves, tables)
+    return A.fingerprint(phi, ["phase"])
+
+
+@query("adwin")
+def adwin(s, sf):
+    flags = AW.adwin(T.readings(s, sf), ["user_id"], ["hour"], "value")
+    return flags.groupBy("user_id").agg(
+        F.count("*").alias("n"),
+        F.count_if("drift").alias("n_drift"),
+        F.max_by("window_size", "run").alias("window_size"),
+    )
+
+
+# ---- streams ----------------------------------------------------------------------------------------
+
+
+def event_stream(s, sf) -> DataFrame:
+    return file_stream(s, sf, T.table(s, sf, "events").schema, glob="events.parquet")
+
+
+_EV_BIN = " + ".join(f"(value >= lo + {O.lit(k)} * ((hi - lo) / {O.lit(10)}))::INTEGER" for k in range(1, 10))
+
+
+@query(
+    "stream_profile",
+    f"""SELECT strftime(day, '%Y-%m-%d') AS day, bin::INTEGER AS bin, count(*) AS n, round(sum(value), 4) AS total FROM (
+      SELECT date_trunc('day', ts) AS day, value, {_EV_BIN} AS bin, (SELECT max(ts) FROM events) AS top FROM events
+      CROSS JOIN (SELECT min(value) AS lo, max(value) AS hi FROM events WHERE ts < TIMESTAMP '2024-01-11'))
+    WHERE day + INTERVAL 1 DAY <= top - INTERVAL 1 DAY GROUP BY ALL""",
+)
+def stream_profile(s, sf):
+    ref = T.table(s, sf, "events").filter("ts < timestamp_ntz'2024-01-11'").select(F.lit("value").alias("feature"), "value")
+    edges = SW.reference_edges(ref)
+    out = run_to_table(SW.stream_profile(event_stream(s, sf), "ts", ["value"], edges, "1 day", delay="1 day"), "profile")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "bin", "n", F.round("total", 4).alias("total"))
+
+
+@query(
+    "stream_sessions",
+    """SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n_rows, round(avg(value), 6) AS value_mean,
+    min(value) AS value_min, max(value) AS value_max FROM (
+      SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM (
+        SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh,
+          max(ts) OVER () AS top FROM events)) GROUP BY user_id, sid
+    HAVING max(ts) + INTERVAL 6 HOUR <= any_value(top) - INTERVAL 1 DAY""",
+)
+def stream_sessions(s, sf):
+    out = run_to_table(SW.stream_sessions(event_stream(s, sf), "ts", "user_id", ["value"], "6 hours", "1 day"), "sessions")
+    start = F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start")
+    return r6(out.select("user_id", start, "n_rows", "value_mean", "value_min", "value_max"), "value_mean")
+
+
+@query(
+    "stream_count_windows",
+    """SELECT user_id, (rn - 1) // 20 AS window_no, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events) GROUP BY 1, 2 HAVING count(*) = 20""",
+)
+def stream_count_windows(s, sf):
+    out = run_to_table(SS.stream_count_windows(event_stream(s, sf), "user_id", "ts", "value", 20), "counts")
+    return r6(out, "mean")
+
+
+@query("stream_adwin")
+def stream_adwin(s, sf):
+    return run_to_table(SS.stream_adwin(event_stream(s, sf), "user_id", "ts", "value"), "cuts")
+
+
+@query(
+    "stream_monitor",
+    "SELECT 0::BIGINT AS batch_id, round(avg(psi), 6) AS mean_psi, count(*) AS n_features, round(max(statistic), 6) AS max_ks FROM ("
+    + O.psi("mon_bins", "k", "detector")
+    + ") JOIN ("
+    + O.ks("mon_ecdf", "k")
+    + ") USING (k, feature)",
+)
+def stream_monitor(s, sf):
+    """Micro-batches of the later phases against the phase 1 profile of the same stage table."""
+    prof, base = profile(s, sf), f"{scratch_dir(s)}/tidewatch-{s.sparkContext.applicationId}/mon-{uuid.uuid4().hex}"
+    T.scored_stream(s, sf).filter("phase <> 'phase1'").select(*FEATS).coalesce(1).write.parquet(f"{base}/in")
+
+    def record(batch):
+        feats = T.to_long(batch, ["batch_id"], FEATS)
+        ks = D.ks_test(feats, prof, ["batch_id"]).select("batch_id", "feature", "statistic")
+        both = D.psi(feats, prof, ["batch_id"]).join(ks, ["batch_id", "feature"])
+        return both.groupBy("batch_id").agg(
+            F.round(F.avg("psi"), 6).alias("mean_psi"),
+            F.count("*").alias("n_features"),
+            F.round(F.max("statistic"), 6).alias("max_ks"),
+        )
+
+    stream = file_stream(s, f"{base}/in", T.scored_stream(s, sf).select(*FEATS).schema)
+    SM.stream_monitor(stream, record, f"{base}/out", f"{base}/checkpoint", "monitor").awaitTermination()
+    return s.read.parquet(f"{base}/out").select(F.col("batch_id").cast("long").alias("batch_id"), "mean_psi", "n_features", "max_ks")
+
+
+@query(
+    "run_bundle",
+    """SELECT 'run_a' AS run_id, true_phase, count(*) AS windows, round(avg(D_total), 6) AS mean_d, sum(len(top_sadi_features))::BIGINT AS listed
+    FROM results GROUP BY 2""",
+)
+def run_bundle(s, sf):
+    base = f"{scratch_dir(s)}/tidewatch-{s.sparkContext.applicationId}/runs-{uuid.uuid4().hex}"
+    B.write_results(results(s, sf), base, "run_a")
+    back = B.load_bundle(s, base)["results"]
+    return back.groupBy("run_id", "true_phase").agg(
+        F.count("*").alias("windows"),
+        F.round(F.avg("D_total"), 6).alias("mean_d"),
+        F.sum(F.size("top_sadi_features")).alias("listed"),
+    )

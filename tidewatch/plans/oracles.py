@@ -189,6 +189,9 @@ def w1(src: str, key: str) -> str:
 
 CTE["win_ecdf"] = ecdf("win_long", "window_id")
 CTE["batch_ecdf"] = ecdf("batch_long", "batch_id")
+CTE["mon_long"] = "SELECT 0 AS k, feature, value FROM batch_long WHERE feature <> 'p'"
+CTE["mon_ecdf"] = ecdf("mon_long", "k")
+CTE["mon_bins"] = psi_counts("mon_long", "k")
 CTE["ks_all"] = ks("win_ecdf", "window_id")
 CTE["ks"] = "SELECT * FROM ks_all WHERE feature <> 'p'"
 CTE["batch_ks"] = "SELECT * FROM (" + ks("batch_ecdf", "batch_id") + ") WHERE feature <> 'p'"
