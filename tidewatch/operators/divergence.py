@@ -8,8 +8,11 @@ scan, so cost is linear in the rows of both sides. NULL values are dropped per f
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from tidewatch.functions.columns import kolmogorov_p
 from tidewatch.operators.ordered import asof_lookup, running_totals
@@ -334,24 +337,46 @@ KL_EPS = 1e-10
 KL_MIN_SAMPLES = 5
 
 
-def _binned(df: DataFrame, keys: list[str], bins: int | None) -> DataFrame:
-    """(keys, feature, _x, _w): kernel centres and weights; ``bins=None`` keeps every distinct value."""
-    if bins is None:
-        return df.groupBy(*keys, "feature", F.col("value").alias("_x")).agg(F.count("*").alias("_w"))
-    width = (F.col("_rhi") - F.col("_rlo")) / F.lit(float(bins))
-    slot = F.floor((F.col("value") - F.col("_rlo")) / width)
-    centre = F.when(width > 0, F.col("_rlo") + (slot + F.lit(0.5)) * width).otherwise(F.col("value"))
-    return df.groupBy(*keys, "feature", centre.alias("_x")).agg(F.count("*").alias("_w"))
-
-
-def kl_kde(
-    current: DataFrame, reference: DataFrame, keys: list[str], points: int = 100, bins: int | None = 512
-) -> DataFrame:
+@pandas_udf("double")
+def _kernel_kl(
+    g0: pd.Series, gw: pd.Series, points: pd.Series, rh: pd.Series, rn: pd.Series, ch: pd.Series, cn: pd.Series,
+    rx: pd.Series, rw: pd.Series, cx: pd.Series, cw: pd.Series,
+) -> pd.Series:
+    """KL of two kernel densities on a grid; each row carries at most ``bins`` weighted centres per side."""
+
+    def density(grid, x, w, h, n):
+        z = (grid[:, None] - np.asarray(x)[None, :]) / h
+        d = np.exp(-0.5 * z * z) @ np.asarray(w, float) / (n * h * np.sqrt(2.0 * np.pi))
+        d = np.maximum(d, KL_EPS)
+        return d / d.sum()
+
+    out = np.empty(len(g0))
+    for i in range(len(g0)):
+        k = int(points.iloc[i])
+        grid = g0.iloc[i] + np.arange(k) * gw.iloc[i] / (k - 1)
+        p = density(grid, rx.iloc[i], rw.iloc[i], rh.iloc[i], rn.iloc[i])
+        q = density(grid, cx.iloc[i], cw.iloc[i], ch.iloc[i], cn.iloc[i])
+        out[i] = max(float(np.sum(p * np.log(p / q))), 0.0)
+    return pd.Series(out)
+
+
+def _cells(df: DataFrame, keys: list[str], lo: str, hi: str, bins: int, x: str, w: str) -> DataFrame:
+    """Weighted bin centres over [lo, hi] as two arrays: at most ``bins`` entries whatever the row count."""
+    width = (F.col(hi) - F.col(lo)) / F.lit(float(bins))
+    slot = F.least(F.floor((F.col("value") - F.col(lo)) / width), F.lit(bins - 1))
+    centre = F.when(width > 0, F.col(lo) + (slot + F.lit(0.5)) * width).otherwise(F.col("value"))
+    counts = df.groupBy(*keys, "feature", centre.alias("_x")).agg(F.count("*").alias("_w"))
+    both = counts.groupBy(*keys, "feature").agg(F.sort_array(F.collect_list(F.struct("_x", "_w"))).alias("_b"))
+    return both.select(*keys, "feature", F.col("_b._x").alias(x), F.col("_b._w").alias(w))
+
+
+def kl_kde(current: DataFrame, reference: DataFrame, keys: list[str], points: int = 100, bins: int = 512) -> DataFrame:
     """KL(reference || window) of Gaussian kernel densities on a shared grid, per window and feature.
 
-    Bandwidth by Scott's rule from the exact moments. Kernel sums run over ``bins`` cells of the reference
-    range, which bounds the work per window whatever the size of the reference; ``bins=None`` sums over
-    every distinct value. Fewer than 5 samples give 0; constant inputs give 0, 5 or 10.
+    Bandwidth by Scott's rule from the exact moments. Kernel sums run over ``bins`` cells per side (of the
+    reference range for the reference, of the joint range for the window), which bounds both the work and
+    the row size per window whatever the number of rows. Fewer than 5 samples give 0; constant inputs give
+    0, 5 or 10.
     """
     ref_rows = reference.filter(F.col("value").isNotNull()).select("feature", "value")
     cur_rows = current.filter(F.col("value").isNotNull()).select(*keys, "feature", "value")
@@ -367,9 +392,9 @@ def kl_kde(
     rs = ref_rows.groupBy("feature").agg(*moments).withColumnsRenamed({c: f"_r{c}" for c in names})
     cs = cur_rows.groupBy(*keys, "feature").agg(*moments).withColumnsRenamed({c: f"_c{c}" for c in names})
     rs = F.broadcast(rs)  # one row per feature
-    stats = cs.join(rs, "feature")
     lo, hi = F.least("_rlo", "_clo"), F.greatest("_rhi", "_chi")
-    margin = F.lit(0.1) * (hi - lo + F.lit(KL_EPS))
+    stats = cs.join(rs, "feature").withColumn("_lo", lo).withColumn("_hi", hi)
+    margin = F.lit(0.1) * (F.col("_hi") - F.col("_lo") + F.lit(KL_EPS))
     flat_r, flat_c = F.col("_rsp") < KL_EPS, F.col("_csp") < KL_EPS
     guard = (
         F.when((F.col("_rn") < KL_MIN_SAMPLES) | (F.col("_cn") < KL_MIN_SAMPLES), 0.0)
@@ -377,54 +402,32 @@ def kl_kde(
         .when(flat_r & flat_c, 10.0)
         .when(flat_r | flat_c, 5.0)
     )
-    stats = stats.select(
-        *keys,
-        "feature",
-        "_rlo",
-        "_rhi",
-        guard.alias("_guard"),
-        (lo - margin).alias("_g0"),
-        ((hi + margin) - (lo - margin)).alias("_gw"),
-        (F.col("_rsd") * F.pow(F.col("_rn").cast("double"), F.lit(-0.2))).alias("_rh"),
-        (F.col("_csd") * F.pow(F.col("_cn").cast("double"), F.lit(-0.2))).alias("_ch"),
-        F.col("_rn").cast("double").alias("_rn"),
-        F.col("_cn").cast("double").alias("_cn"),
+    ref_cells = F.broadcast(  # one row of at most bins entries per feature
+        _cells(ref_rows.join(rs.select("feature", "_rlo", "_rhi"), "feature"), [], "_rlo", "_rhi", bins, "_rx", "_rw")
     )
-    free = stats.filter("_guard is null")
-    grid_at = F.col("_g0") + F.col("_k") * F.col("_gw") / F.lit(float(points - 1))
-
-    def density(cells: DataFrame, on: list[str], h: str, n: str, name: str) -> DataFrame:
-        z = (grid_at - F.col("_x")) / F.col(h)
-        kernel = F.col("_w") * F.exp(F.lit(-0.5) * z * z)
-        params = free.select(*keys, "feature", "_g0", "_gw", h, n)
-        grid = cells.join(params, on).select(
-            "*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("_k")
-        )
-        return grid.groupBy(*keys, "feature", "_k").agg(
-            F.greatest(
-                F.sum(kernel) / (F.first(n) * F.first(h) * F.lit(2.5066282746310002)), F.lit(KL_EPS)
-            ).alias(name)
-        )
-
-    ref_span = rs.select("feature", "_rlo", "_rhi")
-    ref_cells = _binned(ref_rows.join(ref_span, "feature"), [], bins)
-    if bins is not None:
-        ref_cells = F.broadcast(ref_cells)  # at most bins + 1 rows per feature
-    cur_cells = _binned(cur_rows.join(ref_span, "feature"), keys, bins)
-    p = density(ref_cells, ["feature"], "_rh", "_rn", "_p")
-    q = density(cur_cells, [*keys, "feature"], "_ch", "_cn", "_q")
-    pq = p.join(q, [*keys, "feature", "_k"])
-    sums = pq.groupBy(*keys, "feature").agg(
-        F.sum("_p").alias("_sp"), F.sum("_q").alias("_sq"), F.sum(F.col("_p") * F.log(F.col("_p") / F.col("_q"))).alias("_s")
+    spans = stats.select(*keys, "feature", "_lo", "_hi")
+    cur_cells = _cells(cur_rows.join(spans, [*keys, "feature"]), keys, "_lo", "_hi", bins, "_cx", "_cw")
+    # few rows with much arithmetic each: spread them over all tasks
+    tasks = int(current.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ready = stats.join(cur_cells, [*keys, "feature"]).repartition(tasks, *keys, "feature").join(ref_cells, "feature")
+    kernel = _kernel_kl(
+        F.col("_lo") - margin,
+        (F.col("_hi") + margin) - (F.col("_lo") - margin),
+        F.lit(points),
+        F.col("_rsd") * F.pow(F.col("_rn").cast("double"), F.lit(-0.2)),
+        F.col("_rn").cast("double"),
+        F.col("_csd") * F.pow(F.col("_cn").cast("double"), F.lit(-0.2)),
+        F.col("_cn").cast("double"),
+        "_rx",
+        "_rw",
+        "_cx",
+        "_cw",
     )
-    # sum of p/P log((p/P)/(q/Q)) = s/P + log(Q/P)
-    value = F.greatest(F.col("_s") / F.col("_sp") + F.log(F.col("_sq") / F.col("_sp")), F.lit(0.0))
-    scored = sums.select(*keys, "feature", value.alias("_kl"))
+    free = ready.filter(guard.isNull()).select(*keys, "feature", kernel.alias("kl"))
+    fixed = stats.filter(guard.isNotNull()).select(*keys, "feature", guard.alias("kl"))
     grid = window_feature_grid(current, keys).drop("c_n")
-    return (
-        grid.join(stats.select(*keys, "feature", "_guard"), [*keys, "feature"], "left")
-        .join(scored, [*keys, "feature"], "left")
-        .select(*keys, "feature", F.coalesce("_guard", "_kl", F.lit(0.0)).alias("kl"))
+    return grid.join(free.unionByName(fixed), [*keys, "feature"], "left").select(
+        *keys, "feature", F.coalesce("kl", F.lit(0.0)).alias("kl")
     )
 
 
