@@ -7,11 +7,13 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Multiplier, increment and modulus of the 31-bit congruential hash, and a salt stride.
-LCG_MULTIPLIER = 1103515245
-LCG_INCREMENT = 12345
-LCG_SALT_STRIDE = 2654435761
-LCG_MODULUS = 2147483648
+# Fixed values of the keyed 31-bit hash: multipliers, increment, salt stride, modulus, fold and shifts.
+HASH_MULTIPLIERS = [1103515245, 1274126177]
+HASH_INCREMENT = 12345
+HASH_SALT_STRIDE = 2654435761
+HASH_MODULUS = 2147483648
+HASH_FOLD = 40503
+HASH_SHIFTS = [15, 13]
 
 
 def to_col(c) -> Column:
@@ -39,20 +41,23 @@ def sanitized(c: Column) -> Column:
 
 
 def hash_bits(key: Column, salt: int = 0) -> Column:
-    """31-bit congruential hash of an integer key: equal on every engine, stable under repartitioning."""
-    k = F.pmod(key.cast("long"), F.lit(LCG_MODULUS))
-    return F.pmod(k * LCG_MULTIPLIER + F.lit(LCG_INCREMENT + salt * LCG_SALT_STRIDE), F.lit(LCG_MODULUS))
-
-
-def mixed_bits(key: Column, salt: int = 0) -> Column:
-    """Two hash rounds with a shift in between; breaks the lattice of consecutive keys."""
-    h = hash_bits(key, salt)
-    return hash_bits(h + F.floor(h / F.lit(65536.0)).cast("long") * 31, salt + 1)
+    """31-bit multiply and xor-shift hash of an integer key: equal on every engine, stable under repartitioning."""
+    low = F.lit(HASH_MODULUS - 1)
+    k = key.cast("long")
+    folded = k.bitwiseAND(low) + F.shiftright(k, 31).bitwiseAND(low) * HASH_FOLD
+    x = (folded.bitwiseAND(low) * HASH_MULTIPLIERS[0] + F.lit(HASH_INCREMENT + salt * HASH_SALT_STRIDE)).bitwiseAND(low)
+    x = (x.bitwiseXOR(F.shiftright(x, HASH_SHIFTS[0])) * HASH_MULTIPLIERS[1]).bitwiseAND(low)
+    return x.bitwiseXOR(F.shiftright(x, HASH_SHIFTS[1]))
 
 
 def hash_uniform(key: Column, salt: int = 0) -> Column:
     """Deterministic uniform in (0, 1]."""
-    return (mixed_bits(key, salt) + 1) / F.lit(float(LCG_MODULUS))
+    return (hash_bits(key, salt) + 1) / F.lit(float(HASH_MODULUS))
+
+
+def hash_pick(key: Column, n: Column, salt: int = 0) -> Column:
+    """Deterministic index in [0, n), from the high bits of the hash."""
+    return F.floor(hash_bits(key, salt) / F.lit(float(HASH_MODULUS)) * n)
 
 
 def hash_normal(key: Column, salt: int = 0) -> Column:

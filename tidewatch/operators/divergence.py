@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from tidewatch.functions.columns import kolmogorov_p
 from tidewatch.operators.ordered import asof_lookup, running_totals
@@ -337,7 +338,6 @@ KL_EPS = 1e-10
 KL_MIN_SAMPLES = 5
 
 
-@pandas_udf("double")
 def _kernel_kl(
     g0: pd.Series, gw: pd.Series, points: pd.Series, rh: pd.Series, rn: pd.Series, ch: pd.Series, cn: pd.Series,
     rx: pd.Series, rw: pd.Series, cx: pd.Series, cw: pd.Series,
@@ -410,7 +410,7 @@ def kl_kde(current: DataFrame, reference: DataFrame, keys: list[str], points: in
     # few rows with much arithmetic each: spread them over all tasks
     tasks = int(current.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ready = stats.join(cur_cells, [*keys, "feature"]).repartition(tasks, *keys, "feature").join(ref_cells, "feature")
-    kernel = _kernel_kl(
+    kernel = pandas_udf(_kernel_kl, DoubleType())(
         F.col("_lo") - margin,
         (F.col("_hi") + margin) - (F.col("_lo") - margin),
         F.lit(points),

@@ -10,14 +10,14 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.columns import mixed_bits, sanitized
+from tidewatch.functions.columns import hash_bits, sanitized
 from tidewatch.operators.cohort import require_positives
 from tidewatch.operators.ordered import grouped_index
 
 
 def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.2, seed: int = 42) -> DataFrame:
     """Add ``split`` (train / val): exactly the share of each class, chosen by a keyed hash."""
-    hashed = df.withColumn("_h", mixed_bits(F.col(key), seed))
+    hashed = df.withColumn("_h", hash_bits(F.col(key), seed))
     ranked = grouped_index(hashed, [label], ["_h", key], "_rn", totals=True)
     val = F.col("_rn") <= F.floor(F.col("_rn_total") * F.lit(float(share)))
     return ranked.withColumn("split", F.when(val, "val").otherwise("train")).drop("_h", "_rn", "_rn_total")

@@ -1160,7 +1160,7 @@ def scatter_data(s, sf):
 @query(
     "stratified_split",
     f"""SELECT row_idx, y, CASE WHEN rn <= floor(n * {O.lit(0.2)}) THEN 'val' ELSE 'train' END AS split FROM (
-    SELECT row_idx, y, row_number() OVER (PARTITION BY y ORDER BY {O.mixed('row_idx', 42)}, row_idx) AS rn,
+    SELECT row_idx, y, row_number() OVER (PARTITION BY y ORDER BY {O.bits('row_idx', 42)}, row_idx) AS rn,
       count(*) OVER (PARTITION BY y) AS n FROM ref)""",
 )
 def stratified_split(s, sf):

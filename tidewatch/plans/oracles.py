@@ -7,14 +7,8 @@ from __future__ import annotations
 
 import re
 
-from tidewatch.functions.columns import (
-    ERF_A,
-    ERF_P,
-    LCG_INCREMENT,
-    LCG_MODULUS,
-    LCG_MULTIPLIER,
-    LCG_SALT_STRIDE,
-)
+from tidewatch.functions import columns as H
+from tidewatch.functions.columns import ERF_A, ERF_P
 from tidewatch.operators.alerts import DIRECTIONS, LADDERS, RECOMMENDATIONS, REVIEW_ADVICE
 from tidewatch.operators.controller import ACTIONS, MESSAGES
 from tidewatch.plans import model as M
@@ -26,19 +20,16 @@ def lit(x: float) -> str:
     return f"{float(x)!r}::DOUBLE"
 
 
-def h(key: str, salt: int) -> str:
-    return (
-        f"((({key}) % {LCG_MODULUS}) * {LCG_MULTIPLIER} + {LCG_INCREMENT + salt * LCG_SALT_STRIDE}) % {LCG_MODULUS}"
-    )
-
-
-def mixed(key: str, salt: int) -> str:
-    one = h(key, salt)
-    return h(f"(({one}) + (({one}) // 65536) * 31)", salt + 1)
+def bits(key: str, salt: int) -> str:
+    m, (a, b), (s, t) = H.HASH_MODULUS, H.HASH_MULTIPLIERS, H.HASH_SHIFTS
+    k = f"((({key}) % {m}) + ((({key}) >> 31) % {m}) * {H.HASH_FOLD}) % {m}"
+    x = f"((({k}) * {a} + {H.HASH_INCREMENT + salt * H.HASH_SALT_STRIDE}) % {m})"
+    x = f"((xor({x}, {x} >> {s}) * {b}) % {m})"
+    return f"xor({x}, {x} >> {t})"
 
 
 def uniform(key: str, salt: int) -> str:
-    return f"((({mixed(key, salt)}) + 1) / {LCG_MODULUS}.0::DOUBLE)"
+    return f"(({bits(key, salt)} + 1) / {H.HASH_MODULUS}.0::DOUBLE)"
 
 
 def normal(key: str, salt: int) -> str:
@@ -383,7 +374,7 @@ CTE["resample"] = f"""
 SELECT detector, resample, {safe('2.0 * tp', '2 * tp + fp + fn')} AS f1 FROM (
   SELECT detector, resample, count(*) FILTER (pick < t) AS tp, count(*) FILTER (pick >= t AND pick < t + f) AS fp,
          count(*) FILTER (pick >= t + f AND pick < t + f + m) AS fn
-  FROM (SELECT *, ({mixed('resample * n + i', 42)}) % n AS pick FROM (
+  FROM (SELECT *, floor({bits('resample * n + i', 42)} / {H.HASH_MODULUS}.0::DOUBLE * n)::BIGINT AS pick FROM (
     SELECT detector, count(*) FILTER (fired AND true_phase <> 'phase1') AS t, count(*) FILTER (fired AND true_phase = 'phase1') AS f,
            count(*) FILTER (NOT fired AND true_phase <> 'phase1') AS m, count(*) AS n FROM flags GROUP BY 1),
     range(0, 1000) r(resample), LATERAL (SELECT unnest(range(0, n)) AS i)) GROUP BY 1, 2)"""
