@@ -22,6 +22,8 @@ def connect(sf):
 def normal(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
+        if df[c].dtype.kind in "iu" and df[c].isna().any():
+            df[c] = df[c].astype("float64")  # integers with NULLs, as the other engine returns them
         if df[c].dtype == object:
             df[c] = df[c].map(lambda v: None if v is None or v is pd.NaT or v != v else str(v))
     return df

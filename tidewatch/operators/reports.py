@@ -18,25 +18,25 @@ def results_filter(results: DataFrame, low: int, high: int, phases: list[str]) -
     return results.filter(F.col("window_num").between(low, high) & F.col("true_phase").isin(*phases))
 
 
-def phase_summary(results: DataFrame, keys: list[str] = ()) -> DataFrame:
+def phase_summary(results: DataFrame, keys: list[str] = (), digits: int = 4) -> DataFrame:
     return results.groupBy(*keys, "true_phase").agg(
         F.count("*").alias("windows"),
-        F.round(F.avg("D_total"), 4).alias("d_total_mean"),
-        F.round(F.max("D_total"), 4).alias("d_total_max"),
-        F.round(F.avg("D_shap"), 4).alias("d_shap_mean"),
-        F.round(F.avg("adv_score"), 4).alias("adv_mean"),
-        F.round(F.avg("risk_score"), 4).alias("risk_mean"),
-        F.round(F.avg("est_auprc"), 4).alias("est_auprc_mean"),
+        F.round(F.avg("D_total"), digits).alias("d_total_mean"),
+        F.round(F.max("D_total"), digits).alias("d_total_max"),
+        F.round(F.avg("D_shap"), digits).alias("d_shap_mean"),
+        F.round(F.avg("adv_score"), digits).alias("adv_mean"),
+        F.round(F.avg("risk_score"), digits).alias("risk_mean"),
+        F.round(F.avg("est_auprc"), digits).alias("est_auprc_mean"),
         F.max("intervention_level").alias("max_level"),
     )
 
 
-def phase_fairness(results: DataFrame, keys: list[str] = ()) -> DataFrame:
+def phase_fairness(results: DataFrame, keys: list[str] = (), digits: int = 4) -> DataFrame:
     return results.groupBy(*keys, "true_phase").agg(
-        F.round(F.avg("dpd"), 4).alias("mean_dpd"),
-        F.round(F.max("dpd"), 4).alias("max_dpd"),
-        F.round(F.avg("eod"), 4).alias("mean_eod"),
-        F.round(F.max("eod"), 4).alias("max_eod"),
+        F.round(F.avg("dpd"), digits).alias("mean_dpd"),
+        F.round(F.max("dpd"), digits).alias("max_dpd"),
+        F.round(F.avg("eod"), digits).alias("mean_eod"),
+        F.round(F.max("eod"), digits).alias("max_eod"),
     )
 
 

@@ -1023,21 +1023,21 @@ def results_filter(s, sf):
 
 @query(
     "phase_summary",
-    """SELECT true_phase, count(*) AS windows, round(avg(D_total), 4) AS d_total_mean, round(max(D_total), 4) AS d_total_max,
-    round(avg(D_shap), 4) AS d_shap_mean, round(avg(adv_score), 4) AS adv_mean, round(avg(risk_score), 4) AS risk_mean,
-    round(avg(est_auprc), 4) AS est_auprc_mean, max(intervention_level) AS max_level FROM results GROUP BY 1""",
+    """SELECT true_phase, count(*) AS windows, round(avg(D_total), 8) AS d_total_mean, round(max(D_total), 8) AS d_total_max,
+    round(avg(D_shap), 8) AS d_shap_mean, round(avg(adv_score), 8) AS adv_mean, round(avg(risk_score), 8) AS risk_mean,
+    round(avg(est_auprc), 8) AS est_auprc_mean, max(intervention_level) AS max_level FROM results GROUP BY 1""",
 )
 def phase_summary(s, sf):
-    return R.phase_summary(results(s, sf))
+    return R.phase_summary(results(s, sf), digits=8)
 
 
 @query(
     "phase_fairness",
-    """SELECT true_phase, round(avg(dpd), 4) AS mean_dpd, round(max(dpd), 4) AS max_dpd, round(avg(eod), 4) AS mean_eod,
-    round(max(eod), 4) AS max_eod FROM results GROUP BY 1""",
+    """SELECT true_phase, round(avg(dpd), 8) AS mean_dpd, round(max(dpd), 8) AS max_dpd, round(avg(eod), 8) AS mean_eod,
+    round(max(eod), 8) AS max_eod FROM results GROUP BY 1""",
 )
 def phase_fairness(s, sf):
-    return R.phase_fairness(results(s, sf))
+    return R.phase_fairness(results(s, sf), digits=8)
 
 
 @query(
