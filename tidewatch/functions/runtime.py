@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _stages: dict[tuple, DataFrame] = {}
@@ -37,6 +39,18 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_all(spark: SparkSession, builders: dict) -> dict[str, DataFrame]:
+    """Build and write several independent tables as concurrent jobs, so that one fills the other's tail."""
+
+    def one(item):
+        name, build = item
+        return name, materialize(build(), name)
+
+    with ThreadPoolExecutor(max_workers=max(1, len(builders))) as pool:
+        target = inheritable_thread_target(spark)(one)
+        return dict(pool.map(target, builders.items()))
+
+
 def stage(spark: SparkSession, key: tuple, build) -> DataFrame:
     """Build a named stage table once per application and reuse the written copy."""
     full = (spark.sparkContext.applicationId, *key)

@@ -16,7 +16,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from tidewatch.functions.columns import kolmogorov_p
-from tidewatch.operators.ordered import asof_lookup, running_totals
+from tidewatch.operators.ordered import asof_lookup, running_totals, with_next
 
 
 def collapse(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,7 +56,6 @@ def _positions(current: DataFrame, profile: DataFrame, keys: list[str], bounded:
         ["value"],
         {"c_le": F.col("n")},
         totals=True,
-        following="value",
         bounded=bounded,
     )
     hit = asof_lookup(cells, profile, ["feature"], "value", "r_value", ["r_value", "r_n", "r_le", "r_sum"], keys)
@@ -65,7 +64,6 @@ def _positions(current: DataFrame, profile: DataFrame, keys: list[str], bounded:
         *keys,
         "feature",
         "value",
-        "value_next",
         "n",
         "c_le",
         F.col("c_le_total").alias("c_total"),
@@ -271,62 +269,39 @@ def wasserstein(current: DataFrame, profile: DataFrame, keys: list[str], bounded
     crosses c inside a gap, the crossing value comes from a second lookup by rank.
     """
     ref = F.broadcast(profile_stats(profile))  # one row per feature
-    pos = _positions(current, profile, keys, bounded).join(ref, "feature")
+    pos = _positions(current, profile, keys, bounded)
+    pos = with_next(pos, [*keys, "feature"], "value", ["value", "r_le", "r_lt", "r_sum"], bounded).join(ref, "feature")
+    # 1-based rank at which the reference reaches the window's level
+    level = F.col("c_le") / F.col("c_total")
+    pos = pos.withColumn("_rank", F.ceil(F.round(level * F.col("r_total"), 6)))
+    # only a gap whose ends lie on both sides of the level needs the crossing value
+    crosses = F.coalesce(
+        (F.col("r_le") / F.col("r_total") < level) & (F.col("next_r_lt") / F.col("r_total") > level), F.lit(False)
+    )
+    columns = ["feature", "r_value", "r_le", "r_sum"]
+    by_rank = profile.select(*columns).toDF("feature", "q_value", "q_le", "q_sum")
+    needed = asof_lookup(
+        pos.filter(crosses), by_rank, ["feature"], "_rank", "q_le", ["q_value", "q_le", "q_sum"], [*keys, "value"], forward=True
+    )
+    rest = pos.filter(~crosses)
+    crossed = needed.unionByName(rest, allowMissingColumns=True)
     n = F.col("r_total").cast("double")
 
     def under(x, c, s):
         return (x * c - s) / n
 
-    first_of = F.col("c_le") == F.col("n")
-    level = F.col("c_le") / F.col("c_total")
-    base = pos.select(
-        *keys,
-        "feature",
-        "value",
-        F.col("value_next").alias("_b"),
-        level.alias("_c"),
-        "r_total",
-        "r_sum_total",
-        under(F.col("value"), F.col("r_le"), F.col("r_sum")).alias("_ha"),
-        F.col("r_le").alias("_ca"),
-        "r_sum",
-        first_of.alias("_is_first"),
-        # 1-based rank at which the reference reaches the level
-        F.ceil(F.round(level * n, 6)).alias("_rank"),
-    )
-    # H at the next window value, and the crossing point: two more lookups along the same profile
-    at_b = asof_lookup(
-        base.withColumn("_q", F.coalesce("_b", "value")),
-        profile.withColumnsRenamed({"r_le": "b_le", "r_sum": "b_sum", "r_value": "b_value", "r_n": "b_n"}),
-        ["feature"],
-        "_q",
-        "b_value",
-        ["b_value", "b_n", "b_le", "b_sum"],
-        [*keys, "value"],
-    )
-    crossed = asof_lookup(
-        at_b,
-        profile.withColumnsRenamed({"r_le": "q_le", "r_sum": "q_sum", "r_value": "q_value"}).drop("r_n"),
-        ["feature"],
-        "_rank",
-        "q_le",
-        ["q_value", "q_le", "q_sum"],
-        [*keys, "value"],
-        forward=True,
-    )
-    b_le, b_sum = F.coalesce("b_le", F.lit(0)), F.coalesce("b_sum", F.lit(0.0))
-    b_lt = b_le - F.when(F.col("b_value") == F.col("_b"), F.col("b_n")).otherwise(0)
-    hb = under(F.col("_b"), b_le, b_sum)
-    hq = under(F.col("q_value"), F.col("q_le"), F.col("q_sum"))
-    a, b, c, q = F.col("value"), F.col("_b"), F.col("_c"), F.col("q_value")
-    area = hb - F.col("_ha")
+    a, b, c, q = F.col("value"), F.col("next_value"), F.col("c_le") / F.col("c_total"), F.col("q_value")
+    ha = under(a, F.col("r_le"), F.col("r_sum"))
+    hb = under(b, F.col("next_r_le"), F.col("next_r_sum"))
+    hq = under(q, F.col("q_le"), F.col("q_sum"))
     gap = (
-        F.when(b_lt / n <= c, c * (b - a) - area)
-        .when(F.col("_ca") / n >= c, area - c * (b - a))
-        .otherwise(c * (q - a) - (hq - F.col("_ha")) + (hb - hq) - c * (b - q))
+        F.when(F.col("next_r_lt") / n <= c, c * (b - a) - (hb - ha))
+        .when(F.col("r_le") / n >= c, (hb - ha) - c * (b - a))
+        .otherwise(c * (q - a) - (hq - ha) + (hb - hq) - c * (b - q))
     )
-    tail = (F.col("r_sum_total") - F.col("r_sum") - (n - F.col("_ca")) * a) / n
-    piece = F.when(b.isNotNull(), gap).otherwise(tail) + F.when(F.col("_is_first"), F.col("_ha")).otherwise(0.0)
+    tail = (F.col("r_sum_total") - F.col("r_sum") - (n - F.col("r_le")) * a) / n
+    first = F.col("c_le") == F.col("n")
+    piece = F.when(b.isNotNull(), gap).otherwise(tail) + F.when(first, ha).otherwise(0.0)
     d = crossed.groupBy(*keys, "feature").agg(F.sum(piece).alias("w1"))
     grid = window_feature_grid(current, keys).drop("c_n")
     return grid.join(d, [*keys, "feature"], "left").select(

@@ -108,6 +108,17 @@ def running_totals(
     return joined.select(*result)
 
 
+def with_next(df: DataFrame, keys: list[str], order: str, cols: list[str], bounded: bool) -> DataFrame:
+    """Add ``next_<col>``: the values on the next row of the group."""
+    packed = df.withColumn("_now", F.struct(*cols))
+    if bounded:
+        after = F.lead("_now").over(Window.partitionBy(*keys).orderBy(order))
+        packed = packed.withColumn("_now_next", after)
+    else:
+        packed = running_totals(packed, keys, [order], {"_one": F.lit(1)}, following="_now").drop("_one")
+    return packed.select(*df.columns, *[F.col(f"_now_next.{c}").alias(f"next_{c}") for c in cols])
+
+
 def grouped_index(df: DataFrame, keys: list[str], order: list, name: str = "rn", totals: bool = False) -> DataFrame:
     """1-based row number inside each group (unique order)."""
     return running_totals(df, keys, order, {name: F.lit(1).cast("long")}, totals=totals)

@@ -468,14 +468,14 @@ def detector_summary(s, sf):
 # ---- attribution and composite index ----------------------------------------------------------------
 
 
-@query("attributions", "SELECT row_idx, feature, phi FROM (" + O.phi_long("stream", "row_idx") + ")")
+@query("attributions", "SELECT row_idx, feature, round(phi, 6) AS phi FROM (" + O.phi_long("stream", "row_idx") + ")")
 def attributions(s, sf):
-    return monitor.attributions(T.scored_stream(s, sf), ["row_idx"])
+    return r6(monitor.attributions(T.scored_stream(s, sf), ["row_idx"]), "phi")
 
 
-@query("fingerprint", "SELECT window_id, feature, mean_abs, mean, std, n, rank FROM fp_win")
+@query("fingerprint", "SELECT window_id, feature, " + rs(["mean_abs", "mean", "std"]) + ", n, rank FROM fp_win")
 def fingerprint(s, sf):
-    return A.fingerprint(monitor.attributions(T.window_rows(s, sf), W_KEY), W_KEY)
+    return r6(A.fingerprint(monitor.attributions(T.window_rows(s, sf), W_KEY), W_KEY), "mean_abs", "mean", "std")
 
 
 @query(
@@ -579,13 +579,13 @@ def flag_union(s, sf):
 
 @query(
     "importance_compare",
-    """SELECT c.feature, c.batch_id, r.mean_abs AS ref_mean_abs, r.rank AS ref_rank, c.mean_abs AS new_mean_abs, c.rank AS new_rank
+    """SELECT c.feature, c.batch_id, round(r.mean_abs, 6) AS ref_mean_abs, r.rank AS ref_rank, round(c.mean_abs, 6) AS new_mean_abs, c.rank AS new_rank
     FROM fp_batch c JOIN fp_ref r USING (feature) WHERE r.rank <= 5""",
 )
 def importance_compare(s, sf):
     ref = A.fingerprint(monitor.attributions(T.reference_rows(s, sf), []))
     cur = A.fingerprint(monitor.attributions(batches(s, sf), ["batch_id"]), ["batch_id"])
-    return A.importance_compare(ref, cur, 5, ["batch_id"])
+    return r6(A.importance_compare(ref, cur, 5, ["batch_id"]), "ref_mean_abs", "new_mean_abs")
 
 
 _ARR = ["top_sadi_features", "ks_flagged_features", "psi_flagged_features"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.runtime import materialize
+from tidewatch.functions.runtime import materialize_all
 from tidewatch.operators import attribution as A
 from tidewatch.operators import divergence as D
 from tidewatch.operators import drift_index as I
@@ -46,10 +46,16 @@ def window_results(
     """
     keys = ["window_id"]
     feats = to_long(windowed, keys, M.FEATURES)
-    # one small row per window and feature; written so that the several uses below share one computation
-    ks = materialize(D.ks_test(feats, profile, keys, bounded=bounded), "ks")
-    psi = materialize(D.psi_both(D.psi_cells(feats, profile, keys), keys), "psi")
-    w1 = D.wasserstein(to_long(windowed, keys, ["p"]), profile, keys, bounded=bounded)
+    # one small row per window and feature; written because each table is used more than once below
+    made = materialize_all(
+        windowed.sparkSession,
+        {
+            "ks": lambda: D.ks_test(feats, profile, keys, bounded=bounded),
+            "psi": lambda: D.psi_both(D.psi_cells(feats, profile, keys), keys),
+            "w1": lambda: D.wasserstein(to_long(windowed, keys, ["p"]), profile, keys, bounded=bounded),
+        },
+    )
+    ks, psi, w1 = made["ks"], made["psi"], made["w1"]
     scores = I.sadi(comps)
     total = I.d_total(scores, psi.select(*keys, "feature", F.col("psi_index").alias("psi")), w1, keys)
     base = average_precision(reference, [], "p", "y", min_rows=10).select(F.col("auprc").alias("baseline_auprc"))
@@ -109,12 +115,18 @@ def window_results(
 def batch_report(reference: DataFrame, batches: DataFrame, profile: DataFrame, keys: list[str]) -> DataFrame:
     """One report row per uploaded batch, all batches in one job; batch sizes are not bounded."""
     feats = to_long(batches, keys, M.FEATURES)
-    # small tables, one row per batch and feature, each used several times below
-    ks = materialize(D.ks_test(feats, profile, keys), "ks")
-    psi = materialize(D.psi(feats, profile, keys, variant="additive", min_rows=6), "psi")
-    w1 = D.wasserstein(to_long(batches, keys, ["p"]), profile, keys)
     fp_ref, fp_cur = A.fingerprint(attributions(reference, [])), A.fingerprint(attributions(batches, keys), keys)
-    scores = materialize(I.sadi_batch(fp_ref, fp_cur, keys), "index")
+    # small tables, one row per batch and feature, each used more than once below
+    made = materialize_all(
+        batches.sparkSession,
+        {
+            "ks": lambda: D.ks_test(feats, profile, keys),
+            "psi": lambda: D.psi(feats, profile, keys, variant="additive", min_rows=6),
+            "w1": lambda: D.wasserstein(to_long(batches, keys, ["p"]), profile, keys),
+            "index": lambda: I.sadi_batch(fp_ref, fp_cur, keys),
+        },
+    )
+    ks, psi, w1, scores = made["ks"], made["psi"], made["w1"], made["index"]
     share = D.ks_share(ks, keys)
     total = I.d_total_batch(scores, share, w1, keys)
     dpd = binary_parity(batches, keys, "gender", (F.col("p") >= 0.42).cast("int"))
