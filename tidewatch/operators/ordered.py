@@ -161,20 +161,18 @@ def asof_lookup(
 
     Queries and table are unioned and scanned once in order, so neither side is replicated. ``ties``
     makes equal query positions distinct, so that a position shared by many rows can still be split.
+    Payload columns are never NULL in the table and have names that the queries do not use. They stay flat:
+    primitive columns keep the per-block aggregate a hash aggregate.
     """
-    found = F.struct(*[F.col(p) for p in payload])
-    left = queries.select(
-        *keys,
-        F.col(at).cast("double").alias("_at"),
-        F.lit(1).alias("_side"),
-        F.struct(*ties).alias("_tie"),
-        F.struct(*queries.columns).alias("_q"),
-    )
-    right = table.select(*keys, F.col(table_at).cast("double").alias("_at"), F.lit(0).alias("_side"), found.alias("_hit"))
+    clash = set(payload) & set(queries.columns)
+    if clash:
+        raise ValueError(f"payload columns {sorted(clash)} already exist in the queries")
+    left = queries.select(*queries.columns, F.col(at).cast("double").alias("_at"), F.lit(1).alias("_side"))
+    right = table.select(*keys, F.col(table_at).cast("double").alias("_at"), F.lit(0).alias("_side"), *payload)
     both = left.unionByName(right, allowMissingColumns=True)
-    order = [F.col("_at").desc() if forward else F.col("_at"), F.col("_side"), F.col("_tie")]
-    scanned = last_known(both, keys, order, ["_hit"]).filter("_side = 1")
-    return scanned.select("_q.*", *[F.col(f"_hit.{p}").alias(p) for p in payload])
+    order = [F.col("_at").desc() if forward else F.col("_at"), "_side", *ties]
+    scanned = last_known(both, keys, order, payload).filter("_side = 1")
+    return scanned.select(*queries.columns, *payload)
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:

@@ -4,7 +4,7 @@ from tidewatch.operators.cleaning import LabelFlip, Shift
 
 FEATURES = ["qty_mean", "qty_std", "price_mean", "disc_mean", "tax_mean", "n_lines", "total_price", "acct_bal"]
 CENTER = dict(zip(FEATURES, [25.4, 13.4, 53000.0, 0.05, 0.04, 4.07, 250000.0, 4500.0]))
-SCALE = dict(zip(FEATURES, [8.4, 5.3, 17400.0, 0.0168, 0.0135, 1.93, 144000.0, 3200.0]))
+SCALE = dict(zip(FEATURES, [8.41, 5.3, 17393.0, 0.0167, 0.0137, 1.93, 143900.0, 3210.0]))
 WEIGHT = dict(zip(FEATURES, [0.9, -0.4, 0.6, 0.3, -0.2, 0.7, 0.5, -0.3]))
 INTERCEPT = 1.0
 
