@@ -138,3 +138,11 @@ def test_bonferroni_divides_by_features(spark, sides):
     strict = D.ks_test(c, prof, W, correction="bonferroni").filter("flagged").count()
     assert strict <= plain
     assert pd.DataFrame(D.ks_share(D.ks_test(c, prof, W), W).collect()).shape[0] == 2
+
+
+def test_summary_names_the_methods_that_fired(spark, sides):
+    _, _, _, c, prof = sides
+    table = D.detector_summary({"ks": D.ks_test(c, prof, W), "psi": D.psi(c, prof, W)}, W)
+    got = {r.w: r for r in D.any_drift(table, W).collect()}
+    assert got[1].any_drift_detected and got[1].methods_reporting_drift == ["ks", "psi"]
+    assert not got[0].any_drift_detected and got[0].methods_reporting_drift == []

@@ -482,3 +482,11 @@ def detector_summary(method_tables: dict[str, DataFrame], keys: list[str]) -> Da
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def any_drift(summary: DataFrame, keys: list[str]) -> DataFrame:
+    """Whether any method fired in a window, and which ones; one entry per method."""
+    fired = F.sort_array(F.collect_list(F.when(F.col("drift_detected"), F.col("method"))))
+    return summary.groupBy(*keys).agg(
+        F.bool_or("drift_detected").alias("any_drift_detected"), fired.alias("methods_reporting_drift")
+    )
