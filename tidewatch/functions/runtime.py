@@ -18,16 +18,14 @@ def scratch_dir(spark: SparkSession) -> str:
     A local session (tests) without the setting gets its own temporary folder; on a
     cluster a machine-local folder would not survive losing that machine, so it is an error.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder before staging tables")
-    folder = tempfile.mkdtemp(prefix="tidewatch-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder before staging tables")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewatch-"))
+        folder = sc.getCheckpointDir()
+    return folder.rstrip("/")
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
