@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import mixing, sharding
+from tidewatch.llm import decontamination, mixing, sharding
 
 QUERIES = {
     "op2_pareto_mix": mixing.query,
     "op3_ring_shards": sharding.query,
+    "op8_decontaminate": decontamination.query,
 }
 ORACLES = {
     "op2_pareto_mix": mixing.ORACLE_SQL,
+    "op8_decontaminate": decontamination.ORACLE_SQL,
 }
