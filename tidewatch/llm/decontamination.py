@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from tidewatch.functions.runtime import materialize
 from tidewatch.llm.common import ascii_lower
 
+#: Stands for a document's own row among its shingle hashes.
+DOCUMENT = 0
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -43,19 +45,15 @@ def _shingles(places: Column, k: int) -> Column:
     return F.transform(places, lambda i: shingle_at(F.col("words"), i, k))
 
 
-def _entry(k: int, tok: Column, pos: Column) -> Column:
-    return F.struct(F.lit(k).alias("k"), tok.alias("tok"), pos.alias("pos"))
+def _hashes(words: Column, k: int) -> Column:
+    return F.transform(words, lambda w, i: shingle_at(words, i, k))
 
 
-def _entries(words: Column, k: int) -> Column:
-    return F.transform(words, lambda w, i: _entry(k, shingle_at(words, i, k), i))
-
-
-def _document_entries(words: Column, lengths: list[int]) -> Column:
-    """Number of words and shingle entries; the first entry, of length 0, stands for the document itself."""
-    own = F.array(_entry(0, F.lit(0).cast("long"), F.lit(-1)))
+def _document_hashes(words: Column, lengths: list[int]) -> Column:
+    """Number of words n, and hashes: DOCUMENT, then n shingle hashes for each length in turn."""
+    own = F.array(F.lit(DOCUMENT))
     # bound to a lambda variable, the words are computed once for all their uses
-    facts = lambda ws: F.struct(F.size(ws).alias("n_words"), F.concat(own, *[_entries(ws, k) for k in lengths]).alias("all"))
+    facts = lambda ws: F.struct(F.size(ws).alias("n"), F.concat(own, *[_hashes(ws, k) for k in lengths]).alias("all"))
     return F.get(F.transform(F.array(words), facts), F.lit(0))
 
 
@@ -84,37 +82,38 @@ def found_windows(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     """
     spark = docs.sparkSession
     windows = materialize(item_windows(items, window, shingle), "decon-windows")
-    wanted = windows.select("k", F.explode("toks").alias("tok")).distinct()
-    lengths = [r["k"] for r in windows.select("k").distinct().collect()]  # at most ``shingle`` values
+    wanted = windows.select(F.explode("toks").alias("tok")).distinct().unionByName(
+        spark.range(1).select(F.lit(DOCUMENT).cast("long").alias("tok"))
+    )
+    lengths = sorted(r["k"] for r in windows.select("k").distinct().collect())  # at most ``shingle`` values
     n_wanted = wanted.count()
 
     texts = docs.select("doc_id", "text").withColumn("rk", F.xxhash64("doc_id", "text"))
-    texts = texts.select("doc_id", "rk", _document_entries(words_of(F.col("text")), sorted(lengths)).alias("f"))
-    seen = texts.select("doc_id", "rk", "f.n_words", F.explode("f.all").alias("e")).select("doc_id", "rk", "n_words", "e.*")
-    seen = seen.filter((F.col("k") == 0) | (F.col("pos") + F.col("k") <= F.col("n_words")))
-    asked = wanted.unionByName(spark.range(1).select(F.lit(0).alias("k"), F.lit(0).cast("long").alias("tok")))
-    seen = seen.join(F.broadcast(asked) if n_wanted <= broadcast_rows else asked, ["k", "tok"])
+    texts = texts.select("doc_id", "rk", _document_hashes(words_of(F.col("text")), lengths).alias("f"))
+    seen = texts.select("doc_id", "rk", F.col("f.n").alias("n_words"), F.posexplode("f.all").alias("p", "tok"))
+    seen = seen.join(F.broadcast(wanted) if n_wanted <= broadcast_rows else wanted, "tok")
     seen = materialize(seen, "decon-seen")
-    documents = seen.filter("k = 0").select("doc_id", "rk", "n_words")
-    seen = seen.filter("k > 0").distinct()
+    documents = seen.filter("p = 0").select("doc_id", "rk", "n_words")
+    # place of the shingle: the hashes of each length follow one another, n_words at a time
+    seen = seen.filter("p > 0").withColumn("pos", (F.col("p") - 1) % F.col("n_words")).drop("p").distinct()
 
-    frequency = seen.groupBy("k", "tok").agg(F.count("*").alias("tf"))
+    frequency = seen.groupBy("tok").agg(F.count("*").alias("tf"))
     single = windows.select("w", "len", "k", "toks").distinct()
     placed = single.select("w", "len", "k", F.posexplode("toks").alias("off", "tok"))
-    ranked = placed.join(frequency, ["k", "tok"]).groupBy("w", "len", "k").agg(
+    ranked = placed.join(frequency, "tok").groupBy("w", "len", "k").agg(
         F.count("*").alias("present"), F.min_by(F.struct("off", "tok"), F.struct("tf", "tok", "off")).alias("rare")
     )
     prefix = ranked.filter(F.col("present") == F.col("len") - F.col("k") + 1)
     prefix = materialize(prefix.select("w", "len", "k", "rare.off", "rare.tok"), "decon-prefix")
 
-    at = seen.join(prefix, ["k", "tok"]).withColumn("start", F.col("pos") - F.col("off"))
+    at = seen.join(prefix, "tok").withColumn("start", F.col("pos") - F.col("off"))
     at = at.filter((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n_words")))
     candidate = at.select("doc_id", "rk", "w", "len", "k", "start")
     steps = candidate.join(single.select("w", "toks"), "w")
     steps = steps.select("doc_id", "rk", "w", "len", "k", "start", F.posexplode("toks").alias("off", "tok"))
     steps = steps.withColumn("pos", F.col("start") + F.col("off"))
-    there = seen.select("rk", F.col("doc_id").alias("d"), "k", "tok", "pos")
-    met = steps.join(there, ["rk", "k", "tok", "pos"]).filter(F.col("doc_id").eqNullSafe(F.col("d")))
+    there = seen.select("rk", F.col("doc_id").alias("d"), "tok", "pos")
+    met = steps.join(there, ["rk", "tok", "pos"]).filter(F.col("doc_id").eqNullSafe(F.col("d")))
     sure = met.groupBy("doc_id", "rk", "w", "len", "k", "start").agg(F.count("*").alias("n"))
     sure = sure.filter(F.col("n") == F.col("len") - F.col("k") + 1)
     hits = sure.join(windows.select("w", "item_id"), "w").select("doc_id", "rk", "start", "len", "item_id")
