@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import decontamination, mixing, sharding
+from tidewatch.llm import decontamination, mixing, sharding, substring_dedup, token_files
 
 QUERIES = {
     "op2_pareto_mix": mixing.query,
     "op3_ring_shards": sharding.query,
+    "op4_simple8b_tokens": token_files.query,
     "op8_decontaminate": decontamination.query,
+    "op9_substring_dedup": substring_dedup.query,
 }
 ORACLES = {
     "op2_pareto_mix": mixing.ORACLE_SQL,
     "op8_decontaminate": decontamination.ORACLE_SQL,
+    "op9_substring_dedup": substring_dedup.ORACLE_SQL,
 }
