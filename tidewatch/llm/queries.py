@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import decontamination, mixing, sharding, substring_dedup, token_files
+from tidewatch.llm import decontamination, jaccard_join, mixing, sharding, substring_dedup, token_files
 
 QUERIES = {
+    "op1_jaccard_join": jaccard_join.query,
     "op2_pareto_mix": mixing.query,
     "op3_ring_shards": sharding.query,
     "op4_simple8b_tokens": token_files.query,
@@ -12,6 +13,7 @@ QUERIES = {
     "op9_substring_dedup": substring_dedup.query,
 }
 ORACLES = {
+    "op1_jaccard_join": jaccard_join.ORACLE_SQL,
     "op2_pareto_mix": mixing.ORACLE_SQL,
     "op8_decontaminate": decontamination.ORACLE_SQL,
     "op9_substring_dedup": substring_dedup.ORACLE_SQL,
