@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import decontamination, jaccard_join, mixing, sharding, substring_dedup, token_files
+from tidewatch.llm import decontamination, jaccard_join, mixing, sharding, substring_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_simple8b_tokens": token_files.query,
     "op8_decontaminate": decontamination.query,
     "op9_substring_dedup": substring_dedup.query,
+    "op10_noisy_channel_toxicity": toxicity.query,
 }
 ORACLES = {
     "op1_jaccard_join": jaccard_join.ORACLE_SQL,
