@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import decontamination, jaccard_join, mixing, sharding, substring_dedup, token_files, toxicity
+from tidewatch.llm import decontamination, jaccard_join, mixing, pivot_search, sharding, substring_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.query,
     "op2_pareto_mix": mixing.query,
     "op3_ring_shards": sharding.query,
     "op4_simple8b_tokens": token_files.query,
+    "op6_pivot_search": pivot_search.query,
     "op8_decontaminate": decontamination.query,
     "op9_substring_dedup": substring_dedup.query,
     "op10_noisy_channel_toxicity": toxicity.query,
@@ -16,6 +17,7 @@ QUERIES = {
 ORACLES = {
     "op1_jaccard_join": jaccard_join.ORACLE_SQL,
     "op2_pareto_mix": mixing.ORACLE_SQL,
+    "op6_pivot_search": pivot_search.ORACLE_SQL,
     "op8_decontaminate": decontamination.ORACLE_SQL,
     "op9_substring_dedup": substring_dedup.ORACLE_SQL,
 }

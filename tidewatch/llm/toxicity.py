@@ -37,15 +37,16 @@ FIT_ROWS = 20_000
 CACHE = 1_000_000
 #: A rule covers at least so many toxic documents not covered before, with at least this precision.
 SUPPORT, PRECISION = 4, 0.7
-#: A feature that others make needless in the sample is a rule all the same from this support and precision on.
-STRONG_SUPPORT, STRONG_PRECISION = 10, 0.99
+#: A feature that others make needless in the sample is a rule all the same from this support, share of the toxic
+#: documents and precision on. The share keeps out words that only copies of one document have.
+STRONG_SUPPORT, STRONG_SHARE, STRONG_PRECISION = 10, 0.04, 0.99
 BEGINNINGS = (4, 5, 6)
 #: Letters that digits and signs stand for in disguised words.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": "aeiou"}
 GAPS = " .-_*~'`"
 #: Log chances of the channel: a letter stands for itself, for a sign; one of three or more alike is a repeat, one of
 #: two is; a gap is an insertion, another sign is; a gap is a border.
-SELF, STANDS, REPEAT, TWICE, GAP, INSERT, BORDER = log(0.95), log(0.3), log(0.4), log(0.002), log(0.3), log(0.002), log(0.3)
+SELF, STANDS, REPEAT, TWICE, GAP, INSERT, BORDER = log(0.95), log(0.3), log(0.4), log(0.002), log(0.3), log(0.00002), log(0.3)
 
 _WORDS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _SYMBOL = np.array([b - 96 if 97 <= b <= 122 else 27 if b >= 128 else 0 for b in range(256)], np.int32)
@@ -205,7 +206,7 @@ def _rules(pairs, n_docs: int, n_toxic: int) -> tuple[dict[str, float], float]:
         touched += len(fresh) + facts[best]["n"] - facts[best]["t"]
         docs_of = {f: d - fresh for f, d in docs_of.items() if len(d - fresh) >= SUPPORT}
     for f, x in facts.items():
-        if f not in rules and x["t"] >= STRONG_SUPPORT and x["t"] >= STRONG_PRECISION * x["n"]:
+        if f not in rules and x["t"] >= max(STRONG_SUPPORT, STRONG_SHARE * n_toxic) and x["t"] >= STRONG_PRECISION * x["n"]:
             rules[f] = (x["t"] + 0.5) / (x["n"] + 1.0)
     rest = (n_toxic - len(covered) + 0.5) / (max(n_docs - touched, n_toxic - len(covered)) + 1.0)
     return rules, rest
