@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import decontamination, jaccard_join, mixing, pivot_search, sharding, substring_dedup, token_files, toxicity
+from tidewatch.llm import brown_lm, decontamination, jaccard_join, mixing, pivot_search, sharding, substring_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.query,
     "op2_pareto_mix": mixing.query,
     "op3_ring_shards": sharding.query,
     "op4_simple8b_tokens": token_files.query,
+    "op5_brown_lm": brown_lm.query,
     "op6_pivot_search": pivot_search.query,
     "op8_decontaminate": decontamination.query,
     "op9_substring_dedup": substring_dedup.query,
