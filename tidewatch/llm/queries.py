@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import brown_lm, decontamination, jaccard_join, mixing, pivot_search, sharding, substring_dedup, token_files, toxicity
+from tidewatch.llm import brown_lm, decontamination, jaccard_join, line_dedup, mixing, pivot_search, sharding, substring_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_simple8b_tokens": token_files.query,
     "op5_brown_lm": brown_lm.query,
     "op6_pivot_search": pivot_search.query,
+    "op7_fuzzy_lines": line_dedup.query,
     "op8_decontaminate": decontamination.query,
     "op9_substring_dedup": substring_dedup.query,
     "op10_noisy_channel_toxicity": toxicity.query,
