@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.runtime import materialize
 from tidewatch.llm import word_hash
+from tidewatch.llm.common import discard
 
 #: Stands for a NULL id: the last of all documents.
 NO_ID = (1 << 63) - 1
+#: Repeated representatives that are sent to every task (8 bytes each); more go by a join on the document.
+SENT_MARKS = 1 << 23
 
 
 def levels(window: int, shortest: int = 12) -> list[int]:
@@ -92,23 +95,32 @@ def _marks(source: DataFrame, k: int, window: int) -> DataFrame:
     return source.mapInArrow(emit, "doc long, mark long" + ", place int" * last)
 
 
-def _shrink(source: DataFrame, k: int, window: int) -> DataFrame:
-    """Stretches of documents covered by windows whose representative is among ``marks``: doc, words, first."""
+def _shrink(source: DataFrame, k: int, window: int, sent=None) -> DataFrame:
+    """Stretches of documents covered by windows whose representative repeats: doc, words, first.
+
+    Repeated representatives are ``sent`` (a broadcast sorted array) or stand in each row's last column, marks.
+    """
 
     def emit(batches):
         for batch in batches:
-            marks = batch.column(batch.num_columns - 1)
+            marks = batch.column(batch.num_columns - 1) if sent is None else None
             for at, docs, hashes, counts, first in _texts(batch):
                 starts, out = np.cumsum(counts) - counts, ([], [], [])
                 place, text, low = _representatives(hashes, counts, k, window)
+                if sent is not None and len(low):
+                    known = sent.value
+                    hit = known[np.minimum(np.searchsorted(known, low), len(known) - 1)] == low
+                    place, text, low = place[hit], text[hit], low[hit]
                 bounds = np.searchsorted(text, np.arange(len(docs) + 1))
                 for i in range(len(docs)):
                     a, b = bounds[i], bounds[i + 1]
                     if a == b:
                         continue
-                    alive = place[a:b][np.isin(low[a:b], marks[at + i].values.to_numpy())]
-                    if not len(alive):
-                        continue
+                    alive = place[a:b]
+                    if sent is None:
+                        alive = alive[np.isin(low[a:b], marks[at + i].values.to_numpy())]
+                        if not len(alive):
+                            continue
                     cut = np.flatnonzero(np.diff(alive) > window) + 1
                     for run in np.split(alive, cut):
                         out[0].append(docs[i])
@@ -122,14 +134,22 @@ def _shrink(source: DataFrame, k: int, window: int) -> DataFrame:
 
 def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     """(doc, places): places of windows whose words also start in a document of smaller id. ``docs``: doc, text."""
-    source = docs
+    source, old = docs, None
     for k in levels(window)[:-1]:
         marks = materialize(_marks(source, k, window), "substring-marks")
         twice = marks.groupBy("mark").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("mark")
-        kept = marks.join(twice, "mark").groupBy(F.col("doc").alias("d")).agg(F.collect_set("mark").alias("marks"))
-        columns = source.columns
-        source = source.join(kept, F.col("doc") == F.col("d")).select(*columns, "marks")
-        source = materialize(_shrink(source, k, window), "substring-stretches")
+        twice = materialize(twice, "substring-repeats")
+        if 0 < twice.count() <= SENT_MARKS:
+            known = np.sort(twice.toArrow().column("mark").to_numpy())
+            shrunk = _shrink(source, k, window, docs.sparkSession.sparkContext.broadcast(known))
+        else:
+            kept = marks.join(twice, "mark").groupBy(F.col("doc").alias("d")).agg(F.collect_set("mark").alias("marks"))
+            shrunk = _shrink(source.join(kept, F.col("doc") == F.col("d")).select(*source.columns, "marks"), k, window)
+        source = materialize(shrunk, "substring-stretches")
+        for table in (marks, twice, old):
+            if table is not None:
+                discard(table)
+        old = source
     every = _marks(source, window, window)
     first = every.groupBy("mark").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("mark", "a")
     later = every.join(first, "mark").filter("a < doc")
