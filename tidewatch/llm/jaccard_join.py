@@ -13,7 +13,8 @@ prefixes form a group, and only groups enter the join:
 4. second pass: all pairs that share a prefix shingle, pass the size and position bounds and still lie in
    different components. Rows are first reduced to (shingle, component), so large groups of near copies, by then
    one component, form no pairs among themselves;
-5. group pairs are expanded to their member classes and verified on the whole sets.
+5. group pairs are expanded to their member classes; 256 counts per class rule out most pairs that cannot reach the
+   similarity, the others are verified on the whole sets.
 
 All pairs that could link two components are verified, so the components are those of the full join.
 """
@@ -29,12 +30,15 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.runtime import materialize
 from tidewatch.llm import word_hash
+from tidewatch.llm.common import discard
 from tidewatch.llm.components import components
 
 #: Shingles counted together in a task before rare ones are let go; sets what "frequent" can see, not results.
 COUNT_BLOCK = 1 << 22
 #: Most frequent shingles that get a place of their own in the order: bounds what is broadcast (8 bytes each).
 FREQUENT = 1 << 20
+#: Documents whose ids are broadcast to fetch their texts (32 bytes each); more are fetched by a shuffled join.
+SENT_IDS = 1 << 20
 
 
 def shingle_sets(texts: list[bytes], words: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -44,17 +48,21 @@ def shingle_sets(texts: list[bytes], words: int, lower: bool = True) -> tuple[np
     text = np.repeat(np.arange(len(counts)), counts)
     all_ = word_hash.windows(hashes, words)
     whole = np.flatnonzero(np.arange(len(all_)) + words <= ends[text[: len(all_)]])
-    values, owner = all_[whole], text[whole]
-    short = np.flatnonzero((counts > 0) & (counts < words))
-    if len(short):
-        one = [word_hash.mix(word_hash.windows(hashes[ends[i] - counts[i] : ends[i]], int(counts[i])) + np.uint64(counts[i])) for i in short]
-        values, owner = np.concatenate([values, *one]), np.concatenate([owner, short])
-    order = np.lexsort((values, owner))
-    values, owner = values[order], owner[order]
-    new = np.ones(len(values), bool)
-    new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
-    values, owner = values[new], owner[new]
-    return values, np.bincount(owner, minlength=len(counts))
+    values = all_[whole]
+    sizes = np.bincount(text[whole], minlength=len(counts))
+    ends_, out, parts = np.cumsum(sizes), np.zeros(len(counts), np.int64), []
+    for i, n in enumerate(sizes.tolist()):
+        if n:
+            mine = np.sort(values[ends_[i] - n : ends_[i]])
+            mine = mine[np.append(True, mine[1:] != mine[:-1])]
+        elif counts[i]:
+            own = hashes[ends[i] - counts[i] : ends[i]]
+            mine = word_hash.mix(word_hash.windows(own, len(own)) + np.uint64(len(own)))
+        else:
+            continue
+        out[i] = len(mine)
+        parts.append(mine)
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), out
 
 
 def _frequent(docs: DataFrame, words: int) -> np.ndarray:
@@ -92,7 +100,7 @@ def bounds(t: int) -> tuple:
 
 
 def _prefixes(docs: DataFrame, words: int, t: int, frequent: np.ndarray) -> DataFrame:
-    """Each row's id and other columns without the text: n, class (128-bit set hash as two longs), prefix."""
+    """Each row's n, class (128-bit set hash as two longs), prefix and sketch: shingles in each of 256 hash ranges."""
     place = docs.sparkSession.sparkContext.broadcast(np.sort(frequent))
     rank = docs.sparkSession.sparkContext.broadcast(np.argsort(frequent))
     long = bounds(t)[0]
@@ -102,7 +110,6 @@ def _prefixes(docs: DataFrame, words: int, t: int, frequent: np.ndarray) -> Data
         for batch in batches:
             for at, texts in word_hash.chunks(batch.column(1)):
                 values, sizes = shingle_sets(texts, words)
-                owner = np.repeat(np.arange(len(sizes)), sizes)
                 # two independent sums over the set
                 cells = [np.zeros(len(sizes), np.uint64) for _ in range(2)]
                 starts = np.cumsum(sizes) - sizes
@@ -115,18 +122,23 @@ def _prefixes(docs: DataFrame, words: int, t: int, frequent: np.ndarray) -> Data
                     spot = np.minimum(np.searchsorted(known, values.view(np.int64)), len(known) - 1)
                     hit = known[spot] == values.view(np.int64)
                     late[hit] = ranks[spot[hit]] + 1
-                order = np.lexsort((values, late, owner))
-                inner = np.arange(len(values)) - starts[owner]
-                in_prefix = inner < np.array([long(int(n)) for n in sizes])[owner] if len(values) else np.zeros(0, bool)
-                prefix = values[order][in_prefix].view(np.int64)
-                lengths = np.bincount(owner[in_prefix], minlength=len(sizes)) if len(values) else np.zeros(len(sizes), np.int64)
-                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+                prefix, offsets, sketches = [], [0], []
+                cell = (values >> np.uint64(56)).astype(np.int64)
+                for n, first in zip(sizes.tolist(), starts.tolist()):
+                    mine, mark, p = values[first : first + n], late[first : first + n], long(n) if n else 0
+                    if mark.any():
+                        usual = mine[mark == 0]
+                        mine = np.concatenate([usual, mine[mark > 0][np.argsort(mark[mark > 0])]]) if p > len(usual) else usual
+                    prefix.append(mine[:p])
+                    offsets.append(offsets[-1] + p)
+                    sketches.append(np.minimum(np.bincount(cell[first : first + n], minlength=256), 255).astype(np.uint8).tobytes())
+                prefix = np.concatenate(prefix).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), pa.array(sizes.astype(np.int64)), pa.array(cells[0].view(np.int64)), pa.array(cells[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix))],
-                    ["doc_id", "n", "c1", "c2", "prefix"],
+                    [batch.column(0).slice(at, len(texts)), pa.array(sizes.astype(np.int64)), pa.array(cells[0].view(np.int64)), pa.array(cells[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.array(offsets, np.int32)), pa.array(prefix)), pa.array(sketches, pa.binary())],
+                    ["doc_id", "n", "c1", "c2", "prefix", "sketch"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(emit, "doc_id long, n long, c1 long, c2 long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(emit, "doc_id long, n long, c1 long, c2 long, prefix array<long>, sketch binary")
 
 
 def _neighbours(rows: DataFrame) -> DataFrame:
@@ -171,6 +183,26 @@ def _possible(t: int, n, p, n2, p2):
     return (F.least(n, n2) * 100 >= F.greatest(n, n2) * t) & (most >= need) & (small_p < short)
 
 
+def _plausible(pairs: DataFrame, sketches: DataFrame, t: int) -> DataFrame:
+    """Pairs (a, b) of classes whose sketches allow the similarity: no two sets share more than the smaller counts."""
+    left = sketches.select(F.col("k").alias("a"), F.col("n").alias("n1"), F.col("sketch").alias("x"))
+    right = sketches.select(F.col("k").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("y"))
+
+    def test(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, 256) for i in (3, 5))
+            n = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+            most = np.minimum(x, y).sum(1, dtype=np.int64)
+            # a full cell may hold more than it says
+            keep = (100 * most >= t * (n - most)) | ((x == 255) & (y == 255)).any(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "n1", "x", "n2", "y")
+    return joined.mapInArrow(test, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     """Pairs (a, b) of classes whose sets reach the similarity."""
     left = sets.select(F.col("k").alias("a"), F.col("set").alias("x"))
@@ -197,7 +229,9 @@ def _sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, words: int) ->
     one = members.join(wanted, "k").groupBy("k").agg(F.min_by(F.struct("doc_id"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("d"), F.first("c1").alias("c1"))
     one = one.select(F.coalesce("d.doc_id", F.lit(-1)).alias("key"), F.col("d.doc_id").isNull().alias("no_id"), "k", "c1")
     source = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("key"), F.col("doc_id").isNull().alias("no_id"), "text")
-    source = source.join(one, ["key", "no_id"]).select("k", "text", "c1")
+    one = materialize(one, "wanted")
+    few = one.count() <= SENT_IDS
+    source = source.join(F.broadcast(one) if few else one, ["key", "no_id"]).select("k", "text", "c1")
 
     def emit(batches):
         for batch in batches:
@@ -213,7 +247,7 @@ def _sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, words: int) ->
                         sets.append(mine.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(sets, pa.binary())], ["k", "set"])
 
-    return source.mapInArrow(emit, "k long, set binary").groupBy("k").agg(F.first("set").alias("set"))
+    return source.mapInArrow(emit, "k long, set binary")
 
 
 def near_copies(docs: DataFrame, words: int = 5, t: int = 80) -> DataFrame:
@@ -226,31 +260,37 @@ def near_copies(docs: DataFrame, words: int = 5, t: int = 80) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     rows = materialize(_prefixes(docs, words, t, _frequent(docs, words)), "sets")
-    filled = rows.filter("n > 0").withColumn("k", F.xxhash64("c1", "c2", "n"))
+    filled = rows.filter("n > 0").withColumn("k", F.xxhash64("c1", "c2", "n")).withColumn("g", F.xxhash64("n", "prefix"))
     members = filled.select("doc_id", "n", "c1", "c2", "k")
-    classes = filled.groupBy("k", "n").agg(F.first("prefix").alias("prefix")).withColumn("g", F.xxhash64("n", "prefix"))
-    classes = materialize(classes, "classes")
-    held = classes.select("k", "n", "g")
-    groups = classes.groupBy("g", "n").agg(F.min("k").alias("head"), F.first("prefix").alias("prefix"))
-    index = materialize(_neighbours(groups.select("g", "n", F.posexplode("prefix").alias("p", "s")).withColumn("p", F.col("p").cast("long"))), "index")
+    held = materialize(filled.select("k", "n", "g").distinct(), "classes")
+    groups = filled.groupBy("g", "n").agg(F.min("k").alias("head"), F.first("prefix").alias("prefix"))
+    shingles = groups.select("g", "n", F.posexplode("prefix").alias("p", "s")).withColumn("p", F.col("p").cast("long"))
+    index = materialize(_neighbours(shingles), "index")
 
     # first pass: neighbours in a shingle's list, and each group's members with its first
     c = F.col
-    heads = groups.select("g", "head")
+    heads = held.groupBy("g").agg(F.min("k").alias("head"))
     next_to = index.filter(c("g0") != -1).filter(_possible(t, c("n"), c("p"), c("n0"), c("p0"))).select("g", "g0").distinct()
     pairs = next_to.join(heads, "g").join(heads.select(c("g").alias("g0"), c("head").alias("head0")), "g0").select(c("head").alias("a"), c("head0").alias("b"))
     inner = held.join(heads, "g").filter("k <> head").select(c("head").alias("a"), c("k").alias("b"))
     first = materialize(pairs.unionByName(inner).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    # groups that share a shingle with another, or hold several classes, are all that can ever pair
-    listed = index.select("g").distinct().join(held.select("g", "k"), "g").select("k")
-    wanted = listed.unionByName(inner.select(c("a").alias("k"))).unionByName(inner.select(c("b").alias("k"))).distinct()
-    sets = materialize(_sets(docs, members, wanted, words), "class-sets")
-    links = materialize(_verified(first, sets, t), "links")
+    sketches = filled.groupBy("k", "n").agg(F.first("sketch").alias("sketch"))
+    ends = lambda pairs: pairs.select(c("a").alias("k")).unionByName(pairs.select(c("b").alias("k"))).distinct()
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        likely = materialize(_plausible(pairs, sketches.join(ends(pairs), "k", "left_semi"), t), "likely")
+        sets = materialize(_sets(docs, members, ends(likely), words), "class-sets")
+        links = materialize(_verified(likely, sets, t), "links")
+        discard(sets)
+        return links
+
+    links = verify(first)
     found = components(links)
 
     # second pass: whatever still lies in different components
     lists = index.select("s", "g", "n", "p").join(held.select("g", "k"), "g").join(found, c("k") == c("node"), "left")
     lists = materialize(lists.select("s", "n", "p", "k", F.coalesce("label", "k").alias("label")), "lists")
+    discard(index)
     open_ = lists.select("s", "label").distinct().groupBy("s").agg(F.count("*").alias("m")).filter("m > 1").select("s")
     lists = materialize(lists.join(open_, "s"), "open-lists")
     sides = lists.groupBy("s", "label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
@@ -262,7 +302,7 @@ def near_copies(docs: DataFrame, words: int = 5, t: int = 80) -> DataFrame:
     rest = left.join(right, ["s", "label2"]).filter(_possible(t, c("n"), c("p"), c("n2"), c("p2")))
     rest = rest.select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")).distinct()
     rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(materialize(_verified(rest, sets, t), "links"))
+    links = links.unionByName(verify(rest))
     found = components(links)
 
     lone = members.join(found, c("k") == c("node"), "left").withColumn("label", F.coalesce("label", "k"))
