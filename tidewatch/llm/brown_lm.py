@@ -87,16 +87,23 @@ def code_texts(docs: DataFrame) -> DataFrame:
     return coded.withColumn("chunk", F.concat_ws("-", "chunk", F.monotonically_increasing_id()))
 
 
+def _rows(batch: pa.RecordBatch):
+    """Rows of a batch with their lists as arrays and the codes as bytes."""
+    for i in range(batch.num_rows):
+        values = {n: batch.column(j)[i] for j, n in enumerate(batch.schema.names)}
+        yield {n: v.as_buffer() if n == "codes" else v.values.to_numpy(zero_copy_only=False) for n, v in values.items()}
+
+
 def _training(row: dict):
     """(codes of training texts laid end to end, each led by an end code)."""
-    codes, sizes, held = _unpack(row["codes"]), np.array(row["sizes"], np.int64), np.array(row["held"], bool)
+    codes, sizes, held = _unpack(row["codes"]), row["sizes"], row["held"].astype(bool)
     keep = np.repeat(~held, sizes)
     return np.concatenate([[0], codes[keep]])
 
 
 def _head_classes(row: dict, head: np.ndarray, place: np.ndarray, classes: np.ndarray):
     """(class, head word) of every code of a chunk; -1 for words outside the head. Code 0 has the last class."""
-    vocab = np.array(row["vocab"], np.int64)
+    vocab = row["vocab"]
     if not len(head) or not len(vocab):
         word = np.full(len(vocab), -1)
     else:
@@ -113,7 +120,7 @@ def _contexts(coded: DataFrame, head: np.ndarray, place: np.ndarray, classes: np
     def count(batches):
         total = np.zeros((n_head, 2, wide), np.int64)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 codes = _training(row)
                 cls, word = (x[codes] for x in _head_classes(row, head, place, classes))
                 for side, (w, c) in enumerate(((word[1:], cls[:-1]), (word[:-1], cls[1:]))):
@@ -180,7 +187,7 @@ def _join_classes(coded: DataFrame, head: np.ndarray, classes: np.ndarray) -> Da
     def vote(batches):
         pairs = np.zeros((CLASSES + 1) ** 2, np.int64)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 codes = _training(row)
                 cls, word = _head_classes(row, sorted_head, order, classes)
                 n = len(cls)
@@ -196,7 +203,7 @@ def _join_classes(coded: DataFrame, head: np.ndarray, classes: np.ndarray) -> Da
                 best = np.where(cls >= 0, cls, best)
                 full = best[codes]
                 pairs += np.bincount(full[:-1] * (CLASSES + 1) + full[1:], minlength=len(pairs))
-                vocab, train = np.array(row["vocab"], np.int64), np.array(row["train"], np.int64)
+                vocab, train = row["vocab"], row["train"]
                 some = train > 0
                 weight = np.where(word[1:] >= 0, 1e12, 1e-3 + margin[1:].astype(np.float64))
                 yield pa.RecordBatch.from_arrays([pa.array(vocab[some]), pa.array(best[1:][some].astype(np.int32)), pa.array(weight[some])], ["h", "cls", "vote"])
@@ -245,13 +252,13 @@ def score_texts(docs: DataFrame, head_words: int = HEAD, passes: int = PASSES) -
     base_of = lambda c: np.log10((c + 0.5) / (n_train + 0.5 * (n_types + 1)))
 
     def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.to_pylist()[0]
+        row = next(_rows(left.select(["doc_ids", "held", "sizes", "vocab", "codes"]).combine_chunks().to_batches()[0]))
         size = len(row["vocab"]) + 1
         c, cls = np.zeros(size, np.int64), np.full(size, -1, np.int64)
         spot = right.column("i").to_numpy() + 1
         c[spot], cls[spot] = right.column("c").to_numpy(), right.column("cls").to_numpy()
         c[0], cls[0] = ends, CLASSES if ends else -1
-        codes, sizes = _unpack(row["codes"]), np.array(row["sizes"], np.int64)
+        codes, sizes = _unpack(row["codes"]), row["sizes"]
         k, n = cls[codes], c[codes]
         known = n > 0
         # history: the class of the last known token of the text, at first the end
@@ -265,7 +272,7 @@ def score_texts(docs: DataFrame, head_words: int = HEAD, passes: int = PASSES) -
         full = np.log10(CLASS_SHARE * by_class + (1 - CLASS_SHARE) * 10.0**base) if n_train else np.zeros(len(codes))
         add = lambda x: np.add.reduceat(x, first)
         return pa.table({
-            "doc_id": pa.array(row["doc_ids"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": sizes,
+            "doc_id": left.column("doc_ids").combine_chunks().flatten(), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": sizes,
             "n_known": add(known.astype(np.int64)), "train_tokens": np.full(len(sizes), n_train, np.int64), "base_score": add(base), "score": add(full),
         })
 
