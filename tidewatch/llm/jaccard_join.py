@@ -9,7 +9,8 @@ prefixes form a group, and only groups enter the join:
    and the first ``n - ceil(tn) + 1`` of the larger. Prefix rows are range-partitioned by (shingle, size), so a
    shingle of very many groups is cut over tasks; rows whose shingle no other group has drop out there;
 3. first pass: neighbours by size among the groups of a shingle, and members of a group with its first, are
-   verified: a number of pairs linear in the rows. Their links give provisional components;
+   verified: a number of pairs linear in the rows. Their links give provisional components; a few more such passes
+   take the members of a shingle in other orders;
 4. second pass: all pairs that share a prefix shingle, pass the size and position bounds and still lie in
    different components. Rows are first reduced to (shingle, component), so large groups of near copies, by then
    one component, form no pairs among themselves;
@@ -37,6 +38,8 @@ from tidewatch.llm.components import components
 COUNT_BLOCK = 1 << 22
 #: Most frequent shingles that get a place of their own in the order: bounds what is broadcast (8 bytes each).
 FREQUENT = 1 << 20
+#: Linear passes over the lists in other orders, and how far apart they compare, before all remaining pairs are taken.
+LINEAR_PASSES, REACH = 3, 12
 #: Documents whose ids are broadcast to fetch their texts (32 bytes each); more are fetched by a shuffled join.
 SENT_IDS = 1 << 20
 
@@ -73,7 +76,7 @@ def _frequent(docs: DataFrame, words: int) -> np.ndarray:
 
         def flush():
             values, n = np.unique(np.concatenate(held), return_counts=True)
-            keep = n >= 4
+            keep = n >= 2
             return pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(n[keep])], ["s", "n"])
 
         for batch in batches:
@@ -141,8 +144,8 @@ def _prefixes(docs: DataFrame, words: int, t: int, frequent: np.ndarray) -> Data
     return docs.select("doc_id", "text").mapInArrow(emit, "doc_id long, n long, c1 long, c2 long, prefix array<long>, sketch binary")
 
 
-def _neighbours(rows: DataFrame) -> DataFrame:
-    """Prefix rows sorted by (shingle, size): those whose shingle a neighbour shares, each with the row before it."""
+def _neighbours(rows: DataFrame, *order: str) -> DataFrame:
+    """Prefix rows (s, g, n, p) sorted by shingle and ``order``: those whose shingle a neighbour shares, each with the row before it."""
 
     def scan(batches):
         last = None
@@ -169,10 +172,26 @@ def _neighbours(rows: DataFrame) -> DataFrame:
             last = [x[-1] for x in (s, g, n, p)]
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (s, g, n, p, before, n_before, p_before)], ["s", "g", "n", "p", "g0", "n0", "p0"])
 
-    ordered = rows.select("s", "g", "n", "p").repartitionByRange("s", "n", "g").sortWithinPartitions("s", "n", "g")
+    ordered = rows.repartitionByRange("s", *order).sortWithinPartitions("s", *order).select("s", "g", "n", "p")
     return ordered.mapInArrow(scan, "s long, g long, n long, p long, g0 long, n0 long, p0 long")
 
 
+def _beside(rows: DataFrame, reach: int) -> DataFrame:
+    """Pairs of rows (s, g, n, p, label) of one shingle and different labels, at most ``reach`` apart by (s, o)."""
+
+    def scan(batches):
+        for batch in batches:
+            s, g, n, p, label = (batch.column(i).to_numpy() for i in range(5))
+            out = []
+            for d in range(1, reach + 1):
+                at = np.flatnonzero((s[d:] == s[:-d]) & (label[d:] != label[:-d]))
+                out.append([x[i] for i in (at + d, at) for x in (g, n, p)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["g", "n", "p", "g0", "n0", "p0"])
+
+    ordered = rows.repartitionByRange("s", "o").sortWithinPartitions("s", "o").select("s", "g", "n", "p", "label")
+    return ordered.mapInArrow(scan, "g long, n long, p long, g0 long, n0 long, p0 long")
+
+
 def _possible(t: int, n, p, n2, p2):
     """Size and position bounds of two rows of one shingle, and the role of the smaller set's short prefix."""
     need = F.ceil((F.lit(t) * (n + n2)) / F.lit(100.0 + t) - F.lit(1e-9))
@@ -265,7 +284,7 @@ def near_copies(docs: DataFrame, words: int = 5, t: int = 80) -> DataFrame:
     held = materialize(filled.select("k", "n", "g").distinct(), "classes")
     groups = filled.groupBy("g", "n").agg(F.min("k").alias("head"), F.first("prefix").alias("prefix"))
     shingles = groups.select("g", "n", F.posexplode("prefix").alias("p", "s")).withColumn("p", F.col("p").cast("long"))
-    index = materialize(_neighbours(shingles), "index")
+    index = materialize(_neighbours(shingles, "n", "g"), "index")
 
     # first pass: neighbours in a shingle's list, and each group's members with its first
     c = F.col
@@ -287,12 +306,35 @@ def near_copies(docs: DataFrame, words: int = 5, t: int = 80) -> DataFrame:
     links = verify(first)
     found = components(links)
 
-    # second pass: whatever still lies in different components
-    lists = index.select("s", "g", "n", "p").join(held.select("g", "k"), "g").join(found, c("k") == c("node"), "left")
-    lists = materialize(lists.select("s", "n", "p", "k", F.coalesce("label", "k").alias("label")), "lists")
+    base = materialize(index.select("s", "g", "n", "p").join(held.select("g", "k"), "g").select("s", c("k").alias("g"), "n", "p"), "lists")
     discard(index)
-    open_ = lists.select("s", "label").distinct().groupBy("s").agg(F.count("*").alias("m")).filter("m > 1").select("s")
-    lists = materialize(lists.join(open_, "s"), "open-lists")
+
+    def open_lists() -> DataFrame:
+        """Rows of shingles whose classes still lie in different components."""
+        named = base.join(found, c("g") == c("node"), "left").select("s", "g", "n", "p", F.coalesce("label", "g").alias("label"))
+        several = named.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("s")
+        return materialize(named.join(several, "s"), "open-lists")
+
+    # more linear passes, each with the members of a list in another order
+    tested = first
+    for step in range(LINEAR_PASSES):
+        lists = open_lists()
+        # sizes stay close, so that most neighbours pass the bounds; the rest of the order changes from pass to pass
+        jitter = F.pmod(F.xxhash64("g", F.lit(step)), F.lit(1000)) / F.lit(1000.0)
+        beside = _beside(lists.withColumn("o", c("n") * (1 + jitter * F.lit((100 - t) / 500.0))), REACH)
+        beside = beside.filter(_possible(t, c("n"), c("p"), c("n0"), c("p0")))
+        beside = beside.select(F.least("g", "g0").alias("a"), F.greatest("g", "g0").alias("b")).distinct()
+        beside = materialize(beside.join(tested, ["a", "b"], "left_anti"), "pairs")
+        discard(lists)
+        tested = tested.unionByName(beside)
+        more = verify(beside)
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        found = components(links)
+
+    # second pass: whatever still lies in different components
+    lists = open_lists().withColumnRenamed("g", "k")
     sides = lists.groupBy("s", "label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     other = sides.select("s", c("label").alias("label2"), c("lo").alias("lo2"), c("hi").alias("hi2"))
     near = (c("hi") * 100 >= c("lo2") * t) & (c("hi2") * 100 >= c("lo") * t)
@@ -301,7 +343,7 @@ def near_copies(docs: DataFrame, words: int = 5, t: int = 80) -> DataFrame:
     right = lists.select("s", c("n").alias("n2"), c("p").alias("p2"), c("k").alias("k2"), c("label").alias("label2"))
     rest = left.join(right, ["s", "label2"]).filter(_possible(t, c("n"), c("p"), c("n2"), c("p2")))
     rest = rest.select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")).distinct()
-    rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "pairs")
+    rest = materialize(rest.join(tested, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(verify(rest))
     found = components(links)
 
