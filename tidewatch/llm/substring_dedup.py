@@ -1,7 +1,7 @@
 """Remove passages that already stand in an earlier document: windows found by level-wise doubling.
 
 A window of ``window`` words can only repeat if its parts repeat. Levels run over lengths that about double,
-``window`` last (13, 25, 50). At length k a window is represented by its smallest k-word hash, so equal windows
+``window`` last (7, 13, 25, 50). At length k a window is represented by its smallest k-word hash, so equal windows
 share it; only windows whose representative occurs in two documents go on to the next length, and a document
 shrinks to the stretches such windows cover. The last level compares the windows themselves. Candidates are
 rows (hash, document): each level is one aggregate, combined map-side, and one join that AQE can split for
