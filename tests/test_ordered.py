@@ -80,3 +80,13 @@ def test_results_do_not_depend_on_input_layout(many_blocks):
     a = O.last_known(frame(many_blocks, pdf), ["key"], ["t"], ["v"])
     b = O.last_known(frame(many_blocks, pdf.sample(frac=1, random_state=3)).repartition(7), ["key"], ["t"], ["v"])
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_null_key_over_many_blocks(many_blocks):
+    """A NULL group is carried from block to block like any other."""
+    rows = [(None, i, float(i) if i % 100 == 0 else None) for i in range(2000)]
+    df = many_blocks.createDataFrame(rows, "k string, t long, v double")
+    got = O.grouped_index(df, ["k"], ["t"], totals=True).orderBy("t").collect()
+    assert [r.rn for r in got] == list(range(1, 2001)) and {r.rn_total for r in got} == {2000}
+    filled = O.last_known(df, ["k"], ["t"], ["v"]).orderBy("t").collect()
+    assert [r.v for r in filled] == [float(i // 100 * 100) for i in range(2000)]

@@ -98,7 +98,7 @@ def running_totals(
         .filter("_blocks > 1")
         .drop("_blocks")
     )
-    joined = scanned.join(F.broadcast(spanning), [BLOCK, *keys], "left")
+    joined = _with_carry(scanned, spanning, keys)
     result = [F.col(c) for c in df.columns]
     result += [(F.col(n) + F.coalesce(F.col(f"_c_{n}"), F.lit(0))).alias(n) for n in sums]
     if totals:
@@ -108,6 +108,16 @@ def running_totals(
     return joined.select(*result)
 
 
+def _with_carry(scanned: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
+    """Join the few carry rows to their blocks; NULL is a group key like any other."""
+    names = {c: f"_at_{c}" for c in (BLOCK, *keys)}
+    carry = carry.withColumnsRenamed(names)
+    same = F.lit(True)
+    for c, at in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(at))
+    return scanned.join(F.broadcast(carry), same, "left").drop(*names.values())
+
+
 def with_next(df: DataFrame, keys: list[str], order: str, cols: list[str], bounded: bool) -> DataFrame:
     """Add ``next_<col>``: the values on the next row of the group."""
     packed = df.withColumn("_now", F.struct(*cols))
@@ -141,7 +151,7 @@ def last_known(df: DataFrame, keys: list[str], order: list, cols: list[str]) ->
         F.row_number().over(group).alias("_nth"),
         *[F.last(c, ignorenulls=True).over(earlier).alias(f"_c_{c}") for c in cols],
     ).filter("_nth > 1")
-    joined = scanned.join(F.broadcast(carry.drop("_nth")), [BLOCK, *keys], "left")
+    joined = _with_carry(scanned, carry.drop("_nth"), keys)
     return joined.select(
         *[F.coalesce(F.col(c), F.col(f"_c_{c}")).alias(c) if c in cols else F.col(c) for c in df.columns]
     )
