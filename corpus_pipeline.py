@@ -70,7 +70,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: The toxicity model is fitted, which SQL cannot express; tests hold every stage against a brute-force version.
+#: The toxicity model is fitted, which SQL cannot express.
 ORACLE_SQL = None
 
 
