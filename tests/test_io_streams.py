@@ -30,6 +30,22 @@ def test_psv_folder(spark, tmp_path):
         S.read_psv(spark, str(tmp_path / "none"))
 
 
+def test_psv_files_with_other_headers(spark, tmp_path):
+    (tmp_path / "a 1.psv").write_text("HR|Temp|ICULOS\n70|36.5|1\n71||2\n\n")
+    (tmp_path / "b.psv").write_text("Temp|HR|ICULOS\n37|90|1\n38|91\n39|92|2|7\n")
+    (tmp_path / "c.psv").write_text("HR|Temp|ICULOS\n60|36|1\n")
+    (tmp_path / "d.psv").write_text("HR|Lactate|ICULOS\n80|1.5|1\n")
+    (tmp_path / "e.psv").write_text("HR|Temp|ICULOS\n")
+    rows, rejects = S.read_psv(spark, str(tmp_path))
+    assert rows.columns == ["HR", "Temp", "ICULOS", "Lactate", "patient_id"]
+    got = [tuple(r) for r in rows.orderBy("patient_id", "ICULOS").collect()]
+    assert got == [
+        (70.0, 36.5, 1, None, "a 1"), (71.0, None, 2, None, "a 1"), (90.0, 37.0, 1, None, "b"), (60.0, 36.0, 1, None, "c"),
+        (80.0, None, 1, 1.5, "d"),
+    ]
+    assert sorted(r.line for r in rejects.collect()) == ["38|91", "39|92|2|7"]
+
+
 def test_upload_formats(spark, tmp_path):
     (tmp_path / "h.csv").write_text("PatientID,HR,Gender\n7,80,1\n")
     df, kind = S.read_upload(spark, str(tmp_path / "h.csv"))
