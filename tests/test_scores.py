@@ -62,7 +62,28 @@ def test_detector_table(spark):
     assert boot["index"].f1_mean == pytest.approx(0.7533, abs=0.01) and boot["index"].f1_std == pytest.approx(0.0718, abs=0.01)
     assert boot["ks"].f1_mean == pytest.approx(0.785, abs=0.01)
     same = E.wilcoxon(E.bootstrap_f1(flags, []), "index", "psi").first()
-    assert same.p_value < 1.0 or same.statistic >= 0
+    assert (same.statistic, same.p_value) == (0.0, 1.0)  # they agree on every window
+
+
+def test_resamples_are_paired(spark):
+    """Two detectors on disjoint halves of the drifted windows: in a resample one gains what the other loses."""
+    rows = [(i, "phase1" if i < 20 else "phase3", 20 <= i < 30, i >= 30) for i in range(40)]
+    res = spark.createDataFrame(rows, "window_num int, true_phase string, a boolean, b boolean")
+    flags = E.detector_flags(res, [], {"a": F.col("a"), "b": F.col("b")})
+    f1 = E.bootstrap_f1(flags, [], 200).groupBy("resample").pivot("detector", ["a", "b"]).agg(F.first("f1")).toPandas()
+    # hits x and y share the drawn drifted windows: F1 is 2x / (2x + y) and 2y / (2y + x)
+    ratio = f1["a"] / (2 - f1["a"]) + f1["b"] / (2 - f1["b"])
+    assert len(f1) == 200 and ratio.between(1 - 1e-9, 1 + 1e-9).all() and (f1["a"] != f1["b"]).mean() > 0.5
+    assert E.wilcoxon(E.bootstrap_f1(flags, [], 200), "a", "b").first().statistic > 0
+
+
+def test_resamples_per_key(spark):
+    rows = [(k, i, "phase1" if i < 3 else "phase2", "d", i > 1) for k in ("x", "y") for i in range(7)]
+    flags = spark.createDataFrame(rows, "run string, window_num int, true_phase string, detector string, fired boolean")
+    got = E.bootstrap_f1(flags, ["run"], 50).toPandas()
+    x, y = (got[got["run"] == k].sort_values("resample")["f1"].tolist() for k in ("x", "y"))
+    assert len(x) == 50 and x == y and got["f1"].between(0, 1).all()  # equal flags, equal resamples
+    assert E.bootstrap_f1(flags.filter("run = 'z'"), ["run"], 50).count() == 0
 
 
 def test_latency_is_null_without_alarm(spark):

@@ -60,6 +60,13 @@ def hash_pick(key: Column, n: Column, salt: int = 0) -> Column:
     return F.floor(hash_bits(key, salt) / F.lit(float(HASH_MODULUS)) * n)
 
 
+def hash_place(key: Column, n: Column, salt: int = 0) -> Column:
+    """Deterministic index in [0, n) from two hashes of the key, fine enough for any ``n`` below 2^53."""
+    m = F.lit(float(HASH_MODULUS))
+    u = (hash_bits(key, salt) + hash_bits(key, salt + 3) / m) / m
+    return F.least(F.floor(u * n), n - 1)
+
+
 def hash_normal(key: Column, salt: int = 0) -> Column:
     """Deterministic standard normal (Box-Muller on two keyed uniforms)."""
     u, v = hash_uniform(key, salt), hash_uniform(key, salt + 2)

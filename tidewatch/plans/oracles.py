@@ -370,14 +370,17 @@ CTE["flags"] = """
 SELECT window_num, true_phase, 'index' AS detector, D_total > 0.3 AS fired FROM results
 UNION ALL SELECT window_num, true_phase, 'ks', ks_detected FROM results
 UNION ALL SELECT window_num, true_phase, 'psi', psi_detected FROM results"""
+CTE["ordered_windows"] = """
+SELECT *, row_number() OVER (ORDER BY drift, said, window_num) - 1 AS pos, count(*) OVER () AS n FROM (
+  SELECT window_num, true_phase <> 'phase1' AS drift, list(fired ORDER BY detector) AS said FROM flags GROUP BY 1, 2)"""
 CTE["resample"] = f"""
 SELECT detector, resample, {safe('2.0 * tp', '2 * tp + fp + fn')} AS f1 FROM (
-  SELECT detector, resample, count(*) FILTER (pick < t) AS tp, count(*) FILTER (pick >= t AND pick < t + f) AS fp,
-         count(*) FILTER (pick >= t + f AND pick < t + f + m) AS fn
-  FROM (SELECT *, floor({bits('resample * n + i', 42)} / {H.HASH_MODULUS}.0::DOUBLE * n)::BIGINT AS pick FROM (
-    SELECT detector, count(*) FILTER (fired AND true_phase <> 'phase1') AS t, count(*) FILTER (fired AND true_phase = 'phase1') AS f,
-           count(*) FILTER (NOT fired AND true_phase <> 'phase1') AS m, count(*) AS n FROM flags GROUP BY 1),
-    range(0, 1000) r(resample), LATERAL (SELECT unnest(range(0, n)) AS i)) GROUP BY 1, 2)"""
+  SELECT detector, resample, count(*) FILTER (fired AND drift) AS tp, count(*) FILTER (fired AND NOT drift) AS fp,
+         count(*) FILTER (NOT fired AND drift) AS fn
+  FROM (SELECT resample, least(floor(({bits('resample * n + i', 42)} + {bits('resample * n + i', 45)} / {H.HASH_MODULUS}.0::DOUBLE)
+          / {H.HASH_MODULUS}.0::DOUBLE * n)::BIGINT, n - 1) AS pos
+        FROM (SELECT n, pos AS i FROM ordered_windows), range(0, 1000) r(resample)) draws
+  JOIN ordered_windows USING (pos) JOIN flags USING (window_num) GROUP BY 1, 2)"""
 CTE["events_f"] = """
 SELECT window_num, feature, rank, true_phase AS phase FROM (
   SELECT window_num, true_phase, unnest(top_sadi_features) AS feature, generate_subscripts(top_sadi_features, 1)::INTEGER AS rank FROM results)"""
