@@ -102,7 +102,7 @@ def test_calibration_methods(fitted):
     scored = ML.score(model, split, FEATS, ["row_idx", "split", "y"])
     val = scored.filter("split = 'val'")
     for method in ("sigmoid", "isotonic"):
-        p = val.select("margin", ML.calibrate(val, "y", method)(F.col("margin")).alias("p"), "y").toPandas().sort_values("margin")
+        p = ML.calibrate(val, "y", method)(val).select("margin", "p", "y").toPandas().sort_values("margin")
         assert p["p"].between(0, 1).all() and (p["p"].diff().dropna() >= -1e-12).all()
         assert p["p"].mean() == pytest.approx(p["y"].mean(), abs=0.02)
     with pytest.raises(ValueError):

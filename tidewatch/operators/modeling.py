@@ -7,7 +7,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import hash_bits, sanitized
@@ -70,13 +70,13 @@ def train_gbt(
 
 
 def train_lr(df: DataFrame, features: list[str], label: str, max_iter: int = 1000) -> PipelineModel:
-    """Class-balanced logistic regression with unit L2 penalty."""
+    """Class-balanced logistic regression with unit L2 penalty on the coefficients as they are (scale the features first)."""
     require_positives(df, label)
     rows = balanced_weight(clean_features(df, features), label)
     n = rows.count()
     stages = [
         VectorAssembler(inputCols=features, outputCol="features"),
-        LogisticRegression(labelCol=label, weightCol="weight", maxIter=max_iter, regParam=1.0 / max(n, 1)),
+        LogisticRegression(labelCol=label, weightCol="weight", maxIter=max_iter, regParam=1.0 / max(n, 1), standardization=False),
     ]
     return Pipeline(stages=stages).fit(rows)
 
@@ -89,29 +89,13 @@ def score(model: PipelineModel, df: DataFrame, features: list[str], keep: list[s
 
 
 def calibrate(scored: DataFrame, label: str, method: str = "sigmoid"):
-    """Column builder that maps margins to calibrated probabilities, fitted on held-out rows."""
+    """Function that sets ``p`` of rows with a ``margin`` to the calibrated probability, fitted on held-out rows."""
     if method == "sigmoid":
         rows = VectorAssembler(inputCols=["margin"], outputCol="m").transform(scored)
         fit = LogisticRegression(featuresCol="m", labelCol=label, maxIter=200).fit(rows)
         a, b = float(fit.coefficients[0]), float(fit.intercept)
-        return lambda margin: F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(a) * margin + F.lit(b))))
+        return lambda df: df.withColumn("p", F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(a) * F.col("margin") + F.lit(b)))))
     if method == "isotonic":
-        fit = IsotonicRegression(featuresCol="margin", labelCol=label).fit(scored)
-        xs, ys = [float(v) for v in fit.boundaries], [float(v) for v in fit.predictions]
-        return lambda margin: step_interpolation(margin, xs, ys)
+        fit = IsotonicRegression(featuresCol="margin", labelCol=label, predictionCol="p").fit(scored.drop("p"))
+        return lambda df: fit.transform(df.drop("p"))
     raise ValueError(f"method must be 'sigmoid' or 'isotonic', got {method!r}")
-
-
-def step_interpolation(x: Column, xs: list[float], ys: list[float]) -> Column:
-    """Piecewise linear function through (xs, ys), constant outside; one array lookup per row."""
-    ax, ay = F.array(*[F.lit(v) for v in xs]), F.array(*[F.lit(v) for v in ys])
-    at = F.size(F.filter(ax, lambda v: v <= x))
-    i = F.greatest(F.least(at, F.lit(len(xs) - 1)), F.lit(1))
-    x0, x1, y0, y1 = (F.element_at(a, j) for a, j in ((ax, i), (ax, i + 1), (ay, i), (ay, i + 1))) if len(xs) > 1 else (
-        ax[0],
-        ax[0],
-        ay[0],
-        ay[0],
-    )
-    t = F.when(x1 > x0, F.least(F.greatest((x - x0) / F.nullif(x1 - x0, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-    return y0 + t * (y1 - y0)

@@ -1196,7 +1196,7 @@ def train_gbt(s, sf):
 @query("train_lr")
 def train_lr(s, sf):
     rows = split_rows(s, sf)
-    model = ML.train_lr(rows.filter("split = 'train'"), FEATS, "y", 100)
+    model = ML.train_lr(rows.filter("split = 'train'"), FEATS, "y")
     return _quality(ML.score(model, rows, FEATS, ["split", "y"]), "logistic_regression")
 
 
@@ -1206,7 +1206,7 @@ def calibrate(s, sf):
     scored = ML.score(gbt_model(s, sf), rows, FEATS, ["split", "y"])
     val = scored.filter("split = 'val'")
     parts = [
-        _quality(scored.withColumn("p", ML.calibrate(val, "y", m)(F.col("margin"))), f"gbt_{m}")
+        _quality(ML.calibrate(val, "y", m)(scored), f"gbt_{m}")
         for m in ("sigmoid", "isotonic")
     ]
     return R.union_all(parts)
