@@ -136,12 +136,24 @@ def test_adversarial_scores_and_importance(spark):
         p.insert(0, "i", np.arange(len(p)))
         parts.append(p.assign(w=w))
     r, c = spark.createDataFrame(ref), spark.createDataFrame(pd.concat(parts))
-    got = {x.w: x.adv_score for x in AD.adversarial_scores(r, c, "w", "i", ["a", "b"], 3).collect()}
+    scores = AD.adversarial_scores(r, c, "w", "i", ["a", "b"], 3).collect()
+    got = {x.w: x.adv_score for x in scores}
+    assert {x.w: x.status for x in scores} == {0: "ok", 1: "ok", 2: "too_small"}
     assert 0.35 < got[0] < 0.65 and got[1] > 0.95 and got[2] == 0.5
     imp = {(x.w, x.feature): x.importance for x in AD.adversarial_importance(r, c, "w", "i", ["a", "b"]).collect()}
     assert imp[1, "a"] > 5 * imp[1, "b"] and imp[0, "a"] < 0.5
 
 
+def test_domain_rows_fill_with_the_median_of_both_domains(spark):
+    ref = spark.createDataFrame([(i, 100.0 + i if i % 2 else None, None) for i in range(8)], "i int, a double, b double")
+    cur = spark.createDataFrame([(i, 110.0 if i % 2 else None, None, 0) for i in range(4)], "i int, a double, b double, w int")
+    rows = AD.domain_rows(ref, cur, "w", "i", ["a", "b"], 2).toPandas()
+    known = [101.0, 103.0, 105.0, 107.0, 110.0, 110.0]
+    want = np.array(known + [np.median(known)] * 6)
+    want = (want - want.mean()) / want.std()
+    assert np.allclose(np.sort(rows["a"]), np.sort(want)) and (rows["b"] == 0).all()
+
+
 def test_cleaning_guards(spark):
     nan, inf = float("nan"), float("inf")
     df = spark.createDataFrame([(1, 1, 1.0, nan, None), (1, 2, inf, 2.0, None), (2, 1, None, 4.0, 5.0)], "id int, t int, x double, y double, z double")
