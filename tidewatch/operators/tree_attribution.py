@@ -8,6 +8,7 @@ with U = A minus B and V = B minus A, every j in U gets +value (u-1)! v! / (u+v)
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from math import factorial, inf
 
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 def leaf_paths(model, spark, folder: str) -> list[dict]:
     """Leaves of a fitted tree ensemble as feature intervals; size is bounded by trees times 2^depth."""
-    path = f"{folder}/trees"
-    model.write().overwrite().save(path)
+    path = f"{folder}/trees-{uuid.uuid4().hex}"
+    model.write().save(path)
     nodes = defaultdict(dict)
     for r in spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect():  # model metadata
         nodes[r["treeID"]][r["id"]] = r

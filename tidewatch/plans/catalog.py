@@ -1196,6 +1196,7 @@ def train_gbt(s, sf):
 @query("train_lr")
 def train_lr(s, sf):
     rows = split_rows(s, sf)
+    rows = C.scale(rows, FEATS, C.fit_scaler(rows.filter("split = 'train'"), FEATS))
     model = ML.train_lr(rows.filter("split = 'train'"), FEATS, "y")
     return _quality(ML.score(model, rows, FEATS, ["split", "y"]), "logistic_regression")
 
