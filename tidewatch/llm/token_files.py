@@ -36,6 +36,19 @@ CACHE = 1_000_000
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,!?;:%$*&#@()\[\]{}\-_+=~^/\\\"]*)\Z")
 
 
+class _Codes(dict):
+    """Numbers pieces in the order in which they are first asked for; ``fresh`` lists the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, piece: bytes) -> int:
+        code = self[piece] = len(self)
+        self.fresh.append(piece)
+        return code
+
+
 class PieceEncoder:
     """Token ids of white-space separated pieces, remembered by piece.
 
@@ -52,10 +65,10 @@ class PieceEncoder:
         self.clear()
 
     def clear(self):
-        self.index: dict[bytes, int] = {}
+        self.index = _Codes()
         self.parts: dict[str, list[int]] = {}
-        self.sizes, self.starts = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.ids, self.used = np.zeros(4096, np.uint32), 0
+        self.sizes, self.starts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
 
     def _part(self, text: str) -> list[int]:
         if not text:
@@ -66,24 +79,26 @@ class PieceEncoder:
             found = self.parts[text] = [t.id for t in self.model.tokenize(mapped)]
         return found
 
-    def _encode(self, piece: bytes) -> list[int]:
-        text = piece.decode()
-        plain = _PLAIN.match(text)
-        if plain:
-            return self._part(plain[1].lower()) + self._part(plain[2])
-        return self.whole.encode(text, add_special_tokens=False).ids
-
-    def _add(self, piece: bytes) -> int:
-        ids, at = self._encode(piece), len(self.index)
-        if at == len(self.sizes):
-            self.sizes, self.starts = (np.concatenate([a, np.zeros_like(a)]) for a in (self.sizes, self.starts))
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.sizes[at], self.starts[at] = len(ids), self.used
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.index[piece] = at
-        return at
+    def _learn(self, pieces: list[bytes]):
+        """Encode new pieces together: one decode, one array of ids."""
+        sizes, flat, part = [], [], self._part
+        plain, whole, known = _PLAIN.match, self.whole.encode, self.parts
+        for text in b" ".join(pieces).decode().split(" "):
+            found = plain(text)
+            if found:
+                letters, signs = found.groups()
+                letters = letters.lower()
+                ids = known.get(letters) or part(letters)
+                if signs:
+                    ids = ids + (known.get(signs) or part(signs))
+            else:
+                ids = whole(text, add_special_tokens=False).ids
+            sizes.append(len(ids))
+            flat += ids
+        sizes = np.array(sizes, np.int64)
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, np.array(flat, np.uint32)])
 
     def __call__(self, texts: list[bytes], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids of each text), each text closed by ``end_id``."""
@@ -94,8 +109,10 @@ class PieceEncoder:
             mine = text.split()
             counts[i] = len(mine)
             pieces += mine
-        known, add = self.index, self._add
-        codes = np.fromiter((known[p] if p in known else add(p) for p in pieces), np.int64, len(pieces))
+        codes = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        if self.index.fresh:
+            self._learn(self.index.fresh)
+            self.index.fresh = []
         sizes = self.sizes[codes]
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         last = np.cumsum(counts)
