@@ -7,7 +7,8 @@ prefixes form a group, and only groups enter the join:
    any order gives exact results, this one keeps shared passages out of the prefixes;
 2. prefix: two sets of similarity t share a shingle among the first ``n - ceil(2tn/(1+t)) + 1`` of the smaller
    and the first ``n - ceil(tn) + 1`` of the larger. Prefix rows are range-partitioned by (shingle, size), so a
-   shingle of very many groups is cut over tasks; rows whose shingle no other group has drop out there;
+   shingle of very many groups is cut over tasks; rows whose shingle no other group has drop out there, except one
+   row of each group of several classes, which stands for the pairs inside it;
 3. first pass: neighbours by size among the groups of a shingle, and members of a group with its first, are
    verified: a number of pairs linear in the rows. Their links give provisional components; a few more such passes
    take the members of a shingle in other orders;
@@ -145,7 +146,7 @@ def _prefixes(docs: DataFrame, words: int, t: int, frequent: np.ndarray) -> Data
 
 
 def _neighbours(rows: DataFrame, *order: str) -> DataFrame:
-    """Prefix rows (s, g, n, p) sorted by shingle and ``order``: those whose shingle a neighbour shares, each with the row before it."""
+    """Prefix rows (s, g, n, p, held) sorted by shingle and ``order``: those held or whose shingle a neighbour shares, each with the row before it."""
 
     def scan(batches):
         last = None
@@ -153,8 +154,9 @@ def _neighbours(rows: DataFrame, *order: str) -> DataFrame:
             if not batch.num_rows:
                 continue
             s, g, n, p = (batch.column(i).to_numpy() for i in range(4))
+            held = batch.column(4).to_numpy(zero_copy_only=False)
             if last is not None:
-                s, g, n, p = (np.concatenate([[x], y]) for x, y in zip(last, (s, g, n, p)))
+                s, g, n, p, held = (np.concatenate([[x], y]) for x, y in zip(last, (s, g, n, p, held)))
             same = s[1:] == s[:-1]
             shared = np.zeros(len(s), bool)
             shared[1:] |= same
@@ -166,13 +168,13 @@ def _neighbours(rows: DataFrame, *order: str) -> DataFrame:
             before = np.full(len(s), -1, np.int64)
             before[1:][same] = g[:-1][same]
             n_before, p_before = np.roll(n, 1), np.roll(p, 1)
-            keep = shared.copy()
+            keep = shared | held
             if last is not None:
                 keep[0] = False  # given with its own batch
-            last = [x[-1] for x in (s, g, n, p)]
+            last = [x[-1] for x in (s, g, n, p, held)]
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (s, g, n, p, before, n_before, p_before)], ["s", "g", "n", "p", "g0", "n0", "p0"])
 
-    ordered = rows.repartitionByRange("s", *order).sortWithinPartitions("s", *order).select("s", "g", "n", "p")
+    ordered = rows.repartitionByRange("s", *order).sortWithinPartitions("s", *order).select("s", "g", "n", "p", "held")
     return ordered.mapInArrow(scan, "s long, g long, n long, p long, g0 long, n0 long, p0 long")
 
 
@@ -282,8 +284,10 @@ def near_copies(docs: DataFrame, words: int = 5, t: int = 80) -> DataFrame:
     filled = rows.filter("n > 0").withColumn("k", F.xxhash64("c1", "c2", "n")).withColumn("g", F.xxhash64("n", "prefix"))
     members = filled.select("doc_id", "n", "c1", "c2", "k")
     held = materialize(filled.select("k", "n", "g").distinct(), "classes")
-    groups = filled.groupBy("g", "n").agg(F.min("k").alias("head"), F.first("prefix").alias("prefix"))
-    shingles = groups.select("g", "n", F.posexplode("prefix").alias("p", "s")).withColumn("p", F.col("p").cast("long"))
+    groups = filled.groupBy("g", "n").agg((F.min("k") < F.max("k")).alias("several"), F.first("prefix").alias("prefix"))
+    shingles = groups.select("g", "n", "several", F.posexplode("prefix").alias("p", "s")).withColumn("p", F.col("p").cast("long"))
+    # the members of a group share their whole prefix, so its first shingle is enough to pair them
+    shingles = shingles.withColumn("held", F.col("several") & (F.col("p") == 0)).drop("several")
     index = materialize(_neighbours(shingles, "n", "g"), "index")
 
     # first pass: neighbours in a shingle's list, and each group's members with its first
