@@ -166,6 +166,18 @@ def test_substrings(docs, empty):
     assert substring_dedup.levels(50) == [7, 13, 25, 50]
 
 
+@pytest.mark.parametrize("sent", [1 << 23, 0])
+def test_substrings_of_rows_that_share_an_id(spark, monkeypatch, sent):
+    """Rows without id and rows of one id have different texts: each loses its own repeats only."""
+    monkeypatch.setattr(substring_dedup, "SENT_MARKS", sent)
+    passage = " ".join(f"p{i}" for i in range(8))
+    own = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(1, passage), (None, f"{passage} {own('a', 20)}"), (None, own("b", 30)), (None, f"{own('c', 9)} {passage}"), (7, own("d", 25)), (7, f"{own('e', 3)} {passage} {own('f', 12)}")]
+    got = collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect())
+    left = [" ".join(w for w in t.split() if i == 1 or w not in passage.split()) for i, t in rows]
+    assert got == collections.Counter((i, len(t.split()), len(t.split()) - len(k.split()), k) for (i, t), k in zip(rows, left))
+
+
 def test_lines(spark, docs, empty):
     rows = [(1, "A common line, quite long indeed!\nother text"), (2, "a common line quite long indeed\nnew words"), (3, None), (4, ""), (5, "--\n--")]
     got = {r.doc_id: r for r in line_dedup.remove_near_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

@@ -6,6 +6,9 @@ share it; only windows whose representative occurs in two documents go on to the
 shrinks to the stretches such windows cover. The last level compares the windows themselves. Candidates are
 rows (hash, document): each level is one aggregate, combined map-side, and one join that AQE can split for
 passages that very many documents share. Words travel as 64-bit hashes; no document pairs are formed.
+
+The document id says which document is earlier; the row key (a hash of id and text) says to which row a place belongs,
+so rows without id, or of one repeated id, keep their places apart.
 """
 
 from __future__ import annotations
@@ -56,47 +59,47 @@ def _representatives(hashes: np.ndarray, counts: np.ndarray, k: int, window: int
 
 
 def _texts(batch, lower=False):
-    """(documents, word hashes, words per row, first word of each row in its document) of slices of a batch."""
-    docs = batch.column(0).to_numpy(zero_copy_only=False)
-    if batch.schema.names[1] == "words":
-        first = batch.column(1 + 1).to_numpy()
+    """(start, documents, row keys, word hashes, words per row, first word of each row in its text) of slices of a batch."""
+    docs, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+    if batch.schema.names[2] == "words":
+        first = batch.column(3).to_numpy()
         held, total, at = [], 0, 0
-        for i, value in enumerate(batch.column(1)):
+        for i, value in enumerate(batch.column(2)):
             held.append(np.frombuffer(value.as_buffer(), np.uint64))
             total += len(held[-1])
             if total >= 1 << 18 or i + 1 == batch.num_rows:
                 counts = np.array([len(h) for h in held], np.int64)
-                yield at, docs[at : i + 1], np.concatenate(held), counts, first[at : i + 1]
+                yield at, docs[at : i + 1], keys[at : i + 1], np.concatenate(held), counts, first[at : i + 1]
                 held, total, at = [], 0, i + 1
         return
-    for at, texts in word_hash.chunks(batch.column(1)):
+    for at, texts in word_hash.chunks(batch.column(2)):
         hashes, counts = word_hash.word_hashes(texts, lower)
-        yield at, docs[at : at + len(texts)], hashes, counts, np.zeros(len(texts), np.int64)
+        yield at, docs[at : at + len(texts)], keys[at : at + len(texts)], hashes, counts, np.zeros(len(texts), np.int64)
 
 
 def _marks(source: DataFrame, k: int, window: int) -> DataFrame:
-    """(doc, mark) of every window's representative, once per document slice; (doc, mark, place) at the last level."""
+    """(doc, rk, mark) of every window's representative, once per document slice; (doc, rk, mark, place) at the last level."""
     last = k == window
 
     def emit(batches):
         for batch in batches:
-            for _, docs, hashes, counts, first in _texts(batch):
+            for _, docs, keys, hashes, counts, first in _texts(batch):
                 place, text, low = _representatives(hashes, counts, k, window)
                 if not last:  # neighbours share their representative
                     new = np.ones(len(low), bool)
                     new[1:] = (low[1:] != low[:-1]) | (text[1:] != text[:-1])
                     place, text, low = place[new], text[new], low[new]
-                columns = [pa.array(docs[text]), pa.array(low)]
+                columns = [pa.array(docs[text]), pa.array(keys[text]), pa.array(low)]
                 if last:
                     starts = np.cumsum(counts) - counts
                     columns.append(pa.array((place - starts[text] + first[text]).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays(columns, ["doc", "mark", "place"][: len(columns)])
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "rk", "mark", "place"][: len(columns)])
 
-    return source.mapInArrow(emit, "doc long, mark long" + ", place int" * last)
+    return source.mapInArrow(emit, "doc long, rk long, mark long" + ", place int" * last)
 
 
 def _shrink(source: DataFrame, k: int, window: int, sent=None) -> DataFrame:
-    """Stretches of documents covered by windows whose representative repeats: doc, words, first.
+    """Stretches of documents covered by windows whose representative repeats: doc, rk, words, first.
 
     Repeated representatives are ``sent`` (a broadcast sorted array) or stand in each row's last column, marks.
     """
@@ -104,8 +107,8 @@ def _shrink(source: DataFrame, k: int, window: int, sent=None) -> DataFrame:
     def emit(batches):
         for batch in batches:
             marks = batch.column(batch.num_columns - 1) if sent is None else None
-            for at, docs, hashes, counts, first in _texts(batch):
-                starts, out = np.cumsum(counts) - counts, ([], [], [])
+            for at, docs, keys, hashes, counts, first in _texts(batch):
+                starts, out = np.cumsum(counts) - counts, ([], [], [], [])
                 place, text, low = _representatives(hashes, counts, k, window)
                 if sent is not None and len(low):
                     known = sent.value
@@ -124,16 +127,17 @@ def _shrink(source: DataFrame, k: int, window: int, sent=None) -> DataFrame:
                     cut = np.flatnonzero(np.diff(alive) > window) + 1
                     for run in np.split(alive, cut):
                         out[0].append(docs[i])
-                        out[1].append(hashes[run[0] : run[-1] + window].tobytes())
-                        out[2].append(int(run[0] - starts[i] + first[i]))
-                kinds = (pa.int64(), pa.binary(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], ["doc", "words", "first"])
+                        out[1].append(keys[i])
+                        out[2].append(hashes[run[0] : run[-1] + window].tobytes())
+                        out[3].append(int(run[0] - starts[i] + first[i]))
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], ["doc", "rk", "words", "first"])
 
-    return source.mapInArrow(emit, "doc long, words binary, first long")
+    return source.mapInArrow(emit, "doc long, rk long, words binary, first long")
 
 
 def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
-    """(doc, places): places of windows whose words also start in a document of smaller id. ``docs``: doc, text."""
+    """(doc, rk, places): places of windows whose words also start in a document of smaller id. ``docs``: doc, rk, text."""
     source, old = docs, None
     for k in levels(window)[:-1]:
         marks = materialize(_marks(source, k, window), "substring-marks")
@@ -143,8 +147,8 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
             known = np.sort(twice.toArrow().column("mark").to_numpy())
             shrunk = _shrink(source, k, window, docs.sparkSession.sparkContext.broadcast(known))
         else:
-            kept = marks.join(twice, "mark").groupBy(F.col("doc").alias("d")).agg(F.collect_set("mark").alias("marks"))
-            shrunk = _shrink(source.join(kept, F.col("doc") == F.col("d")).select(*source.columns, "marks"), k, window)
+            kept = marks.join(twice, "mark").groupBy(F.col("doc").alias("d"), F.col("rk").alias("r")).agg(F.collect_set("mark").alias("marks"))
+            shrunk = _shrink(source.join(kept, (F.col("doc") == F.col("d")) & (F.col("rk") == F.col("r"))).select(*source.columns, "marks"), k, window)
         source = materialize(shrunk, "substring-stretches")
         for table in (marks, twice, old):
             if table is not None:
@@ -153,7 +157,7 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     every = _marks(source, window, window)
     first = every.groupBy("mark").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("mark", "a")
     later = every.join(first, "mark").filter("a < doc")
-    return later.groupBy("doc").agg(F.collect_set("place").alias("places"))
+    return later.groupBy("doc", "rk").agg(F.collect_set("place").alias("places"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -163,7 +167,8 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     words; rows without id count as one last document. An empty table gives an empty result.
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("binary").alias("text"))
-    found = repeated_windows(docs, window).withColumnRenamed("doc", "d")
+    docs = docs.select("doc", F.xxhash64("doc", "text").alias("rk"), "text")
+    found = repeated_windows(docs, window).withColumnsRenamed({"doc": "d", "rk": "r"})
 
     def cut(batches):
         for batch in batches:
@@ -177,7 +182,6 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
                     if mine.is_valid:
                         spot = mine.values.to_numpy()
                         edge = np.zeros(len(words) + window + 1, np.int64)
-                        spot = spot[spot + window <= len(words)]
                         np.add.at(edge, spot, 1)
                         np.add.at(edge, spot + window, -1)
                         gone = np.cumsum(edge)[: len(words)] > 0
@@ -187,7 +191,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
                 ids = docs_.slice(at, len(texts))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc", "n_words", "n_removed", "kept"])
 
-    joined = docs.join(found, F.col("doc") == F.col("d"), "left").select("doc", "text", "places")
+    joined = docs.join(found, (F.col("doc") == F.col("d")) & (F.col("rk") == F.col("r")), "left").select("doc", "text", "places")
     out = joined.mapInArrow(cut, "doc long, n_words long, n_removed long, kept string")
     return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept")
 
