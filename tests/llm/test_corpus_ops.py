@@ -225,6 +225,17 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.train(train, labels.filter("false")).rest == 0.0
 
 
+def test_toxicity_of_long_tokens_and_short_spaced_words(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(rng.choice(["the", "river", "walks", "stone", "green"], 12)) + (" awfulness vex" if i % 4 == 0 else "")) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int"))
+    model.rules.setdefault("=vex", 0.9)
+    ask = [(1, "the aw" + "f" * 90 + "ulness"), (2, "_".join(["river", "stone"] * 8 + ["awfu1ness"] + ["green"] * 4)), (3, "the v e x walks"), (4, "_".join(["river", "st0ne"] * 12)), (5, "r i v"), (6, "stone" + "." * 5000 + "awfu1ness")]
+    got = {r.doc_id: r.score >= 0.3 for r in toxicity.score(spark.createDataFrame(ask, "doc_id long, text string"), model).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: False, 5: False, 6: True}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

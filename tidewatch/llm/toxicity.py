@@ -51,7 +51,7 @@ SELF, STANDS, REPEAT, TWICE, GAP, INSERT, BORDER = log(0.95), log(0.3), log(0.4)
 _WORDS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _SYMBOL = np.array([b - 96 if 97 <= b <= 122 else 27 if b >= 128 else 0 for b in range(256)], np.int32)
 _DISGUISED = re.compile(r"[a-z][0-9@$!|+*_.\-~'`]+[a-z]|(?<![a-z0-9])[0-9@$|+]+[a-z]{2}|[a-z]{2}[013457@$|]+(?![a-z0-9])|([a-z])\1\1")
-_SPACED = re.compile(rb"(?<![a-z0-9@$!])(?:[a-z0-9@$!|][ .\-_*~]{1,3}){3,}[a-z0-9@$!|](?![a-z0-9@$!])")
+_SPACED = re.compile(rb"(?<![a-z0-9@$!])(?:[a-z0-9@$!|][ .\-_*~]{1,3}){2,}[a-z0-9@$!|](?![a-z0-9@$!])")
 
 
 def character_counts(docs: DataFrame) -> np.ndarray:
@@ -87,7 +87,8 @@ def character_model(counts: np.ndarray) -> np.ndarray:
 
 def restore(token: str, model: np.ndarray) -> str:
     """Most likely words behind a lower-case token (or spaced letters), words parted by spaces. Letters beyond ASCII stay."""
-    paths = {(0, 0): (0.0, "")}
+    # a path is its score and its last letter with the path before; paths that merge share what lies behind them
+    paths = {(0, 0): (0.0, None)}
     before = ""
     for i, ch in enumerate(token):
         options = []
@@ -100,7 +101,7 @@ def restore(token: str, model: np.ndarray) -> str:
                 options.append((" ", BORDER))
         if ch == before:
             options.append(("", REPEAT if ch * 3 in token[max(0, i - 2) : i + 3] else TWICE))
-        step: dict[tuple[int, int], tuple[float, str]] = {}
+        step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (p, q), (score, text) in paths.items():
             for letter, chance in options:
                 if letter == "":
@@ -113,9 +114,20 @@ def restore(token: str, model: np.ndarray) -> str:
                     symbol = ord(letter) - 96 if "a" <= letter <= "z" else 27
                     key, value = (q, symbol), score + chance + model[p, q, symbol]
                 if key not in step or value > step[key][0]:
-                    step[key] = (value, text + letter)
+                    step[key] = (value, (letter, text) if letter else text)
         paths, before = step, ch
-    return max((score + model[p, q, 0], text) for (p, q), (score, text) in paths.items())[1]
+    ends = [(score + model[p, q, 0], text) for (p, q), (score, text) in paths.items()]
+    best = max(score for score, _ in ends)
+    return max(_spelled(text) for score, text in ends if score == best)
+
+
+def _spelled(text: tuple | None) -> str:
+    """Letters of a path of ``restore``, which holds them last first."""
+    out = []
+    while text:
+        letter, text = text
+        out.append(letter)
+    return "".join(reversed(out))
 
 
 @dataclass
@@ -135,7 +147,7 @@ def _words(token: bytes, letters: np.ndarray) -> set[str]:
     """Words of a lower-case token, and what is restored of it if it looks disguised."""
     words = set(token.translate(_WORDS).decode("utf-8", "ignore").split())
     text = token.decode("utf-8", "ignore").strip(".,;:?\"'()[]{}<>%&#")
-    if _DISGUISED.search(text) and len(text) <= 64:
+    if _DISGUISED.search(text):
         words |= set(restore(text.rstrip("!*$"), letters).split())
     return words
 
