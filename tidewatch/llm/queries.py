@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import brown_lm, decontamination, jaccard_join, line_dedup, mixing, pivot_search, sharding, substring_dedup, token_files, toxicity
+from tidewatch.llm import brown_lm, decontamination, fast_sketches, jaccard_join, line_dedup, mixing, pivot_search, sharding, substring_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontaminate": decontamination.query,
     "op9_substring_dedup": substring_dedup.query,
     "op10_noisy_channel_toxicity": toxicity.query,
+    "op11_fast_sketches": fast_sketches.query,
 }
 ORACLES = {
     "op1_jaccard_join": jaccard_join.ORACLE_SQL,
@@ -22,4 +23,5 @@ ORACLES = {
     "op6_pivot_search": pivot_search.ORACLE_SQL,
     "op8_decontaminate": decontamination.ORACLE_SQL,
     "op9_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op11_fast_sketches": fast_sketches.ORACLE_SQL,
 }
