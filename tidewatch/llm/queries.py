@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import brown_lm, decontamination, fast_sketches, jaccard_join, line_dedup, mixing, pivot_search, prefix_trie, sharding, substring_dedup, token_files, toxicity
+from tidewatch.llm import brown_lm, decontamination, fast_sketches, jaccard_join, line_dedup, mixing, pivot_search, prefix_trie, sharding, substring_dedup, term_pipeline, token_files, toxicity
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_substring_dedup": substring_dedup.query,
     "op10_noisy_channel_toxicity": toxicity.query,
     "op11_fast_sketches": fast_sketches.query,
+    "op12_term_pipeline": term_pipeline.query,
     "op13_prefix_trie": prefix_trie.query,
 }
 ORACLES = {
@@ -25,5 +26,6 @@ ORACLES = {
     "op8_decontaminate": decontamination.ORACLE_SQL,
     "op9_substring_dedup": substring_dedup.ORACLE_SQL,
     "op11_fast_sketches": fast_sketches.ORACLE_SQL,
+    "op12_term_pipeline": term_pipeline.ORACLE_SQL,
     "op13_prefix_trie": prefix_trie.ORACLE_SQL,
 }
