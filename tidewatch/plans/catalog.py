@@ -74,11 +74,24 @@ def index_parts(s, sf) -> DataFrame:
     return stage(s, ("components", sf), lambda: monitor.components(T.reference_rows(s, sf), T.window_rows(s, sf), W_KEY))
 
 
+def split_rows(s, sf) -> DataFrame:
+    return stage(s, ("split", sf), lambda: ML.stratified_split(T.reference_rows(s, sf), "y", "row_idx"))
+
+
+def held_out(s, sf) -> DataFrame:
+    return split_rows(s, sf).filter("split = 'val'")
+
+
+def domain_scores(s, sf) -> DataFrame:
+    """Every window told apart from the held-out reference rows, over all features."""
+    return stage(s, ("domain", sf), lambda: AD.adversarial_scores(held_out(s, sf), T.window_rows(s, sf), "window_id", "row_idx", FEATS, 3))
+
+
 def results(s, sf) -> DataFrame:
     return stage(
         s,
         ("results", sf),
-        lambda: monitor.window_results(T.reference_rows(s, sf), T.window_rows(s, sf), profile(s, sf), index_parts(s, sf)),
+        lambda: monitor.window_results(T.reference_rows(s, sf), T.window_rows(s, sf), profile(s, sf), index_parts(s, sf), domain_scores(s, sf).select("window_id", "adv_score")),
     )
 
 
@@ -1064,7 +1077,7 @@ def describe(s, sf):
     return r6(R.describe(T.cohort(s, sf), FEATS), "mean", "std", "q25", "q50", "q75", digits=4)
 
 
-_CORR = ["D_total", "D_shap", "drift_belief", "risk_score", "est_auprc"]
+_CORR = ["D_total", "D_shap", "adv_score", "drift_belief", "risk_score", "est_auprc"]
 
 
 @query(
@@ -1168,10 +1181,6 @@ def stratified_split(s, sf):
     return ML.stratified_split(T.reference_rows(s, sf), "y", "row_idx").select("row_idx", "y", "split")
 
 
-def split_rows(s, sf) -> DataFrame:
-    return stage(s, ("split", sf), lambda: ML.stratified_split(T.reference_rows(s, sf), "y", "row_idx"))
-
-
 def gbt_model(s, sf, trees: int = 10):
     key = (s.sparkContext.applicationId, sf, trees)
     if key not in _MODELS:
@@ -1231,17 +1240,12 @@ def knn_impute(s, sf):
     return r6(filled.join(gaps, ["row_idx", "entity_id"], "left_semi").select("entity_id", "qty_std"), "qty_std", digits=4)
 
 
-def held_out(s, sf) -> DataFrame:
-    return split_rows(s, sf).filter("split = 'val'")
-
-
-@query("adversarial")
+@query("adversarial", "SELECT window_id, round(adv_score, 6) AS adv_score, status FROM adversarial")
 def adversarial(s, sf):
-    out = AD.adversarial_scores(held_out(s, sf), T.window_rows(s, sf), "window_id", "row_idx", FEATS, 3)
-    return r6(out, "adv_score")
+    return r6(domain_scores(s, sf), "adv_score")
 
 
-@query("adversarial_importance")
+@query("adversarial_importance", "SELECT window_id, feature, round(importance, 6) AS importance FROM adv_importance")
 def adversarial_importance(s, sf):
     out = AD.adversarial_importance(held_out(s, sf), T.window_rows(s, sf), "window_id", "row_idx", FEATS)
     return r6(out, "importance")

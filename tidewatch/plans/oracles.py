@@ -339,16 +339,83 @@ def clip(x: str, lo: float = 0.0, hi: float = 1.0) -> str:
     return f"least(greatest({x}, {lit(lo)}), {lit(hi)})"
 
 
+CTE["split"] = f"""
+SELECT row_idx, y, CASE WHEN rn <= floor(n * {lit(0.2)}) THEN 'val' ELSE 'train' END AS split FROM (
+  SELECT row_idx, y, row_number() OVER (PARTITION BY y ORDER BY {bits('row_idx', 42)}, row_idx) AS rn, count(*) OVER (PARTITION BY y) AS n FROM ref)"""
+
+
+# ---- domain classifiers: Newton steps of a penalised logistic fit, one statement per step ------------------------
+
+
+def _solved(source: str, p: int, keys: str, beta: list[str]) -> str:
+    """SQL of beta + A^-1 g for a row of sums h{i}_{j} (j >= i) and g{i}: elimination, then back-substitution."""
+    table = source
+    for i in range(p - 1):
+        rest = [f"h{j}_{k} - h{i}_{j} * h{i}_{k} / h{i}_{i} AS h{j}_{k}" for j in range(i + 1, p) for k in range(j, p)]
+        rest += [f"g{j} - h{i}_{j} * g{i} / h{i}_{i} AS g{j}" for j in range(i + 1, p)]
+        kept = [f"h{a}_{k}" for a in range(i + 1) for k in range(a, p)] + [f"g{a}" for a in range(i + 1)]
+        table = f"(SELECT {keys}, {', '.join(beta + kept + rest)} FROM {table})"
+    for i in reversed(range(p)):
+        known = " - ".join([f"g{i}", *[f"h{i}_{k} * d{k}" for k in range(i + 1, p)]])
+        table = f"(SELECT *, ({known}) / h{i}_{i} AS d{i} FROM {table})"
+    return f"SELECT {keys}, {', '.join(f'{b} + d{i} AS {b}' for i, b in enumerate(beta))} FROM {table}"
+
+
+NEWTON_STEPS = 12
+
+
+def domain_ctes(prefix: str, train: str) -> None:
+    """Register {prefix}_beta: the fits of the models that ``train`` (window_id, m, dom, x1..) lists rows for."""
+    p = len(FEATS) + 1
+    x = ["1.0", *[f"x{i}" for i in range(1, p)]]
+    beta = [f"b{i}" for i in range(p)]
+    CTE[f"{prefix}_train"] = f"""
+    SELECT *, n / (2.0::DOUBLE * CASE WHEN dom = 1 THEN n1 ELSE n - n1 END) AS w FROM (
+      SELECT *, count(*) OVER (PARTITION BY window_id, m) AS n, sum(dom) OVER (PARTITION BY window_id, m) AS n1 FROM ({train}))"""
+    CTE[f"{prefix}_step0"] = f"SELECT DISTINCT window_id, m, {', '.join(f'0.0::DOUBLE AS {b}' for b in beta)} FROM {prefix}_train"
+    for step in range(NEWTON_STEPS):
+        eta = " + ".join(f"{b} * {c}" for b, c in zip(beta, x))
+        pen = [lit(1e-9) if i == 0 else lit(1.0) for i in range(p)]
+        sums = [f"sum(c * {x[i]} * {x[j]})" + (f" + {pen[i]}" if i == j else "") + f" AS h{i}_{j}" for i in range(p) for j in range(i, p)]
+        sums += [f"sum(e * {x[i]}) - {pen[i]} * any_value(b{i}) AS g{i}" for i in range(p)]
+        rows = f"SELECT *, w * q * (1 - q) AS c, w * (dom - q) AS e FROM (SELECT *, 1 / (1 + exp(-({eta}))) AS q FROM {prefix}_train JOIN {prefix}_step{step} USING (window_id, m))"
+        inner = f"(SELECT window_id, m, {', '.join(f'any_value({b}) AS {b}' for b in beta)}, {', '.join(sums)} FROM ({rows}) GROUP BY window_id, m)"
+        CTE[f"{prefix}_step{step + 1}"] = _solved(inner, p, "window_id, m", beta)
+
+
+_X = [f"({f} - avg({f}) OVER w) / CASE WHEN stddev_pop({f}) OVER w > 0 THEN stddev_pop({f}) OVER w ELSE 1.0 END AS x{i}" for i, f in enumerate(FEATS, 1)]
+CTE["domains"] = f"""
+SELECT window_id, dom, k, (pos * k) // nd AS fold, {', '.join(_X)} FROM (
+  SELECT window_id, 0 AS dom, row_number() OVER (PARTITION BY window_id ORDER BY row_idx) - 1 AS pos, nr AS nd, least(3, least(nw, nr) // 2) AS k, {', '.join(FEATS)}
+  FROM ref JOIN split USING (row_idx), (SELECT window_id, count(*) AS nw FROM win GROUP BY 1), (SELECT count(*) AS nr FROM split WHERE split = 'val') WHERE split = 'val'
+  UNION ALL
+  SELECT window_id, 1, row_number() OVER (PARTITION BY window_id ORDER BY row_idx) - 1, count(*) OVER (PARTITION BY window_id),
+    least(3, least(count(*) OVER (PARTITION BY window_id), (SELECT count(*) FROM split WHERE split = 'val')) // 2), {', '.join(FEATS)} FROM win)
+WINDOW w AS (PARTITION BY window_id)"""
+domain_ctes("cv", "SELECT d.*, m FROM domains d, range(0, 3) r(m) WHERE m < k AND k >= 2 AND fold <> m")
+domain_ctes("all_rows", "SELECT *, 0 AS m FROM domains")
+_ETA = " + ".join(["b0", *[f"b{i} * x{i}" for i in range(1, len(FEATS) + 1)]])
+CTE["adversarial"] = f"""
+SELECT window_id, coalesce(adv_score, 0.5) AS adv_score, CASE WHEN adv_score IS NULL THEN 'too_small' ELSE 'ok' END AS status
+FROM (SELECT DISTINCT window_id FROM win) LEFT JOIN (
+  SELECT window_id, avg(auc) AS adv_score FROM (
+    SELECT window_id, m, (sum(r) FILTER (WHERE dom = 1) - count(*) FILTER (WHERE dom = 1) * (count(*) FILTER (WHERE dom = 1) + 1) / 2.0)
+        / (count(*) FILTER (WHERE dom = 1) * count(*) FILTER (WHERE dom = 0)) AS auc FROM (
+      SELECT window_id, m, dom, rank() OVER (PARTITION BY window_id, m ORDER BY eta) + (count(*) OVER (PARTITION BY window_id, m, eta) - 1) / 2.0 AS r FROM (
+        SELECT d.window_id, m, dom, round({_ETA}, 9) AS eta FROM domains d JOIN cv_step{NEWTON_STEPS} b ON b.window_id = d.window_id AND b.m = d.fold)) GROUP BY 1, 2) GROUP BY 1)
+  USING (window_id)"""
+CTE["adv_importance"] = " UNION ALL ".join(f"SELECT window_id, '{f}' AS feature, abs(b{i}) AS importance FROM all_rows_step{NEWTON_STEPS}" for i, f in enumerate(FEATS, 1))
+
 CTE["results"] = f"""
 SELECT window_id AS window_idx, window_id AS window_num, true_phase, round(d_total, 6) AS D_total, round(d_shap, 6) AS D_shap,
-       0.5::DOUBLE AS adv_score, round(({lit(0.6)} * {clip('d_total')} + {lit(0.4)} * 0.0) / 1.0, 6) AS drift_belief,
+       round(adv_score, 6) AS adv_score, round({lit(0.6)} * {clip('d_total')} + {lit(0.4)} * {clip('(adv_score - 0.5) * 2')}, 6) AS drift_belief,
        round(risk, 6) AS risk_score, round(est, 6) AS est_auprc, round(baseline_auprc, 6) AS baseline_auprc,
        level AS intervention_level, {case_list('level', ACTIONS)} AS intervention_action,
        coalesce(top_f, []) AS top_sadi_features, ks_f IS NOT NULL AS ks_detected, psi_f IS NOT NULL AS psi_detected,
        coalesce(ks_f, []) AS ks_flagged_features, coalesce(psi_f, []) AS psi_flagged_features, dpd, eod, n_samples
 FROM (SELECT *, {LEVEL} AS level FROM (SELECT *, {clip('baseline_auprc - est')} AS risk FROM (
   SELECT *, {clip('baseline_auprc * (1 - least(d_confidence, 1.0))')} AS est
-  FROM d_total JOIN w_phase USING (window_id) JOIN fair USING (window_id)
+  FROM d_total JOIN w_phase USING (window_id) JOIN fair USING (window_id) JOIN (SELECT window_id, adv_score FROM adversarial) USING (window_id)
   JOIN (SELECT window_id, count(*) AS n_samples FROM win GROUP BY 1) USING (window_id)
   LEFT JOIN (SELECT window_id, feats AS top_f FROM ({top_list('sadi', 'sadi')})) USING (window_id)
   LEFT JOIN (SELECT window_id, feats AS ks_f FROM ({top_list('(SELECT * FROM ks WHERE p_value < 0.05)', 'statistic')})) USING (window_id)
