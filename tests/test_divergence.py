@@ -110,7 +110,27 @@ def test_kl_guards_and_value(spark):
         return d / d.sum()
 
     p, q = kde(base), kde(v)
-    assert got[0, "v"] == pytest.approx(np.sum(p * np.log(p / q)), rel=2e-3)
+    assert got[0, "v"] == pytest.approx(np.sum(p * np.log(p / q)), rel=1e-9)
+
+
+def test_kl_of_heavy_tails_equals_the_exact_kernel_sum(spark):
+    """Most values lie within a small part of the range, and far values must neither widen nor hide them."""
+    rng = np.random.default_rng(18)
+    draw = {"lognormal": lambda n: rng.lognormal(0, 2.5, n), "t2": lambda n: rng.standard_t(2, n), "pareto": lambda n: rng.pareto(1.1, n), "ties": lambda n: rng.integers(0, 4, n).astype(float)}
+    ref, parts = {(0, f): d(1500) for f, d in draw.items()}, {}
+    for w in range(3):
+        parts |= {(w, f): d(400) * (1 + 0.2 * w) + 0.1 * w for f, d in draw.items()}
+    got = {(r.w, r.feature): r.kl for r in D.kl_kde(long(spark, parts), long(spark, ref).drop("w"), W).collect()}
+    for (w, f), v in parts.items():
+        base = ref[0, f]
+        lo, hi = min(base.min(), v.min()), max(base.max(), v.max())
+        grid = np.linspace(lo - 0.1 * (hi - lo + 1e-10), hi + 0.1 * (hi - lo + 1e-10), 100)
+        d = []
+        for x in (base, v):
+            h = x.std(ddof=1) * len(x) ** -0.2
+            y = np.maximum(np.exp(-0.5 * ((grid[:, None] - x) / h) ** 2).sum(1) / (len(x) * h * np.sqrt(2 * np.pi)), 1e-10)
+            d.append(y / y.sum())
+        assert got[w, f] == pytest.approx(np.sum(d[0] * np.log(d[0] / d[1])), rel=1e-8, abs=1e-12), (w, f)
 
 
 def test_auto_drift_picks_tests_by_type(spark):

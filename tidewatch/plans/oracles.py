@@ -224,14 +224,8 @@ SELECT *, lo - mg AS g0, (hi + mg) - (lo - mg) AS gw FROM (
         {lit(0.1)} * (greatest(r.hi, c.hi) - least(r.lo, c.lo) + {lit(1e-10)}) AS mg
  FROM (SELECT window_id, feature, {_MOM} FROM phi_win GROUP BY ALL) c
  JOIN (SELECT feature, {_MOM} FROM phi_ref GROUP BY ALL) r ON r.feature = c.feature)"""
-_SLOT = f"least(floor((phi - rlo) / ((rhi - rlo) / {lit(512)})), 511)"
-_CENTRE = f"CASE WHEN rhi > rlo THEN rlo + ({_SLOT} + 0.5) * ((rhi - rlo) / {lit(512)}) ELSE phi END"
-CTE["kl_ref_cells"] = f"""
-SELECT feature, {_CENTRE} AS x, count(*) AS w FROM phi_ref
-JOIN (SELECT DISTINCT feature, rlo, rhi FROM kl_stats) USING (feature) GROUP BY ALL"""
-CTE["kl_win_cells"] = f"""
-SELECT window_id, feature, lo + (least(floor((phi - lo) / ((hi - lo) / {lit(512)})), 511) + 0.5) * ((hi - lo) / {lit(512)}) AS x, count(*) AS w
-FROM phi_win JOIN (SELECT window_id, feature, lo, hi FROM kl_stats) USING (window_id, feature) GROUP BY ALL"""
+CTE["kl_ref_cells"] = "SELECT feature, phi AS x, count(*) AS w FROM phi_ref GROUP BY ALL"
+CTE["kl_win_cells"] = "SELECT window_id, feature, phi AS x, count(*) AS w FROM phi_win GROUP BY ALL"
 
 
 def density(cells: str, using: str, hh: str, n: str) -> str:
