@@ -8,6 +8,8 @@ scan, so cost is linear in the rows of both sides. NULL values are dropped per f
 
 from __future__ import annotations
 
+from math import factorial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -323,10 +325,8 @@ def _power_blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
     u = (F.col("value") - (F.col("_cell") + 0.5) * F.lit(CELL) * F.col("_h")) / F.col("_h")
     at = rows.select(*keys, "feature", "value", "_h", cell.alias("_cell")).withColumn("_u", u)
     at = at.withColumn("_e", F.exp(-F.col("_u") * F.col("_u") / 2))
-    sums, power = [], F.col("_e")
-    for k in range(POWERS):
-        sums.append(F.sum(power).alias(f"_s{k}"))
-        power = power * F.col("_u") / F.lit(float(k + 1))
+    # independent terms: a chain of products would be expanded again and again when code is generated
+    sums = [F.sum(F.col("_e") * F.pow("_u", F.lit(float(k))) / F.lit(float(factorial(k)))).alias(f"_s{k}") for k in range(POWERS)]
     cells = at.groupBy(*keys, "feature", "_cell").agg(*sums)
     packed = F.struct("_cell", F.array(*[F.col(f"_s{k}") for k in range(POWERS)]).alias("_s"))
     block = F.floor(F.col("_cell") / BLOCK_CELLS).alias("_block")
