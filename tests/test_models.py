@@ -75,8 +75,8 @@ def test_tree_attributions_are_exact(spark, fitted):
     gbt = model.stages[-1]
     leaves = TA.leaf_paths(gbt, spark, f"{scratch_dir(spark)}/trees-test")
     bg_df = df.filter("row_idx < 40")
-    masks = [(r.leaf, r.mask, r.n) for r in TA.background_masks(bg_df, FEATS, leaves).collect()]
-    phi = TA.tree_attributions(df.filter("row_idx < 12"), ["row_idx"], FEATS, leaves, TA.contribution_table(leaves, masks))
+    tables = TA.contribution_table(leaves, TA.background_masks(bg_df, FEATS, leaves))
+    phi = TA.tree_attributions(df.filter("row_idx < 12"), ["row_idx"], FEATS, leaves, tables)
     got = phi.toPandas().pivot(index="row_idx", columns="feature", values="phi")[FEATS].to_numpy()
     x, bg = pdf[FEATS].to_numpy()[:12], pdf[FEATS].to_numpy()[:40]
     raw = ML.score(model, df.filter("row_idx < 12"), FEATS, ["row_idx"]).orderBy("row_idx").toPandas()["margin"]
@@ -97,6 +97,51 @@ def test_tree_attributions_are_exact(spark, fitted):
             assert got[i, j] == pytest.approx(total, abs=1e-9)
 
 
+def test_tree_attributions_cancel_over_their_own_background(spark, fitted, monkeypatch):
+    _, df, _, model = fitted
+    leaves = TA.leaf_paths(model.stages[-1], spark, f"{scratch_dir(spark)}/trees-test")
+    rows = df.filter("row_idx < 50")
+    tables = TA.contribution_table(leaves, TA.background_masks(rows, FEATS, leaves))
+    whole = TA.tree_attributions(rows, ["row_idx"], FEATS, leaves, tables).toPandas()
+    assert whole.groupby("feature")["phi"].mean().abs().max() < 1e-9
+    monkeypatch.setattr(TA, "SENT_BYTES", 300)  # several parts
+    parts = TA.tree_attributions(rows, ["row_idx"], FEATS, leaves, tables).toPandas()
+    both = whole.merge(parts, on=["row_idx", "feature"])
+    assert len(TA._parts(leaves)) > 3 and np.allclose(both["phi_x"], both["phi_y"])
+
+
+def test_path_attributions_by_subsets(spark, fitted):
+    """Brute force over coalitions; the value of one walks each tree, splitting by training weight outside it."""
+    pdf, df, _, model = fitted
+    leaves = TA.leaf_paths(model.stages[-1], spark, f"{scratch_dir(spark)}/trees-test")
+    phi = TA.tree_attributions(df.filter("row_idx < 6"), ["row_idx"], FEATS, leaves, TA.path_tables(spark, leaves))
+    got = phi.toPandas().pivot(index="row_idx", columns="feature", values="phi")[FEATS].to_numpy()
+    trees, x = model.stages[-1].trees, pdf[FEATS].to_numpy()[:6]
+
+    def weight(node):
+        return float(node.impurityStats().stats()[0])
+
+    def walk(node, row, known):
+        if node.numDescendants() == 0:
+            return node.prediction()
+        f, low = node.split().featureIndex(), node.leftChild()
+        if f in known:
+            return walk(low if row[f] <= node.split().threshold() else node.rightChild(), row, known)
+        share = weight(low) / (weight(low) + weight(node.rightChild()))
+        return share * walk(low, row, known) + (1 - share) * walk(node.rightChild(), row, known)
+
+    roots = [(t._java_obj.rootNode(), w) for t, w in zip(trees, model.stages[-1].treeWeights)]
+    value = lambda row, known: sum(w * walk(r, row, known) for r, w in roots)
+    for i in range(len(x)):
+        for j in range(4):
+            total = 0.0
+            for r in range(4):
+                for s in itertools.combinations([k for k in range(4) if k != j], r):
+                    total += factorial(r) * factorial(3 - r) / factorial(4) * (value(x[i], {*s, j}) - value(x[i], set(s)))
+            assert got[i, j] == pytest.approx(total, abs=1e-9)
+        assert got[i].sum() == pytest.approx(value(x[i], {0, 1, 2, 3}) - TA.path_base(leaves), abs=1e-9)
+
+
 def test_calibration_methods(fitted):
     _, _, split, model = fitted
     scored = ML.score(model, split, FEATS, ["row_idx", "split", "y"])

@@ -1181,10 +1181,10 @@ def stratified_split(s, sf):
     return ML.stratified_split(T.reference_rows(s, sf), "y", "row_idx").select("row_idx", "y", "split")
 
 
-def gbt_model(s, sf, trees: int = 10):
-    key = (s.sparkContext.applicationId, sf, trees)
+def gbt_model(s, sf, trees: int = 100, depth: int = 5):
+    key = (s.sparkContext.applicationId, sf, trees, depth)
     if key not in _MODELS:
-        _MODELS[key] = ML.train_gbt(split_rows(s, sf), FEATS, "y", trees=trees, depth=4)
+        _MODELS[key] = ML.train_gbt(split_rows(s, sf), FEATS, "y", trees=trees, depth=depth)
     return _MODELS[key]
 
 
@@ -1228,15 +1228,15 @@ def _knn_sql() -> str:
     return f"""SELECT entity_id, round(avg(v), 4) AS qty_std FROM (
       SELECT r.entity_id, d.qty_std AS v, row_number() OVER (PARTITION BY r.entity_id ORDER BY
          round(sqrt(({sq}) * {len(FEATS)} / ({' + '.join(seen)})), 9), d.row_idx) AS rk
-      FROM cohort r JOIN cohort d ON d.phase = 'phase1' AND d.qty_std IS NOT NULL AND r.entity_id <> d.entity_id
+      FROM cohort r JOIN cohort d ON d.qty_std IS NOT NULL AND r.entity_id <> d.entity_id
       WHERE r.qty_std IS NULL) WHERE rk <= 5 GROUP BY 1"""
 
 
 @query("knn_impute", _knn_sql())
 def knn_impute(s, sf):
-    c = T.cohort(s, sf).select("row_idx", "entity_id", "phase", *FEATS)
+    c = T.cohort(s, sf).select("row_idx", "entity_id", *FEATS)
     gaps = c.filter("qty_std is null").select("row_idx", "entity_id")
-    filled = IM.knn_impute(c, c.filter("phase = 'phase1'"), "row_idx", FEATS)
+    filled = IM.knn_impute(c, c, "row_idx", FEATS)
     return r6(filled.join(gaps, ["row_idx", "entity_id"], "left_semi").select("entity_id", "qty_std"), "qty_std", digits=4)
 
 
@@ -1251,15 +1251,86 @@ def adversarial_importance(s, sf):
     return r6(out, "importance")
 
 
+def tree_leaves(s, sf) -> list[dict]:
+    return TA.leaf_paths(gbt_model(s, sf).stages[-1], s, f"{scratch_dir(s)}/tidewatch-{s.sparkContext.applicationId}")
+
+
+def tree_parts(s, sf, form: str) -> DataFrame:
+    """Attributions of every scored row: against all explained rows, or by the trees' own weights."""
+
+    def build():
+        leaves = tree_leaves(s, sf)
+        rows = ML.clean_features(T.scored_stream(s, sf), FEATS)
+        tables = TA.path_tables(s, leaves) if form == "path" else TA.contribution_table(leaves, TA.background_masks(rows, FEATS, leaves))
+        return TA.tree_attributions(rows, ["row_idx", "phase"], FEATS, leaves, materialize(tables, "leaf-tables"))
+
+    return stage(s, ("tree", form, sf), build)
+
+
 @query("tree_attributions")
 def tree_attributions(s, sf):
-    model = gbt_model(s, sf).stages[-1]
-    leaves = TA.leaf_paths(model, s, f"{scratch_dir(s)}/tidewatch-{s.sparkContext.applicationId}")
-    rows = ML.clean_features(T.scored_stream(s, sf), FEATS)
-    counts = TA.background_masks(held_out(s, sf), FEATS, leaves)  # at most leaves times 2^depth rows
-    tables = TA.contribution_table(leaves, [(r["leaf"], r["mask"], r["n"]) for r in counts.collect()])
-    phi = TA.tree_attributions(rows, ["row_idx", "phase"], FEATS, leaves, tables)
-    return A.fingerprint(phi, ["phase"])
+    return A.fingerprint(tree_parts(s, sf, "background"), ["phase"])
+
+
+@query("tree_path_attributions")
+def tree_path_attributions(s, sf):
+    return A.fingerprint(tree_parts(s, sf, "path"), ["phase"])
+
+
+@query(
+    "tree_conditions",
+    " UNION ALL ".join(
+        f"SELECT '{form}' AS form, '{part}' AS part, (SELECT count(*) FROM stream) AS n, 0.0::DOUBLE AS gap"
+        for form, part in [*[("background", f) for f in FEATS], ("background", "margin"), ("path", "margin")]
+    ),
+)
+def tree_conditions(s, sf):
+    """What holds whatever the trees: parts add up to the margin less its base, and cancel over the explained rows."""
+    margin = ML.score(gbt_model(s, sf), T.scored_stream(s, sf), FEATS, ["row_idx"]).select("row_idx", "margin")
+    base = {"background": margin.agg(F.avg("margin")).first()[0], "path": TA.path_base(tree_leaves(s, sf))}
+    size = lambda c: (F.round(c, 6) + 0.0).alias("gap")  # noqa: E731  no negative zero
+    out = []
+    for form in base:
+        phi = tree_parts(s, sf, form)
+        if form == "background":
+            out.append(phi.groupBy(F.lit(form).alias("form"), F.col("feature").alias("part")).agg(F.count("*").alias("n"), size(F.avg("phi"))))
+        sums = phi.groupBy("row_idx").agg(F.sum("phi").alias("sum")).join(margin, "row_idx")
+        gap = F.max(F.abs(F.col("sum") + F.lit(base[form]) - F.col("margin")))
+        out.append(sums.agg(F.count("*").alias("n"), size(gap)).select(F.lit(form).alias("form"), F.lit("margin").alias("part"), "n", "gap"))
+    return R.union_all(out)
+
+
+@query(
+    "model_conditions",
+    " UNION ALL ".join(
+        f"SELECT '{model}' AS model, '{condition}' AS condition, (SELECT count(*) FROM split WHERE split = '{split}') AS n, 0.0::DOUBLE AS gap"
+        for model, split, conditions in [("logistic_regression", "train", ["intercept", *FEATS]), ("sigmoid", "val", ["mean"]), ("isotonic", "val", ["mean"]), ("gbt", "train", ["loss above that of a constant"])]
+        for condition in conditions
+    ),
+)
+def model_conditions(s, sf):
+    """First-order conditions of the fits: weighted residuals cancel (against the penalty), calibrated means equal those of the labels."""
+    rows = split_rows(s, sf)
+    scaled = C.scale(rows, FEATS, C.fit_scaler(rows.filter("split = 'train'"), FEATS)).filter("split = 'train'")
+    model = ML.train_lr(scaled, FEATS, "y")
+    coefficients = model.stages[-1].coefficients
+    fit = ML.score(model, ML.balanced_weight(scaled, "y"), FEATS, ["y", "weight", *FEATS])
+    residual = F.col("weight") * (F.col("y") - F.col("p"))
+    zero = lambda c: F.round(c, 3) + 0.0  # noqa: E731  no negative zero
+    terms = [F.struct(F.lit("intercept").alias("condition"), zero(F.sum(residual) / F.sum("weight")).alias("gap"))]
+    for f, b in zip(FEATS, coefficients):
+        terms.append(F.struct(F.lit(f).alias("condition"), zero((F.sum(residual * F.col(f)) - F.lit(float(b))) / F.sum("weight")).alias("gap")))
+    out = [fit.agg(F.count("*").alias("n"), F.array(*terms).alias("t")).select("n", F.inline("t")).select(F.lit("logistic_regression").alias("model"), "condition", "n", "gap")]
+    scored = ML.score(gbt_model(s, sf), rows, FEATS, ["split", "y"])
+    val = scored.filter("split = 'val'")
+    for method in ("sigmoid", "isotonic"):
+        gap = zero(F.avg(F.col("p") - F.col("y"))).alias("gap")
+        out.append(ML.calibrate(val, "y", method)(val).agg(F.count("*").alias("n"), gap).select(F.lit(method).alias("model"), F.lit("mean").alias("condition"), "n", "gap"))
+    train = ML.balanced_weight(scored.filter("split = 'train'"), "y")
+    weighted = F.sum(F.col("weight") * F.when(F.col("y") == 1, -F.log("p")).otherwise(-F.log(1 - F.col("p")))) / F.sum("weight")
+    worse = F.greatest(weighted - F.log(F.lit(2.0)), F.lit(0.0)).alias("gap")
+    out.append(train.agg(F.count("*").alias("n"), worse).select(F.lit("gbt").alias("model"), F.lit("loss above that of a constant").alias("condition"), "n", "gap"))
+    return R.union_all(out)
 
 
 def stepped(df: DataFrame) -> DataFrame:
