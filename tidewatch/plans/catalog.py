@@ -1225,7 +1225,7 @@ def calibrate(s, sf):
 def _knn_sql() -> str:
     seen = [f"(r.{f} IS NOT NULL AND d.{f} IS NOT NULL)::INTEGER" for f in FEATS]
     sq = " + ".join(f"coalesce(pow(r.{f} - d.{f}, 2), 0)" for f in FEATS)
-    return f"""SELECT entity_id, round(avg(v), 4) AS qty_std FROM (
+    return f"""SELECT entity_id, round(avg(v), 6) AS qty_std FROM (
       SELECT r.entity_id, d.qty_std AS v, row_number() OVER (PARTITION BY r.entity_id ORDER BY
          round(sqrt(({sq}) * {len(FEATS)} / ({' + '.join(seen)})), 9), d.row_idx) AS rk
       FROM cohort r JOIN cohort d ON d.qty_std IS NOT NULL AND r.entity_id <> d.entity_id
@@ -1237,7 +1237,7 @@ def knn_impute(s, sf):
     c = T.cohort(s, sf).select("row_idx", "entity_id", *FEATS)
     gaps = c.filter("qty_std is null").select("row_idx", "entity_id")
     filled = IM.knn_impute(c, c, "row_idx", FEATS)
-    return r6(filled.join(gaps, ["row_idx", "entity_id"], "left_semi").select("entity_id", "qty_std"), "qty_std", digits=4)
+    return r6(filled.join(gaps, ["row_idx", "entity_id"], "left_semi").select("entity_id", "qty_std"), "qty_std")
 
 
 @query("adversarial", "SELECT window_id, round(adv_score, 6) AS adv_score, status FROM adversarial")
