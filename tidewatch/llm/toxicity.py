@@ -33,8 +33,10 @@ from tidewatch.llm.common import held_back
 SYMBOLS = 28
 #: Labelled documents that fit the rules, at most about so many.
 FIT_ROWS = 20_000
-#: Tokens whose score a worker remembers before it starts afresh.
-CACHE = 1_000_000
+#: Bytes of tokens, with about so many more for each, whose score a worker remembers before it starts afresh.
+CACHE_BYTES, TOKEN_BYTES = 1 << 26, 150
+#: Features and rows that a task holds while it counts.
+HELD_FEATURES = 1 << 17
 #: A rule covers at least so many toxic documents not covered before, with at least this precision.
 SUPPORT, PRECISION = 4, 0.7
 #: A feature that others make needless in the sample is a rule all the same from this support, share of the toxic
@@ -176,22 +178,34 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(known, "doc_id").select("doc_id", "text", "toxic")
 
     def gather(batches):
-        """Counts of features of a slice of documents; toxic ones also give (feature, document) rows."""
+        """Counts of features, a bounded number at a time; toxic documents also give (feature, document) rows."""
+        counts: Counter = Counter()
+        out: tuple = ([], [], [], [])
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+
+        def flush():
+            for f, n in counts.items():
+                out[0].append(f), out[1].append(None), out[2].append(0), out[3].append(n)
+            made = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], ["f", "doc", "toxic", "n"])
+            counts.clear()
+            for v in out:
+                v.clear()
+            return made
+
         for batch in batches:
-            counts: Counter = Counter()
-            out = ([], [], [], [])
-            for doc_id, text, toxic in zip(*(c.to_pylist() for c in batch.columns)):
-                mine = {f for w in document_words(text or b"", letters) for f in features(w)}
+            for i in range(batch.num_rows):
+                doc_id, text, toxic = batch.column(0)[i].as_py(), batch.column(1)[i], batch.column(2)[i].as_py()
+                words = document_words(text.as_buffer().to_pybytes() if text.is_valid else b"", letters)
+                mine = {f for w in words for f in features(w)}
                 if toxic:
                     for f in mine:
                         out[0].append(f), out[1].append(doc_id), out[2].append(1), out[3].append(1)
                 else:
                     counts.update(mine)
                 out[0].append(""), out[1].append(doc_id), out[2].append(int(bool(toxic))), out[3].append(1)
-            for f, n in counts.items():
-                out[0].append(f), out[1].append(None), out[2].append(0), out[3].append(n)
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], ["f", "doc", "toxic", "n"])
+                if len(counts) + len(out[0]) >= HELD_FEATURES:
+                    yield flush()
+        yield flush()
 
     seen = materialize(rows.mapInArrow(gather, "f string, doc long, toxic long, n long"), "toxic-features")
     total = seen.filter("f = ''").agg(F.sum("n").alias("n"), F.sum("toxic").alias("t")).first()
@@ -228,21 +242,23 @@ class Scorer:
     """Scores texts; remembers what it found of each token."""
 
     def __init__(self, model: Model):
-        self.model, self.seen = model, {}
+        self.model, self.seen, self.held = model, {}, 0
 
     def _token(self, token: bytes) -> float:
         rules = self.model.rules
         return max((rules[f] for w in _words(token, self.model.letters) for f in features(w) if f in rules), default=0.0)
 
     def __call__(self, text: bytes) -> float:
-        if len(self.seen) > CACHE:
-            self.seen.clear()
         seen, best = self.seen, 0.0
         low = text.decode("utf-8", "ignore").lower().encode()
         for token in set(low.split()):
             score = seen.get(token)
             if score is None:
+                if self.held >= CACHE_BYTES:
+                    seen.clear()
+                    self.held = 0
                 score = seen[token] = self._token(token)
+                self.held += len(token) + TOKEN_BYTES
             if score > best:
                 best = score
         for run in _SPACED.findall(low):
