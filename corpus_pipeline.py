@@ -11,10 +11,19 @@ from tidewatch.llm import decontamination, jaccard_join, mixing, sharding, toxic
 SHARDS = 40
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, made longer until no column is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learnt from the labelled ones among them, does not reject."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, "_toxicity").filter(F.col("_toxicity") < toxicity.THRESHOLD).drop("_toxicity")
+    score = _free(docs, "_toxicity")
+    return toxicity.score(docs, model, score).filter(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,23 +34,23 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     columns = docs.columns
     ids = docs.groupBy("doc_id").count().agg(F.max("count"), F.max(F.col("doc_id").isNull()))
     most, missing = ids.first()
-    if (most or 0) > 1 or missing:
+    by_place = (most or 0) > 1 or missing
+    if by_place:
         docs = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.monotonically_increasing_id().alias("doc_id")), "rows")
         docs = docs.select("row", "doc_id", F.col("row.text").alias("text"))
     found = jaccard_join.near_copies(docs.select("doc_id", "text"), words=5, t=80)
     stay = found.filter(F.col("label").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id")
     kept = docs.join(stay, "doc_id", "left_semi")
-    if "row" in docs.columns and "row" not in columns:
-        kept = kept.select("row.*")
-    return kept.select(*[F.col(f"`{c}`") for c in columns])
+    return kept.select("row.*") if by_place else kept.select(*[F.col(f"`{c}`") for c in columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of ten words of a benchmark item."""
     columns = docs.columns
-    _, hits = decontamination.found_windows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
-    hit = hits.select(F.col("rk").alias("_rk"), F.col("doc_id").alias("_id")).distinct()
-    same = (F.xxhash64("doc_id", "text") == F.col("_rk")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    _, hits = decontamination.found_windows(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
+    rk, id_ = _free(docs, "_rk"), _free(docs, "_id")
+    hit = hits.select(F.col("rk").alias(rk), F.col("doc_id").alias(id_)).distinct()
+    same = (F.xxhash64("doc_id", "text") == F.col(rk)) & F.col("doc_id").eqNullSafe(F.col(id_))
     return docs.join(hit, same, "left_anti").select(*[F.col(f"`{c}`") for c in columns])
 
 
@@ -51,8 +60,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = mixing.document_key(F.col("doc_id"), F.col("text"))
     sizes = materialize(docs.select("source", mixing.word_count(F.col("text")).alias("size"), key.alias("key")), "mix-sizes")
     mixed = mixing.mix(sizes, mixing.weighted_targets(sizes, mixing.WEIGHTS))
-    copies = mixed.groupBy(F.col("key").alias("_key")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    taken = docs.join(copies, key == F.col("_key")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    to, times, copy = (_free(docs, name) for name in ("_key", "_copies", "_copy"))
+    copies = mixed.groupBy(F.col("key").alias(to)).agg(F.max("copies").alias(times)).filter(F.col(times) > 0)
+    taken = docs.join(copies, key == F.col(to)).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
     return taken.select(*[F.col(f"`{c}`") for c in columns])
 
 
