@@ -33,7 +33,7 @@ from tidewatch.sources import bundles as B
 from tidewatch.streaming import monitor as SM
 from tidewatch.streaming import stateful as SS
 from tidewatch.streaming import windows as SW
-from tidewatch.streaming.runner import file_stream, run_to_table
+from tidewatch.streaming.runner import END_OF_STREAM, closed, file_stream, run_to_table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -41,11 +41,11 @@ W_KEY = ["window_id"]
 FEATS = M.FEATURES
 
 
-def query(name: str, oracle: str | None = None):
+def query(name: str, oracle: str | None = None, instead: dict[str, str] | None = None):
     def register(fn):
         QUERIES[name] = fn
         if oracle is not None:
-            ORACLES[name] = O.sql(oracle)
+            ORACLES[name] = O.sql(oracle, instead)
         return fn
 
     return register
@@ -82,6 +82,11 @@ def held_out(s, sf) -> DataFrame:
     return split_rows(s, sf).filter("split = 'val'")
 
 
+def reference_fit(s, sf) -> DataFrame:
+    """What the domain classifiers see of the reference."""
+    return held_out(s, sf).select("row_idx", *FEATS)
+
+
 def domain_scores(s, sf) -> DataFrame:
     """Every window told apart from the held-out reference rows, over all features."""
     return stage(s, ("domain", sf), lambda: AD.adversarial_scores(held_out(s, sf), T.window_rows(s, sf), "window_id", "row_idx", FEATS, 3))
@@ -1362,14 +1367,14 @@ _EV_BIN = " + ".join(f"(value >= lo + {O.lit(k)} * ((hi - lo) / {O.lit(10)}))::I
 @query(
     "stream_profile",
     f"""SELECT strftime(day, '%Y-%m-%d') AS day, bin::INTEGER AS bin, count(*) AS n, round(sum(value), 4) AS total FROM (
-      SELECT date_trunc('day', ts) AS day, value, {_EV_BIN} AS bin, (SELECT max(ts) FROM events) AS top FROM events
-      CROSS JOIN (SELECT min(value) AS lo, max(value) AS hi FROM events WHERE ts < TIMESTAMP '2024-01-11'))
-    WHERE day + INTERVAL 1 DAY <= top - INTERVAL 1 DAY GROUP BY ALL""",
+      SELECT date_trunc('day', ts) AS day, value, {_EV_BIN} AS bin FROM events
+      CROSS JOIN (SELECT min(value) AS lo, max(value) AS hi FROM events WHERE ts < TIMESTAMP '2024-01-11')) GROUP BY ALL""",
 )
 def stream_profile(s, sf):
     ref = T.table(s, sf, "events").filter("ts < timestamp_ntz'2024-01-11'").select(F.lit("value").alias("feature"), "value")
     edges = SW.reference_edges(ref)
-    out = run_to_table(SW.stream_profile(event_stream(s, sf), "ts", ["value"], edges, "1 day", delay="1 day"), "profile")
+    stream = closed(event_stream(s, sf), "ts", value=0.0)
+    out = run_to_table(SW.stream_profile(stream, "ts", ["value"], edges, "1 day", delay="1 day"), "profile")
     return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "bin", "n", F.round("total", 4).alias("total"))
 
 
@@ -1378,12 +1383,11 @@ def stream_profile(s, sf):
     """SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n_rows, round(avg(value), 6) AS value_mean,
     min(value) AS value_min, max(value) AS value_max FROM (
       SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM (
-        SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh,
-          max(ts) OVER () AS top FROM events)) GROUP BY user_id, sid
-    HAVING max(ts) + INTERVAL 6 HOUR <= any_value(top) - INTERVAL 1 DAY""",
+        SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh
+        FROM events)) GROUP BY user_id, sid""",
 )
 def stream_sessions(s, sf):
-    out = run_to_table(SW.stream_sessions(event_stream(s, sf), "ts", "user_id", ["value"], "6 hours", "1 day"), "sessions")
+    out = run_to_table(SW.stream_sessions(closed(event_stream(s, sf), "ts", user_id=0, value=0.0), "ts", "user_id", ["value"], "6 hours", "1 day"), "sessions")
     start = F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start")
     return r6(out.select("user_id", start, "n_rows", "value_mean", "value_min", "value_max"), "value_mean")
 
@@ -1391,44 +1395,87 @@ def stream_sessions(s, sf):
 @query(
     "stream_count_windows",
     """SELECT user_id, (rn - 1) // 20 AS window_no, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max
-    FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events) GROUP BY 1, 2 HAVING count(*) = 20""",
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, value) AS rn FROM events) GROUP BY 1, 2""",
 )
 def stream_count_windows(s, sf):
-    out = run_to_table(SS.stream_count_windows(event_stream(s, sf), "user_id", "ts", "value", 20), "counts")
+    out = run_to_table(SS.stream_count_windows(closed(event_stream(s, sf), "ts", user_id=0, value=0.0), "user_id", "ts", "value", 20), "counts")
     return r6(out, "mean")
 
 
+@query(
+    "stream_late",
+    """SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS arrived, (count(*) FILTER (NOT late OR day + INTERVAL 1 DAY > top - INTERVAL 1 DAY))::BIGINT AS kept,
+      (count(*) FILTER (late AND day + INTERVAL 1 DAY <= top - INTERVAL 1 DAY))::BIGINT AS late
+    FROM (SELECT date_trunc('day', ts) AS day, event_id % 7 = 0 AS late, (SELECT max(ts) FROM events WHERE event_id % 7 <> 0) AS top FROM events) GROUP BY 1""",
+)
+def stream_late(s, sf):
+    """A seventh of the events comes after all others: what the watermark had already passed is counted, day by day."""
+    events, base = T.table(s, sf, "events"), f"{scratch_dir(s)}/tidewatch-{s.sparkContext.applicationId}/late-{uuid.uuid4().hex}"
+    edges = SW.reference_edges(events.select(F.lit("value").alias("feature"), "value"))
+    late = F.col("event_id") % 7 == 0
+
+    def arrive(rows, stream):
+        rows.write.mode("append").parquet(f"{base}/in")
+        return run_to_table(SW.stream_profile(stream(), "ts", ["value"], edges, "1 day", delay="1 day"), "late", base)
+
+    source = lambda: file_stream(s, f"{base}/in", events.schema)
+    arrive(events.filter(~late), source)
+    arrive(events.filter(late), source)
+    end = events.limit(1).select(*[F.lit(END_OF_STREAM).cast(f.dataType).alias(f.name) if f.name == "ts" else F.col(f.name) for f in events.schema.fields])
+    kept = arrive(end, source)
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias("day")
+    return SW.late_rows(events.select(day("ts")), kept.select(day("window_start"), "n"), ["day"])
+
+
 @query("stream_adwin")
 def stream_adwin(s, sf):
     return run_to_table(SS.stream_adwin(stepped(event_stream(s, sf)), "event_type", "ts", "moved"), "cuts")
 
 
+EPOCHS = 3
+
+
+def epoch_of(index: str, first: str, total: str) -> str:
+    return f"(({index}) - ({first})) * {EPOCHS} // (({total}) - ({first}))"
+
+
+_EPOCH_WIN = f"""SELECT stream.*, {epoch_of('row_idx', 'f', 'n')} AS window_id
+FROM stream, (SELECT min(row_idx) FILTER (phase <> 'phase1') AS f, count(*) AS n FROM stream) WHERE phase <> 'phase1'"""
+_MONITORED = "D_total, D_shap, adv_score, drift_belief, risk_score, est_auprc, intervention_level, intervention_action, true_phase, n_samples, dpd, eod"
+
+
 @query(
     "stream_monitor",
-    "SELECT 0::BIGINT AS batch_id, round(avg(psi), 6) AS mean_psi, count(*) AS n_features, round(max(statistic), 6) AS max_ks FROM ("
-    + O.psi("mon_bins", "k", "detector")
-    + ") JOIN ("
-    + O.ks("mon_ecdf", "k")
-    + ") USING (k, feature)",
+    f"SELECT window_idx AS batch_id, {_MONITORED}, intervention_level >= 2 AS alerted FROM results",
+    {"win": _EPOCH_WIN},
 )
 def stream_monitor(s, sf):
-    """Micro-batches of the later phases against the phase 1 profile of the same stage table."""
-    prof, base = profile(s, sf), f"{scratch_dir(s)}/tidewatch-{s.sparkContext.applicationId}/mon-{uuid.uuid4().hex}"
-    T.scored_stream(s, sf).filter("phase <> 'phase1'").select(*FEATS).coalesce(1).write.parquet(f"{base}/in")
+    """The later phases arrive in epochs; each micro-batch gets its whole record and, from level 2 on, its alert."""
+    base = f"{scratch_dir(s)}/tidewatch-{s.sparkContext.applicationId}/mon-{uuid.uuid4().hex}"
+    scored, ref, prof = T.scored_stream(s, sf), T.reference_rows(s, sf), profile(s, sf)
+    rows = scored.filter("phase <> 'phase1'")
+    first, last = rows.agg(F.min("row_idx"), F.max("row_idx")).first()
+    held = reference_fit(s, sf)
 
     def record(batch):
-        feats = T.to_long(batch, ["batch_id"], FEATS)
-        ks = D.ks_test(feats, prof, ["batch_id"]).select("batch_id", "feature", "statistic")
-        both = D.psi(feats, prof, ["batch_id"]).join(ks, ["batch_id", "feature"])
-        return both.groupBy("batch_id").agg(
-            F.round(F.avg("psi"), 6).alias("mean_psi"),
-            F.count("*").alias("n_features"),
-            F.round(F.max("statistic"), 6).alias("max_ks"),
-        )
-
-    stream = file_stream(s, f"{base}/in", T.scored_stream(s, sf).select(*FEATS).schema)
-    SM.stream_monitor(stream, record, f"{base}/out", f"{base}/checkpoint", "monitor").awaitTermination()
-    return s.read.parquet(f"{base}/out").select(F.col("batch_id").cast("long").alias("batch_id"), "mean_psi", "n_features", "max_ks")
+        windowed = batch.withColumn("window_id", F.col("batch_id")).drop("batch_id")
+        parts = materialize(monitor.components(ref, windowed, W_KEY), "epoch")
+        adv = AD.adversarial_scores(held, windowed, "window_id", "row_idx", FEATS, 3).select("window_id", "adv_score")
+        found = materialize(monitor.window_results(ref, windowed, prof, parts, adv, bounded=False), "epoch").withColumn("batch_id", F.col("window_idx"))
+        ranked = I.sadi(parts).select("window_id", "feature", "sadi", F.row_number().over(Window.partitionBy("window_id").orderBy(F.col("sadi").desc(), "feature")).alias("rank"))
+        top = ranked.filter("rank <= 5").withColumnRenamed("window_id", "window_num")
+        alerts = AL.build_alerts(found.drop("batch_id"), top, ["window_num"], min_level=2)
+        return {"records": found, "alerts": alerts.withColumn("batch_id", F.col("window_num"))}
+
+    epoch = F.floor((F.col("row_idx") - first) * EPOCHS / F.lit(last + 1 - first))
+    for i in range(EPOCHS):  # arrivals; the query goes on from its checkpoint
+        rows.filter(epoch == i).write.mode("append").parquet(f"{base}/in")
+        stream = file_stream(s, f"{base}/in", scored.schema)
+        SM.stream_monitor(stream, record, f"{base}/out", f"{base}/checkpoint", "monitor").awaitTermination()
+    records = s.read.parquet(f"{base}/out/records").drop("query_id")
+    alerts = s.read.parquet(f"{base}/out/alerts").select("batch_id", F.lit(True).alias("alerted"))
+    out = records.join(alerts, "batch_id", "left").withColumn("alerted", F.coalesce("alerted", F.lit(False)))
+    return out.select(F.col("batch_id").cast("long").alias("batch_id"), *_MONITORED.split(", "), "alerted")
 
 
 @query(

@@ -448,19 +448,20 @@ SELECT window_num, feature, rank, true_phase AS phase FROM (
 CTE["freq"] = "SELECT feature, count(*) AS n FROM events_f GROUP BY 1 ORDER BY n DESC, feature LIMIT 15"
 
 
-def sql(body: str) -> str:
-    """Prefix the statement with the expressions it uses, in dependency order."""
+def sql(body: str, instead: dict[str, str] | None = None) -> str:
+    """Prefix the statement with the expressions it uses, in dependency order; ``instead`` replaces some."""
     order: list[str] = []
+    ctes = CTE | (instead or {})
 
     def visit(text: str, inside: frozenset = frozenset()) -> None:
-        for name in CTE:
+        for name in ctes:
             if name in inside or name in order:
                 continue
             if re.search(rf"\b(FROM|JOIN)\s*\(*\s*{name}\b", text):
-                visit(CTE[name], inside | {name})
+                visit(ctes[name], inside | {name})
                 order.append(name)
 
     visit(body)
     if not order:
         return body
-    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTE[n]})" for n in order) + "\n" + body
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({ctes[n]})" for n in order) + "\n" + body

@@ -4,38 +4,52 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewatch.operators.adwin import AdaptiveWindow
+from tidewatch.streaming.runner import before_end
 
 
-def stream_count_windows(stream: DataFrame, key: str, order: str, value: str, size: int) -> DataFrame:
-    """(key, window_no, n, mean, min, max) for every ``size`` arrivals of a key.
+def stream_count_windows(stream: DataFrame, key: str, order: str, value: str, size: int, idle: str = "1 day") -> DataFrame:
+    """(key, window_no, n, mean, min, max) for every ``size`` arrivals of a key, and for what is left of an idle one.
 
-    Arrivals of one micro-batch are taken in ``order``; the trigger's file limit bounds a micro-batch.
-    State: the counter and the at most size - 1 values of the open window.
+    ``order`` is the event time. Arrivals of one micro-batch are taken in its order; the trigger's file limit bounds a
+    micro-batch. State: the counter and the at most size - 1 values of the open window. A key whose last arrival the watermark
+    (``idle`` behind the latest event) has passed emits its open window, short as it is, and is forgotten; later
+    arrivals of it start again at window 0.
     """
     key_type = dict(stream.dtypes)[key]
+    timed = stream.withColumn("_ts", F.col(order).cast("timestamp")).withWatermark("_ts", idle).filter(before_end("_ts"))
+
+    def row(k, number, values):
+        part = pd.Series(values)
+        return (k[0], number, len(values), part.mean(), part.min(), part.max())
 
     def update(k, batches, state: GroupState):
-        done, held = state.get if state.exists else (0, [])
-        held = list(held)
-        rows = pd.concat(list(batches)).sort_values(order, kind="mergesort")
-        values = held + rows[value].astype(float).tolist()
-        full = len(values) // size
-        out = []
-        for i in range(full):
-            part = pd.Series(values[i * size : (i + 1) * size])
-            out.append((k[0], done + i, size, part.mean(), part.min(), part.max()))
-        state.update((done + full, values[full * size :]))
-        yield pd.DataFrame(out, columns=["k", "window_no", "n", "mean", "min", "max"]).rename(columns={"k": key})
+        done, held, last = state.get if state.exists else (0, [], 0)
+        held, out = list(held), []
+        if state.hasTimedOut:
+            if held:
+                out.append(row(k, done, held))
+            state.remove()
+        else:
+            rows = pd.concat(list(batches)).sort_values(["_ts", value], kind="mergesort")
+            values = held + rows[value].astype(float).tolist()
+            full = len(values) // size
+            out = [row(k, done + i, values[i * size : (i + 1) * size]) for i in range(full)]
+            last = max(last, int(rows["_ts"].max().timestamp() * 1000))
+            state.update((done + full, values[full * size :], last))
+            # an event time timeout lies beyond the watermark
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame(out, columns=[key, "window_no", "n", "mean", "min", "max"])
 
-    return stream.select(key, order, value).groupBy(key).applyInPandasWithState(
+    return timed.select(key, "_ts", value).groupBy(key).applyInPandasWithState(
         update,
         f"{key} {key_type}, window_no bigint, n bigint, mean double, min double, max double",
-        "done bigint, held array<double>",
+        "done bigint, held array<double>, last bigint",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 

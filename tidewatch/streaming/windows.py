@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.divergence import psi_score
+from tidewatch.streaming.runner import before_end
 
 
 def reference_edges(reference: DataFrame, bins: int = 10) -> DataFrame:
@@ -42,7 +43,7 @@ def stream_profile(
     Rows later than the watermark are dropped. ``edges`` is the static reference table.
     """
     # session time zone UTC turns the zone-less column into an event time
-    timed = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
+    timed = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay).filter(before_end("_ts"))
     long = timed.select("_ts", *[F.col(f).cast("double").alias(f) for f in features]).unpivot(
         ["_ts"], features, "feature", "value"
     )
@@ -68,9 +69,21 @@ def profile_psi(counts: DataFrame, edges: DataFrame, bins: int = 10) -> DataFram
     return psi_score(cells, keys, bins)
 
 
+def late_rows(arrived: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, arrived, kept, late): rows that reached each window and rows the closed stream counted in it.
+
+    ``arrived`` has the keys, a row per arrival; ``kept`` the keys and ``n``. Every window is closed, so what is missing came
+    after the watermark had passed it.
+    """
+    came = arrived.groupBy(*keys).agg(F.count("*").alias("arrived"))
+    there = kept.groupBy(*keys).agg(F.sum("n").alias("kept"))
+    joined = came.join(there, keys, "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
+    return joined.withColumn("late", F.col("arrived") - F.col("kept"))
+
+
 def stream_sessions(stream: DataFrame, ts: str, entity: str, features: list[str], gap: str, delay: str) -> DataFrame:
     """Stays of each entity, split at gaps, with their statistics; emitted when the watermark passes."""
-    timed = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
+    timed = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay).filter(before_end("_ts"))
     stats = []
     for f in features:
         stats += [F.avg(f).alias(f"{f}_mean"), F.min(f).alias(f"{f}_min"), F.max(f).alias(f"{f}_max")]
