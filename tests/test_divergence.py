@@ -166,3 +166,16 @@ def test_summary_names_the_methods_that_fired(spark, sides):
     got = {r.w: r for r in D.any_drift(table, W).collect()}
     assert got[1].any_drift_detected and got[1].methods_reporting_drift == ["ks", "psi"]
     assert not got[0].any_drift_detected and got[0].methods_reporting_drift == []
+
+
+def test_kl_against_the_window_before(spark):
+    rng = np.random.default_rng(21)
+    parts = {(w, f): rng.normal(0.3 * w, 1 + 0.1 * w, 150 + 20 * w) for w in range(4) for f in ("a", "b")}
+    parts[2, "b"] = np.full(40, 1.5)
+    cur = long(spark, parts)
+    got = {(r.w, r.feature): r.kl for r in D.kl_previous(cur, "w").collect()}
+    assert set(got) == {(w, f) for w in (1, 2, 3) for f in ("a", "b")} and got[2, "b"] == got[3, "b"] == 5.0
+    for w in (1, 2, 3):
+        ref = long(spark, {(0, f): parts[w - 1, f] for f in ("a", "b")}).drop("w")
+        fixed = {r.feature: r.kl for r in D.kl_kde(cur.filter(F.col("w") == w), ref, W).collect()}
+        assert all(got[w, f] == pytest.approx(fixed[f], rel=1e-9, abs=1e-12) for f in ("a", "b"))

@@ -11,7 +11,7 @@ from tidewatch.sources import readings as S
 from tidewatch.streaming import monitor as SM
 from tidewatch.streaming import stateful as SS
 from tidewatch.streaming import windows as SW
-from tidewatch.streaming.runner import file_stream, run_to_table
+from tidewatch.streaming.runner import END_OF_STREAM, closed, file_stream, run_to_table
 
 HEAD = "HR|O2Sat|Age|Gender|ICULOS|SepsisLabel"
 
@@ -162,3 +162,47 @@ def test_monitor_is_idempotent_per_batch(spark, tmp_path):
         SM.stream_monitor(file_stream(spark, src, SCHEMA), record, out, str(tmp_path / attempt), "q").awaitTermination()
     rows = spark.read.parquet(out).collect()
     assert [(r.query_id, r.batch_id, r.m) for r in rows] == [("q", 0, 2.0)]
+
+
+def test_count_windows_close_when_a_key_is_idle(spark, tmp_path):
+    src = str(tmp_path / "in")
+    put(spark, src, "a", [(1, f"2024-01-01 0{i}:00", float(i)) for i in range(7)] + [(2, "2024-01-01 00:00", 5.0)])
+    put(spark, src, "b", [(2, "2024-01-09 00:00", 6.0)])
+    stream = closed(file_stream(spark, src, SCHEMA, 1), "ts", k=0, value=0.0)
+    got = run_to_table(SS.stream_count_windows(stream, "k", "ts", "value", 4, "1 day"), "c").collect()
+    assert sorted((r.k, r.n, r["min"], r["max"]) for r in got if r.k == 1) == [(1, 3, 4.0, 6.0), (1, 4, 0.0, 3.0)]
+    assert sum(r.n for r in got if r.k == 2) == 2 and all(r.k in (1, 2) for r in got)
+
+
+def test_closed_streams_emit_every_window_and_count_late_rows(spark, tmp_path):
+    src = str(tmp_path / "in")
+    put(spark, src, "a", [(1, "2024-01-01 10:00", 1.0), (1, "2024-01-05 10:00", 9.0), (1, "2024-01-05 11:00", 8.0)])
+    ref = spark.createDataFrame([("value", float(v)) for v in range(11)], "feature string, value double")
+    edges, base = SW.reference_edges(ref), str(tmp_path / "out")
+    go = lambda s: run_to_table(SW.stream_profile(s, "ts", ["value"], edges, "1 day", delay="1 day"), "p", base)
+    go(file_stream(spark, src, SCHEMA, 1))
+    put(spark, src, "b", [(1, "2024-01-01 11:00", 2.0), (1, "2024-01-05 01:00", 3.0)])  # the first row is late
+    put(spark, src, "c", [(1, END_OF_STREAM, 0.0)])
+    kept = go(file_stream(spark, src, SCHEMA, 1))
+    day = lambda c: F.date_format(c, "MM-dd").alias("day")
+    arrived = file_rows(spark, src).filter(F.col("ts") < "2900-01-01").select(day("ts"))
+    got = {r.day: (r.arrived, r.kept, r.late) for r in SW.late_rows(arrived, kept.select(day("window_start"), "n"), ["day"]).collect()}
+    assert got == {"01-01": (2, 1, 1), "01-05": (3, 3, 0)}
+
+
+def file_rows(spark, folder):
+    return spark.read.schema(SCHEMA).parquet(folder)
+
+
+def test_monitor_writes_several_results_of_one_batch(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def record(b):
+        sums = b.groupBy("batch_id").agg(F.sum("value").alias("s"))
+        return {"records": sums, "alerts": sums.filter("s > 5")}
+
+    for name, rows in (("a", [(1, "2024-01-01 00:00", 1.0)]), ("b", [(1, "2024-01-02 00:00", 9.0)])):
+        put(spark, src, name, rows)
+        SM.stream_monitor(file_stream(spark, src, SCHEMA), record, out, str(tmp_path / "cp"), "q").awaitTermination()
+    assert sorted((r.batch_id, r.s) for r in spark.read.parquet(f"{out}/records").collect()) == [(0, 1.0), (1, 9.0)]
+    assert [(r.batch_id, r.s) for r in spark.read.parquet(f"{out}/alerts").collect()] == [(1, 9.0)]

@@ -218,3 +218,28 @@ def test_index_weights_and_batch_caps(spark):
     assert got["a"].sadi == pytest.approx(0.5 * 0.4 + 0.3 * 0.5 + 0.2) and got["b"].sadi == pytest.approx(0.1 + 0.15)
     batch = {r.feature: r for r in I.sadi_batch(ref, cur, ["w"]).collect()}
     assert batch["b"].kl == 2.0 and batch["a"].kl == pytest.approx(0.8) and batch["a"].direction_flip == 1.0
+
+
+def test_observation_windows_by_hour_count_gaps(spark):
+    """Frames span hours; brute force over an entity longer than one chunk and short ones."""
+    from tidewatch.operators.windows import observation_windows_by_hour
+
+    rng = np.random.default_rng(12)
+    rows = [("a", int(h), float(rng.normal()) if rng.random() < 0.8 else None, int(rng.random() < 0.1)) for h in np.sort(rng.integers(0, 300, 150))]
+    rows += [("b", 5, 1.0, 0), ("b", 7, 3.0, 1), ("c", 9, None, 0), (None, 1, 1.0, 1), ("d", None, 1.0, 1)]
+    df = spark.createDataFrame(rows, "patient_id string, ICULOS int, x double, SepsisLabel int").repartition(3)
+    got = observation_windows_by_hour(df, ["x", "absent"], obs=6, pred=4, chunk_hours=32).orderBy("window_id").collect()
+    want = []
+    for e in ("a", "b", "c"):
+        mine = [r for r in rows if r[0] == e and r[1] is not None]
+        lo, hi = min(r[1] for r in mine), max(r[1] for r in mine)
+        for h in sorted({r[1] for r in mine}):
+            if h > max(hi - 5, lo):
+                continue
+            x = [r[2] for r in mine if h <= r[1] <= h + 5 and r[2] is not None]
+            ahead = [r[3] for r in mine if (h <= r[1] <= h + 5 if hi - lo + 1 < 6 else h + 6 <= r[1] <= h + 9)]
+            want.append((e, h, np.mean(x) if x else None, np.std(x, ddof=1) if len(x) > 1 else 0.0, max(ahead, default=0)))
+    assert len(got) == len(want) and [r.window_id for r in got] == list(range(len(want)))
+    for r, (e, h, mean, std, label) in zip(got, want):
+        assert (r.patient_id, r.start_hour, r.label) == (e, h, label)
+        assert r.x_mean == (None if mean is None else pytest.approx(mean)) and r.x_std == pytest.approx(std)

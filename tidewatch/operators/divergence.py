@@ -388,18 +388,53 @@ def kl_kde(current: DataFrame, reference: DataFrame, keys: list[str], points: in
     """
     ref_rows = reference.filter(F.col("value").isNotNull()).select("feature", "value")
     cur_rows = current.filter(F.col("value").isNotNull()).select(*keys, "feature", "value")
-    moments = [
-        F.count("*").alias("n"),
-        F.avg("value").alias("mu"),
-        F.stddev_samp("value").alias("sd"),
-        F.stddev_pop("value").alias("sp"),
-        F.min("value").alias("lo"),
-        F.max("value").alias("hi"),
-    ]
-    names = ["n", "mu", "sd", "sp", "lo", "hi"]
-    rs = ref_rows.groupBy("feature").agg(*moments).withColumnsRenamed({c: f"_r{c}" for c in names})
-    cs = cur_rows.groupBy(*keys, "feature").agg(*moments).withColumnsRenamed({c: f"_c{c}" for c in names})
-    stats = cs.join(F.broadcast(rs), "feature")  # one row per feature
+    rs = F.broadcast(_moments(ref_rows, [], "_r"))  # one row per feature
+    stats = materialize(_kl_stats(_moments(cur_rows, keys, "_c").join(rs, "feature"), keys, points), "kl-stats")
+    grid = stats.filter("_guard is null")
+    # one bandwidth per feature, one per window and feature; constant sides have guards
+    ref_h = grid.groupBy("feature").agg(F.first("_rh").alias("_h"))
+    ref_blocks = _power_blocks(ref_rows.join(F.broadcast(ref_h), "feature"), [])
+    cur_blocks = _power_blocks(cur_rows.join(grid.select(*keys, "feature", F.col("_ch").alias("_h")), [*keys, "feature"]), keys)
+    found = _kl_of(stats, _densities(ref_blocks, grid, keys, [], "_rh", "_rn", points, "p"), _densities(cur_blocks, grid, keys, keys, "_ch", "_cn", points, "q"), keys, points)
+    whole = window_feature_grid(current, keys).drop("c_n")
+    return whole.join(found, [*keys, "feature"], "left").select(*keys, "feature", F.coalesce("kl", F.lit(0.0)).alias("kl"))
+
+
+def kl_previous(current: DataFrame, window: str, keys: list[str] = (), points: int = 100) -> DataFrame:
+    """KL(window before || window) as in ``kl_kde``; windows without one before (``window`` less 1) have no row.
+
+    Each window is summarised once; its cells serve as its own and, tagged with the next number, as those of the next
+    window's reference.
+    """
+    keys = [*keys, window]
+    of = [*keys, "feature"]
+    rows = current.filter(F.col("value").isNotNull()).select(*of, "value")
+    later = lambda df: df.withColumn(window, F.col(window) + 1)
+    own = materialize(_moments(rows, keys, "_c"), "kl-moments")
+    before = later(own.withColumnsRenamed({f"_c{m}": f"_r{m}" for m in _MOMENTS}))
+    stats = materialize(_kl_stats(own.join(before, of), keys, points), "kl-stats")
+    grid = stats.filter("_guard is null")
+    h = own.filter(F.col("_csp") >= KL_EPS).select(*of, _scott("_c").alias("_h"))
+    blocks = materialize(_power_blocks(rows.join(h, of), keys), "kl-blocks")
+    p = _densities(later(blocks), grid, keys, keys, "_rh", "_rn", points, "p")
+    return _kl_of(stats, p, _densities(blocks, grid, keys, keys, "_ch", "_cn", points, "q"), keys, points)
+
+
+_MOMENTS = ("n", "mu", "sd", "sp", "lo", "hi")
+
+
+def _moments(rows: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    made = F.count("*"), F.avg("value"), F.stddev_samp("value"), F.stddev_pop("value"), F.min("value"), F.max("value")
+    return rows.groupBy(*keys, "feature").agg(*[c.alias(f"{prefix}{m}") for m, c in zip(_MOMENTS, made)])
+
+
+def _scott(prefix: str) -> Column:
+    """Bandwidth by Scott's rule."""
+    return F.col(f"{prefix}sd") * F.pow(F.col(f"{prefix}n").cast("double"), F.lit(-0.2))
+
+
+def _kl_stats(both: DataFrame, keys: list[str], points: int) -> DataFrame:
+    """Grid, bandwidths and sizes per window and feature; ``_guard`` is the answer where there is nothing to fit."""
     flat_r, flat_c = F.col("_rsp") < KL_EPS, F.col("_csp") < KL_EPS
     guard = (
         F.when((F.col("_rn") < KL_MIN_SAMPLES) | (F.col("_cn") < KL_MIN_SAMPLES), 0.0)
@@ -409,22 +444,16 @@ def kl_kde(current: DataFrame, reference: DataFrame, keys: list[str], points: in
     )
     lo, hi = F.least("_rlo", "_clo"), F.greatest("_rhi", "_chi")
     margin = F.lit(0.1) * (hi - lo + F.lit(KL_EPS))
-    wide = lambda side: F.col(f"_{side}sd") * F.pow(F.col(f"_{side}n").cast("double"), F.lit(-0.2))
-    stats = materialize(
-        stats.select(
-            *keys, "feature", guard.alias("_guard"), (lo - margin).alias("_g0"), (((hi + margin) - (lo - margin)) / (points - 1)).alias("_gw"),
-            wide("r").alias("_rh"), wide("c").alias("_ch"), F.col("_rn").cast("double").alias("_rn"), F.col("_cn").cast("double").alias("_cn"),
-        ),
-        "kl-stats",
+    return both.select(
+        *keys, "feature", guard.alias("_guard"), (lo - margin).alias("_g0"), (((hi + margin) - (lo - margin)) / (points - 1)).alias("_gw"),
+        _scott("_r").alias("_rh"), _scott("_c").alias("_ch"), F.col("_rn").cast("double").alias("_rn"), F.col("_cn").cast("double").alias("_cn"),
     )
-    grid = stats.filter("_guard is null")
-    # one bandwidth per feature, one per window and feature; constant sides have guards
-    ref_h = grid.groupBy("feature").agg(F.first("_rh").alias("_h"))
-    ref_blocks = _power_blocks(ref_rows.join(F.broadcast(ref_h), "feature"), [])
-    cur_blocks = _power_blocks(cur_rows.join(grid.select(*keys, "feature", F.col("_ch").alias("_h")), [*keys, "feature"]), keys)
-    p = _densities(ref_blocks, grid, keys, [], "_rh", "_rn", points, "p")
-    q = _densities(cur_blocks, grid, keys, keys, "_ch", "_cn", points, "q")
+
+
+def _kl_of(stats: DataFrame, p: DataFrame, q: DataFrame, keys: list[str], points: int) -> DataFrame:
+    """(keys, feature, kl) from the densities at the grid points that have a value within reach; the others are 0."""
     zero = F.lit(0.0)
+    grid = stats.filter("_guard is null")
     empty = grid.select(*keys, "feature", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("_k"), zero.alias("p"), zero.alias("q"))
     both = empty.unionByName(p.withColumn("q", zero)).unionByName(q.withColumn("p", zero))
     floor = lambda c: F.greatest(F.sum(c), F.lit(KL_EPS)).alias(c)
@@ -432,9 +461,7 @@ def kl_kde(current: DataFrame, reference: DataFrame, keys: list[str], points: in
     sums = at.groupBy(*keys, "feature").agg(F.sum("p").alias("_p"), F.sum("q").alias("_q"), F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))).alias("_a"))
     kl = F.greatest(F.col("_a") / F.col("_p") + F.log(F.col("_q") / F.col("_p")), zero)
     fixed = stats.filter("_guard is not null").select(*keys, "feature", F.col("_guard").alias("kl"))
-    whole = window_feature_grid(current, keys).drop("c_n")
-    found = sums.select(*keys, "feature", kl.alias("kl")).unionByName(fixed)
-    return whole.join(found, [*keys, "feature"], "left").select(*keys, "feature", F.coalesce("kl", zero).alias("kl"))
+    return sums.select(*keys, "feature", kl.alias("kl")).unionByName(fixed)
 
 
 def auto_drift(

@@ -21,16 +21,20 @@ ABLATION = [
 ]
 
 
-def index_components(fp_ref: DataFrame, fp_cur: DataFrame, kl: DataFrame, keys: list[str]) -> DataFrame:
-    """KL, normalised rank shift and strict sign flip per window and feature; unmatched features drop out."""
-    ref = F.broadcast(  # one row per feature
-        fp_ref.select(
-            "feature",
-            F.col("rank").alias("ref_rank"),
-            F.col("mean").alias("ref_mean"),
-            F.col("mean_abs").alias("ref_abs"),
-        )
+def index_components(fp_ref: DataFrame, fp_cur: DataFrame, kl: DataFrame, keys: list[str], ref_keys: list[str] = ()) -> DataFrame:
+    """KL, normalised rank shift and strict sign flip per window and feature; unmatched features drop out.
+
+    The reference has one fingerprint, or one for each value of ``ref_keys``.
+    """
+    ref = fp_ref.select(
+        *ref_keys,
+        "feature",
+        F.col("rank").alias("ref_rank"),
+        F.col("mean").alias("ref_mean"),
+        F.col("mean_abs").alias("ref_abs"),
     )
+    if not ref_keys:
+        ref = F.broadcast(ref)  # one row per feature
     n = F.count("*").over(Window.partitionBy(*keys))  # features of one window
     cur = fp_cur.select(
         *keys,
@@ -41,7 +45,7 @@ def index_components(fp_ref: DataFrame, fp_cur: DataFrame, kl: DataFrame, keys:
         n.alias("_n"),
     )
     flip = ((F.col("ref_mean") > 0) & (F.col("new_mean") < 0)) | ((F.col("ref_mean") < 0) & (F.col("new_mean") > 0))
-    return cur.join(ref, "feature").join(kl, [*keys, "feature"], "left").select(
+    return cur.join(ref, [*ref_keys, "feature"]).join(kl, [*keys, "feature"], "left").select(
         *keys,
         "feature",
         F.coalesce("kl", F.lit(0.0)).alias("kl"),

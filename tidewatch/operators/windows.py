@@ -102,3 +102,52 @@ def observation_windows(
         (F.col("_own") == F.col("_chunk")) & (F.col("_rn") <= F.greatest(F.col("_rn_total") - obs + 1, F.lit(1)))
     ).drop("_rn_total", "_own", "_chunk")
     return row_index(complete, [entity, "_rn"], "window_id").drop("_rn")
+
+
+def observation_windows_by_hour(
+    df: DataFrame,
+    features: list[str],
+    entity: str = "patient_id",
+    hour: str = "ICULOS",
+    label: str = "SepsisLabel",
+    obs: int = 6,
+    pred: int = 4,
+    chunk_hours: int = 4096,
+) -> DataFrame:
+    """As ``observation_windows`` with frames of hours instead of rows, so that gaps count.
+
+    One window per hour that has rows, over the rows of that hour and the ``obs`` - 1 after it; the label looks at the
+    ``pred`` hours that follow. Windows end within the entity's last hour; an entity of less than ``obs`` hours gives
+    one window labelled by all its rows. Entities are cut by time with a halo of ``obs + pred`` hours. Rows without
+    entity or hour take no part.
+    """
+    present = [c for c in features if c in df.columns]
+    if not present:
+        raise ValueError("none of the requested features is present")
+    c = F.col
+    df = df.filter(c(entity).isNotNull() & c(hour).isNotNull())
+    span = df.groupBy(entity).agg(F.min(hour).cast("long").alias("_lo"), F.max(hour).cast("long").alias("_hi"))
+    at = df.withColumn("_h", c(hour).cast("long"))
+    own = F.floor(c("_h") / F.lit(float(chunk_hours)))
+    halo = obs + pred
+    chunks = F.when(F.pmod(c("_h"), F.lit(chunk_hours)) < halo, F.array(own, own - 1)).otherwise(F.array(own))
+    rows = at.withColumn("_own", own).withColumn("_chunk", F.explode(chunks)).join(span, entity)
+    w = Window.partitionBy(entity, "_chunk").orderBy("_h")
+    seen, ahead = w.rangeBetween(0, obs - 1), w.rangeBetween(obs, obs + pred - 1)
+    stats = []
+    for f in present:
+        stats += [
+            F.avg(f).over(seen).alias(f"{f}_mean"),
+            F.coalesce(F.stddev_samp(f).over(seen), F.lit(0.0)).alias(f"{f}_std"),
+            F.min(f).over(seen).alias(f"{f}_min"),
+            F.max(f).over(seen).alias(f"{f}_max"),
+        ]
+    y = F.lit(0)
+    if label in df.columns:
+        short = c("_hi") - c("_lo") + 1 < obs
+        y = F.when(short, F.max(label).over(seen)).otherwise(F.coalesce(F.max(label).over(ahead), F.lit(0))).cast("int")
+    fresh = F.coalesce(F.lag("_h").over(w) != c("_h"), F.lit(True))
+    made = rows.select(entity, "_h", "_own", "_chunk", "_lo", "_hi", *stats, y.alias("label"), fresh.alias("_first"))
+    kept = made.filter("_own = _chunk and _first").filter(c("_h") <= F.greatest(c("_hi") - obs + 1, c("_lo")))
+    kept = kept.select(entity, c("_h").alias("start_hour"), *[c(f"{f}_{x}") for f in present for x in ("mean", "std", "min", "max")], "label")
+    return row_index(kept, [entity, "start_hour"], "window_id")

@@ -316,6 +316,30 @@ def obs_windows(s, sf):
     return r6(out, "click_mean", "click_std", "view_mean", "view_std")
 
 
+def _obs_hours_sql() -> str:
+    stats = ", ".join(
+        f"round(avg({k}) OVER o, 6) AS {k}_mean, round(coalesce(stddev_samp({k}) OVER o, 0), 6) AS {k}_std, min({k}) OVER o AS {k}_min, max({k}) OVER o AS {k}_max"
+        for k in ("click", "view")
+    )
+    keep = ", ".join(f"{k}_{x}" for k in ("click", "view") for x in ("mean", "std", "min", "max"))
+    return f"""SELECT user_id, hour AS start_hour, row_number() OVER (ORDER BY user_id, hour) - 1 AS window_id, {keep}, label FROM (
+      SELECT DISTINCT user_id, hour, min(hour) OVER u AS lo, max(hour) OVER u AS hi, {stats},
+        CASE WHEN max(hour) OVER u - min(hour) OVER u + 1 < 24 THEN max(label) OVER o ELSE coalesce(max(label) OVER a, 0) END::INTEGER AS label
+      FROM (SELECT user_id, floor(epoch(ts) / 3600)::BIGINT AS hour, click, "view", label FROM readings)
+      WINDOW u AS (PARTITION BY user_id), o AS (PARTITION BY user_id ORDER BY hour RANGE BETWEEN CURRENT ROW AND 23 FOLLOWING),
+        a AS (PARTITION BY user_id ORDER BY hour RANGE BETWEEN 24 FOLLOWING AND 35 FOLLOWING))
+    WHERE hour <= greatest(hi - 23, lo)"""
+
+
+@query("obs_windows_hours", _obs_hours_sql())
+def obs_windows_hours(s, sf):
+    """A day of readings and the half day after it; users are seen a few times a day, so rows and hours differ."""
+    hour = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600).alias("hour")
+    rows = T.readings(s, sf).select("user_id", hour, "click", "view", "label")
+    out = W.observation_windows_by_hour(rows, ["click", "view"], "user_id", "hour", "label", 24, 12)
+    return r6(out, "click_mean", "click_std", "view_mean", "view_std")
+
+
 @query(
     "phase_union",
     """SELECT row_idx, phase, n_lines, total_price FROM cohort WHERE phase = 'phase1'
@@ -507,6 +531,13 @@ def sadi(s, sf):
     return r6(out, "kl", "rank_shift", "direction_flip", "sadi")
 
 
+@query("sadi_previous", "SELECT window_id, feature, " + rs(["kl", "rank_shift", "direction_flip", "sadi"]) + " FROM sadi_previous")
+def sadi_previous(s, sf):
+    """The index of every window against the one before it instead of the fixed reference."""
+    out = I.sadi(monitor.components_previous(T.window_rows(s, sf), "window_id"))
+    return r6(out.select("window_id", "feature", "kl", "rank_shift", "direction_flip", "sadi"), "kl", "rank_shift", "direction_flip", "sadi")
+
+
 @query("sadi_batch", "SELECT batch_id, feature, " + rs(["kl", "rank_shift", "direction_flip", "sadi"]) + " FROM sadi_batch")
 def sadi_batch(s, sf):
     ref = A.fingerprint(monitor.attributions(T.reference_rows(s, sf), []))
@@ -994,13 +1025,17 @@ def recommend(s, sf):
     return results(s, sf).select("window_num", rec, *cols)
 
 
-def alert_table(s, sf) -> DataFrame:
-    ranked = I.sadi(index_parts(s, sf)).withColumn(
+def top_moves(parts: DataFrame) -> DataFrame:
+    """The five features of each window that moved most."""
+    ranked = I.sadi(parts).withColumn(
         "rank",
         F.row_number().over(Window.partitionBy("window_id").orderBy(F.col("sadi").desc(), "feature")),
     )
-    top = ranked.filter("rank <= 5").withColumnRenamed("window_id", "window_num")
-    return AL.build_alerts(results(s, sf), top, ["window_num"], min_level=1)
+    return ranked.filter("rank <= 5").withColumnRenamed("window_id", "window_num")
+
+
+def alert_table(s, sf) -> DataFrame:
+    return AL.build_alerts(results(s, sf), top_moves(index_parts(s, sf)), ["window_num"], min_level=1)
 
 
 _ALERT = f"""
@@ -1462,9 +1497,7 @@ def stream_monitor(s, sf):
         parts = materialize(monitor.components(ref, windowed, W_KEY), "epoch")
         adv = AD.adversarial_scores(held, windowed, "window_id", "row_idx", FEATS, 3).select("window_id", "adv_score")
         found = materialize(monitor.window_results(ref, windowed, prof, parts, adv, bounded=False), "epoch").withColumn("batch_id", F.col("window_idx"))
-        ranked = I.sadi(parts).select("window_id", "feature", "sadi", F.row_number().over(Window.partitionBy("window_id").orderBy(F.col("sadi").desc(), "feature")).alias("rank"))
-        top = ranked.filter("rank <= 5").withColumnRenamed("window_id", "window_num")
-        alerts = AL.build_alerts(found.drop("batch_id"), top, ["window_num"], min_level=2)
+        alerts = AL.build_alerts(found.drop("batch_id"), top_moves(parts), ["window_num"], min_level=2)
         return {"records": found, "alerts": alerts.withColumn("batch_id", F.col("window_num"))}
 
     epoch = F.floor((F.col("row_idx") - first) * EPOCHS / F.lit(last + 1 - first))
@@ -1473,7 +1506,8 @@ def stream_monitor(s, sf):
         stream = file_stream(s, f"{base}/in", scored.schema)
         SM.stream_monitor(stream, record, f"{base}/out", f"{base}/checkpoint", "monitor").awaitTermination()
     records = s.read.parquet(f"{base}/out/records").drop("query_id")
-    alerts = s.read.parquet(f"{base}/out/alerts").select("batch_id", F.lit(True).alias("alerted"))
+    alerts = s.read.schema("window_num long, query_id string, batch_id long").parquet(f"{base}/out/alerts")
+    alerts = alerts.select("batch_id", F.lit(True).alias("alerted"))
     out = records.join(alerts, "batch_id", "left").withColumn("alerted", F.coalesce("alerted", F.lit(False)))
     return out.select(F.col("batch_id").cast("long").alias("batch_id"), *_MONITORED.split(", "), "alerted")
 

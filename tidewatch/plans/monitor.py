@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.runtime import materialize_all
+from tidewatch.functions.runtime import materialize, materialize_all
 from tidewatch.operators import attribution as A
 from tidewatch.operators import divergence as D
 from tidewatch.operators import drift_index as I
@@ -32,6 +32,14 @@ def components(reference: DataFrame, windowed: DataFrame, keys: list[str]) -> Da
     return I.index_components(A.fingerprint(ref), A.fingerprint(cur, keys), kl, keys)
 
 
+def components_previous(windowed: DataFrame, window: str) -> DataFrame:
+    """Index components of every window against the window before it (``window`` less 1)."""
+    cur = attributions(windowed, [window])
+    fp = materialize(A.fingerprint(cur, [window]), "fingerprints")  # one row per window and feature
+    before = fp.withColumn(window, F.col(window) + 1)
+    return I.index_components(before, fp, D.kl_previous(cur.withColumnRenamed("phi", "value"), window), [window], [window])
+
+
 def window_results(
     reference: DataFrame,
     windowed: DataFrame,

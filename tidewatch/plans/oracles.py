@@ -259,6 +259,22 @@ CTE["comps"] = comps(
     "fp_win", "window_id", "kl.kl", "r.mean > 0 AND c.mean < 0 OR r.mean < 0 AND c.mean > 0", "JOIN kl USING (window_id, feature)"
 )
 CTE["sadi"] = f"SELECT *, {lit(0.5)} * kl + {lit(0.3)} * rank_shift + {lit(0.2)} * direction_flip AS sadi FROM comps"
+CTE["phi_before"] = "SELECT window_id + 1 AS window_id, feature, phi FROM phi_win"
+CTE["before_stats"] = f"""
+SELECT *, lo - mg AS g0, (hi + mg) - (lo - mg) AS gw FROM (
+ SELECT c.window_id, c.feature, r.n AS rn, c.n AS cn, r.sp AS rsp, c.sp AS csp, r.mu AS rmu, c.mu AS cmu,
+        r.sd * pow(r.n, -0.2) AS rh, c.sd * pow(c.n, -0.2) AS ch, least(r.lo, c.lo) AS lo, greatest(r.hi, c.hi) AS hi,
+        {lit(0.1)} * (greatest(r.hi, c.hi) - least(r.lo, c.lo) + {lit(1e-10)}) AS mg
+ FROM (SELECT window_id, feature, {_MOM} FROM phi_win GROUP BY ALL) c
+ JOIN (SELECT window_id, feature, {_MOM} FROM phi_before GROUP BY ALL) r USING (window_id, feature))"""
+CTE["before_cells"] = "SELECT window_id, feature, phi AS x, count(*) AS w FROM phi_before GROUP BY ALL"
+CTE["before_p"] = density("before_cells", "window_id, feature", "rh", "rn").replace("FROM kl_stats", "FROM before_stats")
+CTE["before_q"] = density("kl_win_cells", "window_id, feature", "ch", "cn").replace("FROM kl_stats", "FROM before_stats")
+CTE["before_kl"] = CTE["kl"].replace("kl_stats", "before_stats").replace("FROM kl_p", "FROM before_p").replace("JOIN kl_q", "JOIN before_q")
+CTE["fp_before"] = "SELECT * REPLACE (window_id + 1 AS window_id) FROM fp_win"
+CTE["sadi_previous"] = f"SELECT *, {lit(0.5)} * kl + {lit(0.3)} * rank_shift + {lit(0.2)} * direction_flip AS sadi FROM (" + comps(
+    "fp_win", "window_id", "before_kl.kl", "r.mean > 0 AND c.mean < 0 OR r.mean < 0 AND c.mean > 0", "JOIN before_kl USING (window_id, feature)"
+).replace("JOIN fp_ref r USING (feature)", "JOIN fp_before r USING (window_id, feature)") + ")"
 _KLB = f"least(abs(c.mean_abs - r.mean_abs) / greatest(r.mean_abs, {lit(1e-3)}), {lit(2)})"
 CTE["sadi_batch"] = (
     f"SELECT *, {lit(0.5)} * kl + {lit(0.3)} * rank_shift + {lit(0.2)} * direction_flip AS sadi FROM ("
