@@ -1,5 +1,6 @@
 """Published values of the composite scores, decisions, detector tables and reports."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.ordered import grouped_index
@@ -76,24 +76,28 @@ class AdaptiveWindow:
         return cut
 
 
+def _runs(df: DataFrame, keys: list[str], order: list[str], score: str, grain: int) -> DataFrame:
+    """Scored rows with their 1-based place ``_rn`` in the key's stream and its run of ``grain`` values."""
+    numbered = grouped_index(df.filter(F.col(score).isNotNull()), keys, order, "_rn")
+    return numbered.withColumn("run", F.floor((F.col("_rn") - 1) / grain))
+
+
 def adwin(
     df: DataFrame, keys: list[str], order: list[str], score: str, delta: float = 0.002, grain: int = 1
 ) -> DataFrame:
-    """(keys, run, last_position, n, drift, window_size) along each ordered stream.
+    """(keys, run, last_position, n, drift, window_size) along each ordered stream; without keys there is one.
 
     The algorithm is sequential per key. ``grain`` consecutive values are first summarised in parallel, so
     that the sequential step handles 1/grain of the rows and keeps only O(log n) buckets; it reads its
     partition as a sorted stream of batches and never holds a key in memory. ``grain=1`` checks every value.
     """
-    scored = df.filter(F.col(score).isNotNull())
-    numbered = grouped_index(scored, keys, order, "_rn")
-    runs = numbered.groupBy(*keys, F.floor((F.col("_rn") - 1) / grain).alias("run")).agg(
+    runs = _runs(df, keys, order, score, grain).groupBy(*keys, "run").agg(
         F.max("_rn").alias("last_position"),
         F.count("*").cast("double").alias("n"),
         F.sum(score).alias("_sum"),
         (F.coalesce(F.var_pop(score), F.lit(0.0)) * F.count("*")).alias("_dev"),
     )
-    laid = runs.repartition(*keys).sortWithinPartitions(*keys, "run")
+    laid = (runs.repartition(*keys) if keys else runs.coalesce(1)).sortWithinPartitions(*keys, "run")  # summaries of one stream
     types = {f.name: f.dataType.simpleString() for f in runs.schema.fields}
     head = ", ".join(f"{c} {types[c]}" for c in [*keys, "run", "last_position", "n"])
 
@@ -115,6 +119,27 @@ def adwin(
     return laid.mapInPandas(walk, f"{head}, drift boolean, window_size double")
 
 
+def change_positions(df: DataFrame, cuts: DataFrame, keys: list[str], order: list[str], score: str, grain: int) -> DataFrame:
+    """(keys, run, change_position): where between its two runs the stream changed, for every cut of ``adwin``.
+
+    A cut drops whole runs; only the last run dropped and the first one kept are read again. The place is the last
+    value before the split that sets their means apart most, weighted by the sizes of both sides.
+    """
+    c = F.col
+    first_kept = F.floor((c("last_position") - c("window_size")) / grain).cast("long")
+    sides = cuts.filter("drift").select(*keys, c("run").alias("_cut"), F.explode(F.array(first_kept - 1, first_kept)).alias("run"))
+    rows = _runs(df, keys, order, score, grain).select(*keys, "run", "_rn", c(score).alias("_v"))
+    near = rows.join(sides, [*keys, "run"])
+    whole = Window.partitionBy(*keys, "_cut")  # two runs
+    upto = whole.orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
+    n0, s0 = F.count("*").over(upto), F.sum("_v").over(upto)
+    n, total = F.count("*").over(whole), F.sum("_v").over(whole)
+    split = near.select(*keys, c("_cut"), "_rn", n0.alias("n0"), s0.alias("s0"), n.alias("n"), total.alias("total")).filter("n0 < n")
+    gap = F.round(F.abs(c("s0") / c("n0") - (c("total") - c("s0")) / (c("n") - c("n0"))) * F.sqrt(c("n0") * (c("n") - c("n0")) / c("n")), 9)
+    best = F.max_by("_rn", F.struct(gap, -c("_rn")))
+    return split.groupBy(*keys, c("_cut").alias("run")).agg(best.alias("change_position"))
+
+
 def replay(values: pd.Series, delta: float = 0.002) -> list[bool]:
     """Flags of one short in-memory series; used by the tests as the plain definition."""
     win = AdaptiveWindow(delta)

@@ -526,8 +526,11 @@ def auto_drift(
     return ks.unionByName(cat).withColumn("flagged", F.col("p_value") < level)
 
 
-def detector_summary(method_tables: dict[str, DataFrame], keys: list[str]) -> DataFrame:
-    """One row per window and method: drift found, flagged features (sorted), any method, all methods."""
+def detector_summary(method_tables: dict[str, DataFrame], keys: list[str], streams: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One row per window and method: drift found and flagged features (sorted).
+
+    ``streams`` are methods on a whole stream: the windows (keys, once each or more often) in which they fired. They flag no features.
+    """
     parts = []
     for name, df in method_tables.items():
         flagged = F.sort_array(F.collect_list(F.when(F.col("flagged"), F.col("feature"))))  # at most all features
@@ -536,6 +539,15 @@ def detector_summary(method_tables: dict[str, DataFrame], keys: list[str]) -> Da
                 *keys, F.lit(name).alias("method"), (F.size("flagged_features") > 0).alias("drift_detected"), "flagged_features"
             )
         )
+    windows = next(iter(method_tables.values())).select(*keys).distinct()
+    for name, fired in (streams or {}).items():
+        hit = fired.select(*keys).distinct().withColumn("drift_detected", F.lit(True))
+        parts.append(
+            windows.join(hit, keys, "left").select(
+                *keys, F.lit(name).alias("method"), F.coalesce("drift_detected", F.lit(False)).alias("drift_detected"),
+                F.array().cast("array<string>").alias("flagged_features"),
+            )
+        )
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

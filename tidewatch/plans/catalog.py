@@ -493,17 +493,29 @@ def auto_drift(s, sf):
     return r6(out, "statistic", "p_value")
 
 
+def prediction_cuts(s, sf) -> DataFrame:
+    """The adaptive window along all predictions in their order."""
+    rows = T.scored_stream(s, sf).select("row_idx", "p")
+    return stage(s, ("prediction-cuts", sf), lambda: AW.adwin(rows, [], ["row_idx"], "p", grain=O.PRED_GRAIN))
+
+
 @query(
     "detector_summary",
-    """SELECT window_id, method, count(*) FILTER (hit) > 0 AS drift_detected, sum(count(*) FILTER (hit)) OVER (PARTITION BY window_id) > 0 AS any_drift,
-    coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (hit), '') AS flagged_features FROM (
-      SELECT window_id, feature, 'ks' AS method, p_value < 0.05 AS hit FROM ks
-      UNION ALL SELECT window_id, feature, 'psi', psi > 0.2 FROM psi_detector) GROUP BY 1, 2""",
+    f"""SELECT *, bool_or(drift_detected) OVER (PARTITION BY window_id) AS any_drift FROM (
+      SELECT window_id, method, count(*) FILTER (hit) > 0 AS drift_detected, coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (hit), '') AS flagged_features FROM (
+        SELECT window_id, feature, 'ks' AS method, p_value < 0.05 AS hit FROM ks
+        UNION ALL SELECT window_id, feature, 'psi', psi > 0.2 FROM psi_detector) GROUP BY 1, 2
+      UNION ALL SELECT window_id, 'adwin', coalesce(bool_or(last_position - 1 >= window_id * {M.WINDOW_STEP} AND last_position - 1 < window_id * {M.WINDOW_STEP} + {M.WINDOW_SIZE}), false), ''
+      FROM (SELECT DISTINCT window_id FROM win) LEFT JOIN (SELECT last_position FROM pred_adwin WHERE drift) ON true GROUP BY window_id)""",
 )
 def detector_summary(s, sf):
     feats = window_long(s, sf)
     ks = D.ks_test(feats, profile(s, sf), W_KEY, bounded=True)
-    out = materialize(D.detector_summary({"ks": ks, "psi": D.psi(feats, profile(s, sf), W_KEY)}, W_KEY), "summary")
+    # the windows that hold the place of each cut
+    cuts = prediction_cuts(s, sf).filter("drift").select((F.col("last_position") - 1).alias("row_idx"))
+    fired = W.count_windows(cuts, M.WINDOW_SIZE, M.WINDOW_STEP)
+    tables = {"ks": ks, "psi": D.psi(feats, profile(s, sf), W_KEY)}
+    out = materialize(D.detector_summary(tables, W_KEY, {"adwin": fired}), "summary")
     whole = D.any_drift(out, W_KEY).select("window_id", F.col("any_drift_detected").alias("any_drift"))
     return out.withColumn("flagged_features", F.array_join("flagged_features", ",")).join(whole, "window_id")
 
@@ -1379,9 +1391,12 @@ def stepped(df: DataFrame) -> DataFrame:
     return df.withColumn("moved", F.least(F.col("value") / 500.0 + F.when(late, 0.5).otherwise(0.0), F.lit(1.0)))
 
 
-@query("adwin")
+@query(
+    "adwin",
+    """SELECT k AS label, count(*) AS n, count(*) FILTER (drift) AS n_drift, arg_max(window_size, run) AS window_size FROM reading_adwin GROUP BY 1""",
+)
 def adwin(s, sf):
-    flags = AW.adwin(stepped(T.readings(s, sf)), ["label"], ["ts", "event_id"], "moved")
+    flags = AW.adwin(stepped(T.readings(s, sf)), ["label"], ["ts", "event_id"], "moved", grain=O.READING_GRAIN)
     return flags.groupBy("label").agg(
         F.count("*").alias("n"),
         F.count_if("drift").alias("n_drift"),
@@ -1389,6 +1404,21 @@ def adwin(s, sf):
     )
 
 
+@query(
+    "adwin_changes",
+    f"""SELECT run, arg_max(rn, (gap, -rn)) AS change_position FROM (
+      SELECT run, rn, round(abs(s0 / n0 - (total - s0) / (n - n0)) * sqrt(n0 * (n - n0) / n), 9) AS gap FROM (
+        SELECT c.run, rn, count(*) OVER o AS n0, sum(p) OVER o AS s0, count(*) OVER (PARTITION BY c.run) AS n, sum(p) OVER (PARTITION BY c.run) AS total
+        FROM (SELECT *, (last_position - window_size)::BIGINT // {O.PRED_GRAIN} AS kept FROM pred_adwin WHERE drift) c
+        JOIN (SELECT row_idx + 1 AS rn, row_idx // {O.PRED_GRAIN} AS of, p FROM stream) r ON r.of IN (c.kept, c.kept - 1)
+        WINDOW o AS (PARTITION BY c.run ORDER BY rn)) WHERE n0 < n) GROUP BY 1""",
+)
+def adwin_changes(s, sf):
+    """Changes of the predictions: cuts over summaries, then the place within two of them."""
+    rows = T.scored_stream(s, sf).select("row_idx", "p")
+    return AW.change_positions(rows, prediction_cuts(s, sf), [], ["row_idx"], "p", O.PRED_GRAIN)
+
+
 # ---- streams ----------------------------------------------------------------------------------------
 
 
