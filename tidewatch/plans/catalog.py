@@ -1492,7 +1492,7 @@ def stream_late(s, sf):
     return SW.late_rows(events.select(day("ts")), kept.select(day("window_start"), "n"), ["day"])
 
 
-@query("stream_adwin")
+@query("stream_adwin", "SELECT k AS event_type, last_position AS position, s AS value FROM kind_adwin JOIN kind_runs USING (k, run, last_position) WHERE drift")
 def stream_adwin(s, sf):
     return run_to_table(SS.stream_adwin(stepped(event_stream(s, sf)), "event_type", "ts", "moved"), "cuts")
 

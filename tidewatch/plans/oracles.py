@@ -443,18 +443,18 @@ def adwin_walk(runs: str) -> str:
     """(k, run, last_position, drift, window_size)."""
     return f"""
 WITH RECURSIVE walk AS (
-  SELECT DISTINCT k, -1::BIGINT AS run, []::STRUCT(l BIGINT, n DOUBLE, s DOUBLE, d DOUBLE)[] AS rows, false AS cut, true AS ready FROM {runs}
+  SELECT DISTINCT k, -1::BIGINT AS run, []::STRUCT(l BIGINT, n DOUBLE, s DOUBLE, d DOUBLE)[] AS rows, false AS cut, true AS ready, false AS due FROM {runs}
   UNION ALL
   SELECT k, CASE WHEN ready THEN run + 1 ELSE run END,
     CASE WHEN ready THEN list_append(rows, fresh)
          WHEN spot IS NOT NULL THEN rows[:spot - 1] || [merged] || rows[spot + 2:]
          WHEN has_cut THEN rows[2:] ELSE rows END,
     CASE WHEN ready THEN false ELSE cut OR (spot IS NULL AND has_cut) END,
-    NOT ready AND spot IS NULL AND NOT has_cut
+    NOT ready AND spot IS NULL AND NOT has_cut, CASE WHEN ready THEN fresh_due ELSE due END
   FROM (
     SELECT *, struct_pack(l := rows[spot].l + 1, n := rows[spot].n + rows[spot + 1].n, s := rows[spot].s + rows[spot + 1].s,
         d := rows[spot].d + rows[spot + 1].d + pow(rows[spot].s / rows[spot].n - rows[spot + 1].s / rows[spot + 1].n, 2) * rows[spot].n * rows[spot + 1].n / (rows[spot].n + rows[spot + 1].n)) AS merged,
-      len(rows) > 1 AND n > 10 AND len(list_filter(range(1, len(rows)), lambda i: n0[i] >= 5 AND n - n0[i] >= 5 AND
+      due AND len(rows) > 1 AND n > 10 AND len(list_filter(range(1, len(rows)), lambda i: n0[i] >= 5 AND n - n0[i] >= 5 AND
         abs(s0[i] / n0[i] - (total - s0[i]) / (n - n0[i])) > sqrt(2.0 * (1 / n0[i] + 1 / (n - n0[i])) * var * lg) + 2.0 / 3.0 * (1 / n0[i] + 1 / (n - n0[i])) * lg)) > 0 AS has_cut
     FROM (
       SELECT *, ln(2.0 * ln(greatest(n, 2)) / 0.002) AS lg, list_sum(list_transform(rows, lambda x: x.d + x.n * pow(x.s / x.n - total / n, 2))) / n AS var,
@@ -462,7 +462,7 @@ WITH RECURSIVE walk AS (
         list_transform(range(1, len(rows) + 1), lambda i: list_sum(list_transform(rows[:i], lambda x: x.s))) AS s0,
         list_position(list_transform(rows, lambda x: x.l), list_min(list_filter(list_transform(rows, lambda x: x.l), lambda v: len(list_filter(rows, lambda y: y.l = v)) > 5))) AS spot
       FROM (
-        SELECT w.k, w.run, rows, cut, ready, list_sum(list_transform(rows, lambda x: x.n)) AS n, list_sum(list_transform(rows, lambda x: x.s)) AS total, struct_pack(l := 0::BIGINT, n := r.n, s := r.s, d := r.d) AS fresh
+        SELECT w.k, w.run, rows, cut, ready, due, r.last_position // 32 <> (r.last_position - r.n::BIGINT) // 32 AS fresh_due, list_sum(list_transform(rows, lambda x: x.n)) AS n, list_sum(list_transform(rows, lambda x: x.s)) AS total, struct_pack(l := 0::BIGINT, n := r.n, s := r.s, d := r.d) AS fresh
         FROM walk w LEFT JOIN {runs} r ON r.k = w.k AND r.run = w.run + 1 WHERE NOT (ready AND r.run IS NULL)))) AS step)
 SELECT k, run, last_position, cut AS drift, list_sum(list_transform(rows, lambda x: x.n)) AS window_size FROM walk JOIN {runs} USING (k, run) WHERE ready AND run >= 0"""
 
@@ -481,6 +481,8 @@ READING_GRAIN = 64
 CTE["stepped"] = """SELECT *, least(value / 500.0 + CASE WHEN ts >= TIMESTAMP '2024-01-16' THEN 0.5 ELSE 0.0 END, 1.0) AS moved FROM readings"""
 CTE["reading_runs"] = adwin_runs("stepped", "label", "ts, event_id", "moved", READING_GRAIN)
 CTE["reading_adwin"] = adwin_walk("reading_runs")
+CTE["kind_runs"] = adwin_runs("(SELECT *, least(value / 500.0 + CASE WHEN ts >= TIMESTAMP '2024-01-16' THEN 0.5 ELSE 0.0 END, 1.0) AS moved FROM events)", "event_type", "ts", "moved", 1)
+CTE["kind_adwin"] = adwin_walk("kind_runs")
 CTE["truth"] = " UNION ALL ".join(
     f"SELECT '{c}' AS col, '{s.base}' AS base_feature, '{s.phase}' AS phase, '{s.component}' AS component"
     for s in M.SHIFTS
