@@ -112,6 +112,8 @@ def _stage(mine: int, first_id: int, total: int, words: int, k: int):
     """Arrow cogroup function: one bundle's accumulators of one block through one owner."""
 
     def go(state: pa.Table, postings: pa.Table) -> pa.Table:
+        if not state.num_rows:  # no items at all
+            return pa.schema([("bundle", pa.int32()), ("block", pa.int64()), *[(c, pa.list_(_TYPES[t])) for c, t in _STATE.items()]]).empty_table()
         held = {c: state.column(c).combine_chunks()[0].values for c in _STATE}
         item, t_end, t_id, t_w, t_most, t_owner, n, a_end, a_doc, a_score, floor = (held[c].to_numpy() for c in _STATE if c not in ("item_id", "doc_id"))
         term, place, tf = (postings.column(c).combine_chunks()[0].values.to_numpy().astype(np.int64) for c in ("term", "place", "tf"))
