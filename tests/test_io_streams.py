@@ -11,7 +11,7 @@ from tidewatch.sources import readings as S
 from tidewatch.streaming import monitor as SM
 from tidewatch.streaming import stateful as SS
 from tidewatch.streaming import windows as SW
-from tidewatch.streaming.runner import END_OF_STREAM, closed, file_stream, run_to_table
+from tidewatch.streaming.runner import END_OF_STREAM, file_stream, run_closed, run_to_table
 
 HEAD = "HR|O2Sat|Age|Gender|ICULOS|SepsisLabel"
 
@@ -168,8 +168,8 @@ def test_count_windows_close_when_a_key_is_idle(spark, tmp_path):
     src = str(tmp_path / "in")
     put(spark, src, "a", [(1, f"2024-01-01 0{i}:00", float(i)) for i in range(7)] + [(2, "2024-01-01 00:00", 5.0)])
     put(spark, src, "b", [(2, "2024-01-09 00:00", 6.0)])
-    stream = closed(file_stream(spark, src, SCHEMA, 1), "ts", k=0, value=0.0)
-    got = run_to_table(SS.stream_count_windows(stream, "k", "ts", "value", 4, "1 day"), "c").collect()
+    build = lambda stream: SS.stream_count_windows(stream, "k", "ts", "value", 4, "1 day")
+    got = run_closed(file_stream(spark, src, SCHEMA, 1), "ts", build, "c", k=0, value=0.0).collect()
     assert sorted((r.k, r.n, r["min"], r["max"]) for r in got if r.k == 1) == [(1, 3, 4.0, 6.0), (1, 4, 0.0, 3.0)]
     assert sum(r.n for r in got if r.k == 2) == 2 and all(r.k in (1, 2) for r in got)
 
@@ -182,7 +182,8 @@ def test_closed_streams_emit_every_window_and_count_late_rows(spark, tmp_path):
     go = lambda s: run_to_table(SW.stream_profile(s, "ts", ["value"], edges, "1 day", delay="1 day"), "p", base)
     go(file_stream(spark, src, SCHEMA, 1))
     put(spark, src, "b", [(1, "2024-01-01 11:00", 2.0), (1, "2024-01-05 01:00", 3.0)])  # the first row is late
-    put(spark, src, "c", [(1, END_OF_STREAM, 0.0)])
+    end = spark.range(1).select(F.lit(1).cast("long").alias("k"), F.lit(END_OF_STREAM).cast("timestamp_ntz").alias("ts"), F.lit(0.0).alias("value"))
+    end.write.mode("append").parquet(src)
     kept = go(file_stream(spark, src, SCHEMA, 1))
     day = lambda c: F.date_format(c, "MM-dd").alias("day")
     arrived = file_rows(spark, src).filter(F.col("ts") < "2900-01-01").select(day("ts"))

@@ -33,7 +33,7 @@ from tidewatch.sources import bundles as B
 from tidewatch.streaming import monitor as SM
 from tidewatch.streaming import stateful as SS
 from tidewatch.streaming import windows as SW
-from tidewatch.streaming.runner import END_OF_STREAM, closed, file_stream, run_to_table
+from tidewatch.streaming.runner import END_OF_STREAM, file_stream, run_closed, run_to_table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -1438,8 +1438,8 @@ _EV_BIN = " + ".join(f"(value >= lo + {O.lit(k)} * ((hi - lo) / {O.lit(10)}))::I
 def stream_profile(s, sf):
     ref = T.table(s, sf, "events").filter("ts < timestamp_ntz'2024-01-11'").select(F.lit("value").alias("feature"), "value")
     edges = SW.reference_edges(ref)
-    stream = closed(event_stream(s, sf), "ts", value=0.0)
-    out = run_to_table(SW.stream_profile(stream, "ts", ["value"], edges, "1 day", delay="1 day"), "profile")
+    build = lambda stream: SW.stream_profile(stream, "ts", ["value"], edges, "1 day", delay="1 day")
+    out = run_closed(event_stream(s, sf), "ts", build, "profile", value=0.0)
     return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "bin", "n", F.round("total", 4).alias("total"))
 
 
@@ -1452,7 +1452,8 @@ def stream_profile(s, sf):
         FROM events)) GROUP BY user_id, sid""",
 )
 def stream_sessions(s, sf):
-    out = run_to_table(SW.stream_sessions(closed(event_stream(s, sf), "ts", user_id=0, value=0.0), "ts", "user_id", ["value"], "6 hours", "1 day"), "sessions")
+    build = lambda stream: SW.stream_sessions(stream, "ts", "user_id", ["value"], "6 hours", "1 day")
+    out = run_closed(event_stream(s, sf), "ts", build, "sessions", user_id=0, value=0.0)
     start = F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start")
     return r6(out.select("user_id", start, "n_rows", "value_mean", "value_min", "value_max"), "value_mean")
 
@@ -1463,7 +1464,8 @@ def stream_sessions(s, sf):
     FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, value) AS rn FROM events) GROUP BY 1, 2""",
 )
 def stream_count_windows(s, sf):
-    out = run_to_table(SS.stream_count_windows(closed(event_stream(s, sf), "ts", user_id=0, value=0.0), "user_id", "ts", "value", 20), "counts")
+    build = lambda stream: SS.stream_count_windows(stream, "user_id", "ts", "value", 20)
+    out = run_closed(event_stream(s, sf), "ts", build, "counts", user_id=0, value=0.0)
     return r6(out, "mean")
 
 
