@@ -15,6 +15,7 @@ STAGES = {
     "stage_stream": T.scored_stream,
     "stage_profile": catalog.profile,
     "stage_components": catalog.index_parts,
+    "stage_domain": catalog.domain_scores,
     "stage_results": catalog.results,
 }
 QUERIES = [
@@ -25,6 +26,12 @@ QUERIES = [
     "phase_summary", "describe", "phase_histogram",
 ]
 
+#: Timed too, but not part of the headline total, so that it stays comparable over time.
+MORE = [
+    "adversarial_importance", "sadi_previous", "obs_windows_hours", "knn_impute", "adwin", "adwin_changes", "train_gbt",
+    "tree_attributions", "tree_path_attributions", "model_conditions", "stream_profile", "stream_count_windows", "stream_adwin", "stream_monitor",
+]
+
 
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -46,13 +53,16 @@ def main() -> None:
         start = time.time()
         build(spark, sf)
         times[name] = round(time.time() - start, 3)
-    for name in QUERIES:
+    total = None
+    for name in [*QUERIES, *MORE]:
+        if name == MORE[0]:
+            total = round(sum(times.values()), 3)
         start = time.time()
         catalog.QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - start, 3)
     print(
         json.dumps(
-            {"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf}
+            {"metric": "headline_total", "value": total, "unit": "sec", "queries": times, "sf": sf}
         )
     )
 
