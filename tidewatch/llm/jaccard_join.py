@@ -13,8 +13,8 @@ prefixes form a group, and only groups enter the join:
    verified: a number of pairs linear in the rows. Their links give provisional components; a few more such passes
    take the members of a shingle in other orders;
 4. second pass: all pairs that share a prefix shingle, pass the size and position bounds and still lie in
-   different components. Rows are first reduced to (shingle, component), so large groups of near copies, by then
-   one component, form no pairs among themselves;
+   different components. A list is cut into blocks and pairs of blocks are compared inside a task, which lets only pairs
+   out that the sketches of their sets allow too, so a crowded list costs no join rows;
 5. group pairs are expanded to their member classes; 256 counts per class rule out most pairs that cannot reach the
    similarity, the others are verified on the whole sets.
 
@@ -41,6 +41,8 @@ COUNT_BLOCK = 1 << 22
 FREQUENT = 1 << 20
 #: Linear passes over the lists in other orders, and how far apart they compare, before all remaining pairs are taken.
 LINEAR_PASSES, REACH = 3, 12
+#: Rows of a crowded list that meet as one block in the second pass; sets how the work is cut, not its result.
+BLOCK_ROWS = 2048
 #: Documents whose ids are broadcast to fetch their texts (32 bytes each); more are fetched by a shuffled join.
 SENT_IDS = 1 << 20
 
@@ -194,6 +196,63 @@ def _beside(rows: DataFrame, reach: int) -> DataFrame:
     return ordered.mapInArrow(scan, "g long, n long, p long, g0 long, n0 long, p0 long")
 
 
+def _across(rows: DataFrame, t: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components in one pair of blocks of a list that bounds and sketches allow.
+
+    Rows of a pair of blocks follow one another; each is compared with the one d places on, for d = 1, 2, ... while
+    any two are still in the same blocks, so only pairs that may link leave the task.
+    """
+    names = ["s", "u", "v", "side", "k", "n", "p", "label", "sketch"]
+
+    def possible(n, p, n2, p2):
+        need = -(-t * (n + n2) // (100 + t))
+        most = 1 + np.minimum(n - p - 1, n2 - p2 - 1)
+        small = np.minimum(n, n2)
+        small_p = np.where(n < n2, p, np.where(n2 < n, p2, np.maximum(p, p2)))
+        short = small - -(-2 * t * small // (100 + t)) + 1
+        return (100 * small >= t * np.maximum(n, n2)) & (most >= need) & (small_p < short)
+
+    def pairs(table):
+        s, u, v, side, k, n, p, label = (table.column(i).to_numpy() for i in range(8))
+        marks = np.frombuffer(b"".join(table.column(8).to_pylist()), np.uint8).reshape(-1, 256)
+        group = np.concatenate([[0], np.cumsum((s[1:] != s[:-1]) | (u[1:] != u[:-1]) | (v[1:] != v[:-1]))])
+        out, i, d = [], np.arange(len(k)), 1
+        while len(i):
+            i = i[i + d < len(k)]
+            i = i[group[i] == group[i + d]]
+            j = i + d
+            d += 1
+            ok = (label[i] != label[j]) & ((u[i] == v[i]) | (side[i] != side[j])) & possible(n[i], p[i], n[j], p[j])
+            x, y = i[ok], j[ok]
+            if len(x):
+                least = np.minimum(marks[x], marks[y])
+                most, both = least.sum(1, dtype=np.int64), n[x] + n[y]
+                keep = (100 * most >= t * (both - most)) | (least == 255).any(1)  # a full cell may hold more than it says
+                out.append(np.stack([np.minimum(k[x], k[y])[keep], np.maximum(k[x], k[y])[keep]], 1))
+        found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    def scan(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            if not len(table):
+                continue
+            # the last pair of blocks may go on in the next batch
+            ends = [table.column(i).to_numpy() for i in range(3)]
+            last = np.flatnonzero(np.any([x != x[-1] for x in ends], axis=0))
+            first = int(last[-1]) + 1 if len(last) else 0
+            held = table.slice(first)
+            if first:
+                yield pairs(table.slice(0, first))
+        if held is not None and len(held):
+            yield pairs(held)
+
+    ordered = rows.select(*names).repartition("s", "u", "v").sortWithinPartitions("s", "u", "v")
+    return ordered.mapInArrow(scan, "a long, b long")
+
+
 def _possible(t: int, n, p, n2, p2):
     """Size and position bounds of two rows of one shingle, and the role of the smaller set's short prefix."""
     need = F.ceil((F.lit(t) * (n + n2)) / F.lit(100.0 + t) - F.lit(1e-9))
@@ -337,17 +396,15 @@ def near_copies(docs: DataFrame, words: int = 5, t: int = 80) -> DataFrame:
         links = links.unionByName(more)
         found = components(links)
 
-    # second pass: whatever still lies in different components
+    # second pass: whatever still lies in different components, list by list in blocks
     lists = open_lists().withColumnRenamed("g", "k")
-    sides = lists.groupBy("s", "label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    other = sides.select("s", c("label").alias("label2"), c("lo").alias("lo2"), c("hi").alias("hi2"))
-    near = (c("hi") * 100 >= c("lo2") * t) & (c("hi2") * 100 >= c("lo") * t)
-    across = sides.join(other, "s").filter((c("label") < c("label2")) & near).select("s", "label", "label2")
-    left = across.join(lists, ["s", "label"])
-    right = lists.select("s", c("n").alias("n2"), c("p").alias("p2"), c("k").alias("k2"), c("label").alias("label2"))
-    rest = left.join(right, ["s", "label2"]).filter(_possible(t, c("n"), c("p"), c("n2"), c("p2")))
-    rest = rest.select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")).distinct()
-    rest = materialize(rest.join(tested, ["a", "b"], "left_anti"), "pairs")
+    blocks = lists.groupBy("s").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    cut = lists.join(blocks, "s").withColumn("side", F.pmod(F.xxhash64("k"), "blocks").cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), c("blocks") - 1)))
+    cut = cut.select("s", F.least("side", "other").alias("u"), F.greatest("side", "other").alias("v"), "side", "k", "n", "p", "label")
+    marked = cut.join(sketches.join(lists.select("k").distinct(), "k", "left_semi").select("k", "sketch"), "k")
+    rest = materialize(_across(marked, t).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    discard(lists)
     links = links.unionByName(verify(rest))
     found = components(links)
 
