@@ -1,7 +1,6 @@
 """Edge cases and brute-force versions of the corpus operators on small tables."""
 
 import collections
-import zlib
 
 import numpy as np
 import pytest
@@ -119,6 +118,40 @@ def test_mix(docs, empty):
     assert mixing.mix(none, mixing.weighted_targets(none, mixing.WEIGHTS)).count() == 0
 
 
+def test_mix_inclusion_odds_and_bound(spark):
+    """200 sources of equal documents: how often a length is sampled is its inclusion probability; little stays open."""
+    lengths = [3] * 60 + [9] * 60 + [40] * 60 + [150] * 6
+    rows = [(f"{s}-{i}", f"s{s:03d}", n) for s in range(200) for i, n in enumerate(lengths)]
+    total = sum(lengths)
+    # the longest class is certain; the other three share what stays by their powers of two
+    room = 6 * 150 + 1200
+    docs = spark.createDataFrame(rows, "key string, source string, size long")
+    targets = docs.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("target", F.lit(float(total + room)))
+    scale = 1200 / sum(60 * n * w for n, w in ((3, 2), (9, 8), (40, 32)))
+    first = mixing.mix(docs, targets, rounds=1).collect()
+    share = {n: sum(r.copies - 1 for r in first if r.size == n) / (200 * lengths.count(n)) for n in set(lengths)}
+    assert share[150] == 1
+    for n, w in ((3, 2), (9, 8), (40, 32)):
+        p = scale * w
+        assert share[n] == pytest.approx(p, abs=4 * (p * (1 - p) / (200 * 60)) ** 0.5)
+    got = mixing.mix(docs, targets).collect()
+    taken = collections.Counter()
+    for r in got:
+        taken[r.source] += r.copies * r.size
+    assert all(0 <= total + room - n <= 40 / 2**5 or total + room - n < 3 for n in taken.values())
+
+
+def test_mix_rows_that_repeat_a_key_stay_within_the_room(spark):
+    rows = [("same", "a", 5)] * 30 + [(f"k{i}", "a", 5) for i in range(70)] + [("same", None, 7), ("none", None, 0)]
+    docs = spark.createDataFrame(rows, "key string, source string, size long")
+    targets = docs.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("target", F.col("source_size") * 0.5)
+    got = mixing.mix(docs, targets).collect()
+    assert len(got) == len(rows)
+    assert len({r.copies for r in got if r.key == "same" and r.source == "a"}) == 1
+    taken = sum(r.copies * r.size for r in got if r.source == "a")
+    assert 245 <= taken <= 250
+
+
 def test_shards_equal_one_by_one_insertion():
     rng = np.random.default_rng(1)
     counts = {int(s): int(n) for s, n in zip(rng.choice(256, 60, replace=False), rng.integers(1, 9, 60))}
@@ -251,4 +284,3 @@ def test_pipeline(spark):
     assert left.count() == docs.limit(3).select("text").distinct().count()
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == [*docs.columns, "shard", "slot"] and out.count() > 0
-    assert zlib.crc32(b"") == 0

@@ -1,14 +1,20 @@
 """Mix sources to target weights with Pareto order sampling.
 
-A source whose target is f times its size gives floor(f) whole copies of every document for certain.
-The rest of its target is a sample: each document has a random number u that depends on its id alone,
-its rank is the odds of u divided by the inclusion odds of its source (the fraction left), and documents
-enter in rank order while their words fit. What is left open by the first document that does not fit is
-filled the same way, in rank order, from the documents small enough, for a few rounds.
-
-Running sums never sort a source in one task: ranks fall into about sqrt(rows) bins by u, the bins of a
-source are summed first (combined map-side), and only the rows of the bin that crosses the target are
-sorted. Both levels hold about sqrt(rows) rows.
+A source whose target is f times its size gives floor(f) whole copies of every document for certain; the words
+left are sampled. Every document has its own inclusion probability: proportional to its length class (the power
+of two not above its words), scaled so that the expected words are those left. Where that reaches 1 the document
+is certain, and the others are scaled again to what stays. A document's rank is the odds of a random number that
+depends on its id alone, divided by its inclusion odds; documents enter in rank order while their words fit, so
+the size of the sample, counted in words, is fixed.
+
+What the first document that does not fit leaves open is filled the same way from the documents small enough. If
+a round would fill less than half of what is open, the document that blocks it, which is larger than that, is
+taken instead. So every round halves the words open: after ``rounds`` rounds a source lacks less than its longest
+document / 2 ** (rounds - 1), or less than every document it did not take.
+
+Running sums never sort a source in one task: ranks fall into about sqrt(rows) bins of equal width in log rank,
+the bins of a source are summed first (combined map-side), and only the rows of the bin that crosses the target
+are sorted. Both levels hold about sqrt(rows) rows; length classes are at most 63 a source.
 """
 
 from __future__ import annotations
@@ -66,48 +72,80 @@ def weighted_targets(sizes: DataFrame, weights: list[float], share: float = 1.0,
     return rows.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def _fill(rows: DataFrame, bins: int) -> DataFrame:
-    """Mark the documents that enter: in rank order while the words fit into the room of their source."""
-    fits = rows.filter((F.col("chosen") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("room")))
-    fits = fits.withColumn("bin", F.floor(F.col("u") * bins).cast("long"))
+def inclusion(units: DataFrame) -> DataFrame:
+    """One row per source: ``top``, the largest length class that is not certain, and ``scale``, probability / class.
+
+    ``units``: source, size, w (length class), room (words to sample). Classes above ``top`` are certain.
+    """
+    classes = units.groupBy("source", "w").agg(F.sum("size").alias("words"), F.max("room").alias("room"))
+    down = W.partitionBy("source").orderBy(F.desc("w"))
+    larger = F.coalesce(F.sum("words").over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    mass = F.sum(F.col("words") * F.col("w").cast("double")).over(down.rowsBetween(W.currentRow, W.unboundedFollowing))
+    classes = classes.withColumn("scale", (F.col("room") - larger) / mass).filter(F.col("scale") * F.col("w") < 1)
+    return classes.groupBy("source").agg(F.max("w").alias("top"), F.max_by("scale", "w").alias("scale"))
+
+
+def _fill(open_: DataFrame, bins: int) -> DataFrame:
+    """The units that enter: in rank order while the words fit into the room of their source, or the one that blocks them."""
+    fits = open_.withColumn("bin", F.floor(F.log("q") * bins).cast("long"))
     sums = fits.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.max("room").alias("room"))
     upto = W.partitionBy("source").orderBy("bin")
     sums = sums.withColumn("upto", F.sum("words").over(upto))
     # bins that fit whole, and the first that does not
     sums = sums.filter(F.col("upto") - F.col("words") < F.col("room"))
     sums = sums.select(F.col("source").alias("s"), F.col("bin").alias("b"), (F.col("upto") - F.col("words")).alias("before"), (F.col("upto") <= F.col("room")).alias("inside"))
-    near = fits.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
+    sums = materialize(sums, "mix-bins")
+
+    def rows(kind):
+        return fits.join(sums.filter(kind), F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
+
     running = F.sum("size").over(W.partitionBy("source").orderBy("q", "key").rowsBetween(W.unboundedPreceding, 0))
-    edge = near.filter(~F.col("inside")).withColumn("cum", F.col("before") + running)
-    taken = near.filter("inside").select("source", "key", "size").unionByName(
-        edge.filter(F.col("cum") <= F.col("room")).select("source", "key", "size")
-    )
-    return taken
+    edge = materialize(rows(~F.col("inside")).withColumn("cum", F.col("before") + running).select("source", "key", "size", "room", "cum"), "mix-edge")
+    before = F.col("cum") - F.col("size")
+    blocking = edge.filter((F.col("cum") > F.col("room")) & (before * 2 < F.col("room"))).filter(before <= F.col("room"))
+    alone = blocking.select(F.col("source").alias("a"))
+    prefix = rows(F.col("inside")).select("source", "key", "size").unionByName(edge.filter(F.col("cum") <= F.col("room")).select("source", "key", "size"))
+    prefix = prefix.join(alone, F.col("source").eqNullSafe(F.col("a")), "left_anti")
+    return prefix.unionByName(blocking.select("source", "key", "size"))
 
 
-def mix(docs: DataFrame, targets: DataFrame, seed: str = "mix", rounds: int = 4) -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame, seed: str = "mix", rounds: int = 6) -> DataFrame:
     """Copies per document. ``docs``: key (string, not NULL), source, size; ``targets``: source, source_size, target.
 
-    Returns key, source, size, source_size, target, copies: whole copies plus at most one sampled. Rows that
-    repeat a key share its fate. A source without words takes nothing; empty input gives an empty result.
+    Returns key, source, size, source_size, target, copies: whole copies plus at most one sampled. Rows of a
+    source that repeat a key are one unit of all their words: they share its fate and never exceed the room.
+    A source without words, and a document without, takes no sampled copy; empty input gives an empty result.
     """
-    rows = docs.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = rows.withColumn("whole", F.floor(times)).withColumn("u", uniform(F.col("key"), seed))
-    rows = rows.withColumn("rest", times - F.col("whole")).withColumn("room", F.col("target") - F.col("whole") * F.col("source_size"))
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("rest") / (1 - F.col("rest")))
-    rows = rows.withColumn("q", F.when(F.col("rest") > 0, odds)).withColumn("chosen", F.lit(0))
-    rows = materialize(rows, "mix")
-    bins = 1 << max(0, math.ceil(math.log2(max(1, rows.count())) / 2))
+    plan = targets.withColumn("whole", F.floor(times)).withColumn("room", F.col("target") - F.col("whole") * F.col("source_size"))
+    plan = materialize(plan.withColumnRenamed("source", "s"), "mix-plan")
+    here = F.col("source").eqNullSafe(F.col("s"))
+    units = docs.groupBy("source", "key").agg(F.sum("size").alias("size")).filter(F.col("size") > 0)
+    units = units.join(plan.select("s", "room"), here).filter(F.col("room") > 0).drop("s")
+    units = materialize(units.withColumn("w", F.expr("shiftleft(1L, length(bin(size)) - 1)")), "mix-units")
+    levels = materialize(inclusion(units).withColumnRenamed("source", "s"), "mix-levels")
+    units = units.join(levels, here, "left").drop("s")
+    certain = F.col("top").isNull() | (F.col("w") > F.col("top"))
+    chosen = [materialize(units.filter(certain).select("source", "key", "size"), "mix-taken")]
+    p, u = F.col("scale") * F.col("w"), uniform(F.col("key"), seed)
+    open_ = units.filter(~certain & (F.col("scale") > 0)).withColumn("q", (u / (1 - u)) / (p / (1 - p))).select("source", "key", "size", "room", "q")
+    bins = max(1, math.isqrt(units.count()) // 8)
     for _ in range(rounds):
-        taken = materialize(_fill(rows, bins), "mix-taken")
-        used = taken.groupBy("source").agg(F.sum("size").alias("used")).withColumnRenamed("source", "s")
-        ids = taken.select(F.col("key").alias("k")).distinct().withColumn("hit", F.lit(1))
-        rows = rows.join(used, F.col("source").eqNullSafe(F.col("s")), "left").join(ids, F.col("key") == F.col("k"), "left")
-        rows = rows.withColumn("room", F.col("room") - F.coalesce("used", F.lit(0)))
-        rows = rows.withColumn("chosen", F.greatest("chosen", F.coalesce("hit", F.lit(0)))).drop("s", "used", "k", "hit")
-        rows = materialize(rows, "mix")
-    return rows.select("key", "source", "size", "source_size", "target", (F.col("whole") + F.col("chosen")).cast("int").alias("copies"))
+        used = chosen[-1].groupBy("source").agg(F.sum("size").alias("used")).withColumnRenamed("source", "s")
+        gone = chosen[-1].select(F.col("source").alias("g"), F.col("key").alias("k"))
+        open_ = open_.join(gone, F.col("source").eqNullSafe(F.col("g")) & (F.col("key") == F.col("k")), "left_anti")
+        open_ = open_.join(used, here, "left").withColumn("room", F.col("room") - F.coalesce("used", F.lit(0))).drop("s", "used")
+        open_ = materialize(open_.filter(F.col("size") <= F.col("room")), "mix-open")
+        if open_.isEmpty():
+            break
+        chosen.append(materialize(_fill(open_, bins), "mix-taken"))
+    taken = chosen[0]
+    for more in chosen[1:]:
+        taken = taken.unionByName(more)
+    taken = taken.select(F.col("source").alias("g"), F.col("key").alias("k"), F.lit(1).alias("hit"))
+    rows = docs.join(plan, here).join(taken, F.col("source").eqNullSafe(F.col("g")) & (F.col("key") == F.col("k")), "left")
+    copies = F.col("whole") + F.when(F.col("size") > 0, F.coalesce("hit", F.lit(0))).otherwise(0)
+    return rows.select("key", "source", "size", "source_size", "target", copies.cast("int").alias("copies"))
 
 
 def document_key(doc_id, text):
@@ -144,25 +182,44 @@ level AS (
   SELECT arg_min(words_left / weight_left, step) AS v, min(step) AS step FROM ordered WHERE cap / w > words_left / weight_left),
 targets AS (
   SELECT source, source_size, (CASE WHEN v IS NULL OR ordered.step < level.step THEN cap ELSE v * w END)::DOUBLE AS target FROM ordered, level),
-r0 AS (
+sized AS (
   SELECT doc_id, docs.source, size, source_size, target, floor(target / greatest(source_size, 1))::INT AS whole,
-    (('0x' || substr(md5('mix|' || doc_id), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u, 0 AS chosen,
-    target - floor(target / greatest(source_size, 1)) * source_size AS room
-  FROM docs JOIN targets ON docs.source IS NOT DISTINCT FROM targets.source)
+    (('0x' || substr(md5('mix|' || doc_id), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u,
+    target - floor(target / greatest(source_size, 1)) * source_size AS room,
+    CASE WHEN size > 0 THEN (1::BIGINT << (length(bin(size)) - 1))::DOUBLE END AS w
+  FROM docs JOIN targets ON docs.source IS NOT DISTINCT FROM targets.source),
+classes AS (
+  SELECT source, w, sum(size)::DOUBLE AS words, max(room) AS room FROM sized WHERE size > 0 AND room > 0 GROUP BY source, w),
+scales AS (
+  SELECT source, w, (room - coalesce(sum(words) OVER (PARTITION BY source ORDER BY w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(words * w) OVER (PARTITION BY source ORDER BY w DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS scale
+  FROM classes),
+levels AS (
+  SELECT source, max(w) AS top, arg_max(scale, w) AS scale FROM scales WHERE scale * w < 1 GROUP BY source),
+marked AS (
+  SELECT s.*, scale, coalesce(size > 0 AND room > 0 AND (top IS NULL OR w > top), false) AS certain
+  FROM sized s LEFT JOIN levels l ON s.source IS NOT DISTINCT FROM l.source),
+r0 AS MATERIALIZED (
+  SELECT doc_id, source, size, source_size, target, whole, certain::INT AS chosen,
+    CASE WHEN NOT certain AND size > 0 AND scale > 0 THEN (u / (1 - u)) / (scale * w / (1 - scale * w)) END AS q,
+    room - coalesce(sum(size) FILTER (certain) OVER (PARTITION BY source), 0) AS room
+  FROM marked)
 """
 
 
-def _oracle() -> str:
+def _oracle(rounds: int = 6) -> str:
     sql = ORACLE
-    for i in range(4):
+    for i in range(rounds):
         sql += f""",
-c{i} AS (SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY u, doc_id::VARCHAR ROWS UNBOUNDED PRECEDING) <= room AS hit
-  FROM r{i} WHERE chosen = 0 AND size > 0 AND size <= room),
-r{i + 1} AS (SELECT r.* EXCLUDE (chosen, room), greatest(chosen, coalesce(hit::INT, 0)) AS chosen,
-    room - coalesce(used, 0) AS room
-  FROM r{i} r LEFT JOIN c{i} c USING (doc_id)
-  LEFT JOIN (SELECT source, sum(size) AS used FROM c{i} WHERE hit GROUP BY source) s ON s.source IS NOT DISTINCT FROM r.source)"""
-    return sql + "\nSELECT doc_id, size, source_size, target, ((whole + chosen) * size)::BIGINT AS taken FROM r4"
+c{i} AS MATERIALIZED (SELECT doc_id, source, size, room, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id::VARCHAR ROWS UNBOUNDED PRECEDING) AS cum
+  FROM r{i} WHERE chosen = 0 AND q IS NOT NULL AND size <= room),
+b{i} AS (SELECT doc_id, source FROM c{i} WHERE cum > room AND (cum - size) * 2 < room),
+h{i} AS MATERIALIZED (SELECT doc_id, source, size FROM c{i} c WHERE doc_id IN (SELECT doc_id FROM b{i})
+  OR (cum <= room AND NOT EXISTS (SELECT 1 FROM b{i} b WHERE b.source IS NOT DISTINCT FROM c.source))),
+r{i + 1} AS MATERIALIZED (SELECT r.* EXCLUDE (chosen, room), greatest(chosen, (h.doc_id IS NOT NULL)::INT) AS chosen, room - coalesce(used, 0) AS room
+  FROM r{i} r LEFT JOIN h{i} h USING (doc_id)
+  LEFT JOIN (SELECT source, sum(size) AS used FROM h{i} GROUP BY source) s ON s.source IS NOT DISTINCT FROM r.source)"""
+    return sql + f"\nSELECT doc_id, size, source_size, target, ((whole + chosen) * size)::BIGINT AS taken FROM r{rounds}"
 
 
 ORACLE_SQL = _oracle()
