@@ -60,9 +60,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = mixing.document_key(F.col("doc_id"), F.col("text"))
     sizes = materialize(docs.select("source", mixing.word_count(F.col("text")).alias("size"), key.alias("key")), "mix-sizes")
     mixed = mixing.mix(sizes, mixing.weighted_targets(sizes, mixing.WEIGHTS))
-    to, times, copy = (_free(docs, name) for name in ("_key", "_copies", "_copy"))
-    copies = mixed.groupBy(F.col("key").alias(to)).agg(F.max("copies").alias(times)).filter(F.col(times) > 0)
-    taken = docs.join(copies, key == F.col(to)).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
+    to, of, times, copy = (_free(docs, name) for name in ("_key", "_of", "_copies", "_copy"))
+    copies = mixed.groupBy(F.col("key").alias(to), F.col("source").alias(of)).agg(F.max("copies").alias(times)).filter(F.col(times) > 0)
+    taken = docs.join(copies, (key == F.col(to)) & F.col("source").eqNullSafe(F.col(of))).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
     return taken.select(*[F.col(f"`{c}`") for c in columns])
 
 
