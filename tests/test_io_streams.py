@@ -58,6 +58,51 @@ def test_upload_formats(spark, tmp_path):
         S.unify_entity(spark.range(1))
 
 
+def test_psv_lines_equal_to_the_header_are_no_headers(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.psv").write_text("HR|ICULOS\n70|1\nHR|ICULOS\n71|2\n")
+    rows, rejects = S.read_psv(spark, str(tmp_path))
+    assert sorted(r.HR for r in rows.collect()) == [70.0, 71.0] and [r.line for r in rejects.collect()] == ["HR|ICULOS"]
+    (tmp_path / "b.psv").write_text("1|2\n")
+    monkeypatch.setattr(S, "MOST_HEADERS", 1)
+    with pytest.raises(ValueError, match="header"):
+        S.read_psv(spark, str(tmp_path))
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_psv_round_trip(spark, tmp_path, parts):
+    rows = [("p 1", 70.5, None, 1), ("p 1", None, None, 2), ("q", 1.0, 2.0, 1), ("q", 1.0, 2.0, 1), ("r", None, None, None)]
+    df = spark.createDataFrame(rows, "patient_id string, HR double, Temp double, ICULOS int")
+    S.write_psv(df, str(tmp_path / "out"), parts)
+    back, rejects = S.read_psv(spark, str(tmp_path / "out"), layout="folders")
+    assert sorted(map(str, (tuple(r) for r in back.select(*df.columns).collect()))) == sorted(map(str, rows)) and rejects.count() == 0
+
+
+def test_upload_rejects(spark, tmp_path):
+    (tmp_path / "h.csv").write_text("pid,HR,Gender\n7,80,1\n8,high,0\n9,60\n10,,1\n")
+    df, rejects, kind = S.read_upload_checked(spark, str(tmp_path / "h.csv"))
+    assert kind == "hourly" and df.columns == ["patient_id", "HR", "Gender"]
+    assert {(r.patient_id, r.HR, r.Gender) for r in df.collect()} == {("7", 80.0, 1), ("8", None, 0), ("9", 60.0, None), ("10", None, 1)}
+    assert sorted(r.line for r in rejects.collect()) == ["8,high,0", "9,60"]
+    (tmp_path / "e.csv").write_text("pid,HR\n")
+    df, rejects, _ = S.read_upload_checked(spark, str(tmp_path / "e.csv"))
+    assert df.count() == rejects.count() == 0
+
+
+def test_metrics_and_truth_come_back_from_the_tree(spark, tmp_path):
+    nums = [('m "1"', 0.82631, 0.9, 0.1, 0.4), ("m2", None, None, 0.2, None)]
+    metrics = spark.createDataFrame(nums, "model string, auprc double, auroc double, brier_score double, optimal_threshold double")
+    lines = [('m "1"', "0", 0.9, 0.8, 0.85, 10), ('m "1"', "macro avg", 0.5, 0.5, 0.5, 20), ('m "1"', "accuracy", 0.75, 0.75, 0.75, 20)]
+    report = spark.createDataFrame(lines, "model string, class string, precision double, recall double, f1_score double, support long")
+    B.write_metrics(metrics, report, str(tmp_path), "run_z")
+    truth = spark.createDataFrame([("c1", "b", "p", "k")], "column string, base_feature string, phase string, component string")
+    B.write_truth(truth, str(tmp_path / "run_z" / "drift_ground_truth.json"))
+    got = B.load_bundle(spark, str(tmp_path))
+    assert sorted((r.run_id, r.model, r.auprc, r.brier_score) for r in B.model_metrics(got["baseline"]).collect()) == [("run_z", 'm "1"', 0.8263, 0.1), ("run_z", "m2", None, 0.2)]
+    classes = {r["class"]: r for r in B.class_metrics(got["baseline"]).collect()}
+    assert classes["0"].f1_score == 0.85 and classes["0"].support == 10 and classes["accuracy"].value == 0.75 and len(classes) == 3
+    assert [tuple(r) for r in got["drift_gt"].collect()] == [("run_z", "c1", "b", "p", "k")]
+
+
 def test_bundle_tree(spark, tmp_path):
     run = tmp_path / "run_x"
     (run / "tables").mkdir(parents=True)

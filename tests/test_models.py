@@ -247,3 +247,33 @@ def test_observation_windows_short_and_long(spark, monkeypatch):
     assert cut == one
     with pytest.raises(ValueError):
         W.observation_windows(df, ["missing"], "id", "t", "y")
+
+
+@pytest.mark.parametrize("method", ["isotonic", "sigmoid"])
+def test_fitted_flow_finds_planted_weights(spark, method):
+    from tidewatch.plans import fitted as FM
+
+    rng = np.random.default_rng(5)
+    n, names = 4000, ["a", "b"]
+    x = pd.DataFrame({"row_idx": np.arange(n), "a": rng.normal(10, 2, n), "b": rng.normal(-3, 0.5, n)})
+    eta = 1.2 * (x["a"] - 10) / 2 - 0.7 * (x["b"] + 3) / 0.5 - 1
+    x["y"] = (rng.random(n) < 1 / (1 + np.exp(-eta))).astype(int)
+    rows = ML.stratified_split(spark.createDataFrame(x), "y", "row_idx")
+    model = FM.fit(rows, names, "y", method)
+    assert model.weight["a"] == pytest.approx(1.2, abs=0.15) and model.weight["b"] == pytest.approx(-0.7, abs=0.15)
+    got = model.score(rows.withColumn("p", F.lit(9.0))).toPandas()
+    want = model.intercept + sum(model.weight[f] * (got[f] - model.center[f]) / model.scale[f] for f in names)
+    assert np.allclose(got["margin"], want)
+    # the class weights move the margin; the calibration moves the mean back
+    held = got[got["split"] == "val"]
+    assert abs(held["p"].mean() - held["y"].mean()) < 2e-3 and (1 / (1 + np.exp(-held["margin"]))).mean() > held["y"].mean() + 0.05
+    assert held.sort_values("margin")["p"].is_monotonic_increasing
+
+
+def test_first_flagged_features_follow_the_columns(spark):
+    from tidewatch.operators import attribution as A
+
+    rows = spark.createDataFrame([(1, f) for f in "dbac"] + [(1, "a"), (2, "c")], "w int, feature string")
+    got = {r.w: r.f for r in A.first_features(rows, list("dcba"), 2, ["w"], "f").collect()}
+    assert got == {1: ["d", "c"], 2: ["c"]}
+    assert A.first_features(rows.filter("false"), ["a"], 2, ["w"], "f").count() == 0

@@ -52,6 +52,13 @@ def top_features(ranked: DataFrame, score: str, k: int, keys: list[str], name: s
     )
 
 
+def first_features(flagged: DataFrame, features: list[str], k: int, keys: list[str], name: str) -> DataFrame:
+    """Array of the first k flagged features per group, in the order of ``features``."""
+    place = F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature"))
+    found = flagged.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct(place.alias("i"), "feature"))).alias("_f"))  # at most all features
+    return found.select(*keys, F.transform(F.slice("_f", 1, k), lambda s: s["feature"]).alias(name))
+
+
 def importance_compare(reference: DataFrame, current: DataFrame, n: int = 15, keys: list[str] = ()) -> DataFrame:
     """Reference and current importance of the n most important reference features."""
     top = reference.filter(F.col("rank") <= n).select(

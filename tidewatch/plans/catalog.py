@@ -25,11 +25,13 @@ from tidewatch.operators import quality as Q
 from tidewatch.operators import reports as R
 from tidewatch.operators import tree_attribution as TA
 from tidewatch.operators import windows as W
+from tidewatch.plans import fitted as FM
 from tidewatch.plans import model as M
 from tidewatch.plans import monitor
 from tidewatch.plans import oracles as O
 from tidewatch.plans import tables as T
 from tidewatch.sources import bundles as B
+from tidewatch.sources import readings as SR
 from tidewatch.streaming import monitor as SM
 from tidewatch.streaming import stateful as SS
 from tidewatch.streaming import windows as SW
@@ -1037,17 +1039,8 @@ def recommend(s, sf):
     return results(s, sf).select("window_num", rec, *cols)
 
 
-def top_moves(parts: DataFrame) -> DataFrame:
-    """The five features of each window that moved most."""
-    ranked = I.sadi(parts).withColumn(
-        "rank",
-        F.row_number().over(Window.partitionBy("window_id").orderBy(F.col("sadi").desc(), "feature")),
-    )
-    return ranked.filter("rank <= 5").withColumnRenamed("window_id", "window_num")
-
-
 def alert_table(s, sf) -> DataFrame:
-    return AL.build_alerts(results(s, sf), top_moves(index_parts(s, sf)), ["window_num"], min_level=1)
+    return AL.build_alerts(results(s, sf), FM.top_moves(index_parts(s, sf)), ["window_num"], min_level=1)
 
 
 _ALERT = f"""
@@ -1529,7 +1522,7 @@ def stream_monitor(s, sf):
         parts = materialize(monitor.components(ref, windowed, W_KEY), "epoch")
         adv = AD.adversarial_scores(held, windowed, "window_id", "row_idx", FEATS, 3).select("window_id", "adv_score")
         found = materialize(monitor.window_results(ref, windowed, prof, parts, adv, bounded=False), "epoch").withColumn("batch_id", F.col("window_idx"))
-        alerts = AL.build_alerts(found.drop("batch_id"), top_moves(parts), ["window_num"], min_level=2)
+        alerts = AL.build_alerts(found.drop("batch_id"), FM.top_moves(parts), ["window_num"], min_level=2)
         return {"records": found, "alerts": alerts.withColumn("batch_id", F.col("window_num"))}
 
     epoch = F.floor((F.col("row_idx") - first) * EPOCHS / F.lit(last + 1 - first))
@@ -1558,3 +1551,177 @@ def run_bundle(s, sf):
         F.round(F.avg("D_total"), 6).alias("mean_d"),
         F.sum(F.size("top_sadi_features")).alias("listed"),
     )
+
+
+# ---- sources and sinks: written from the given tables, read back, compared with the tables -------------------
+
+
+def new_folder(s, name: str) -> str:
+    return f"{scratch_dir(s)}/tidewatch-{s.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+_VITALS = dict(zip(M.READING_KINDS, SR.VITALS))
+
+
+@query(
+    "read_psv",
+    "SELECT user_id::VARCHAR AS patient_id, count(*) AS n, max(hour)::INTEGER AS hours, sum(label)::BIGINT AS positives, "
+    + ", ".join(f"count({k}) AS n_{v}, round(sum({k}), 6) AS sum_{v}" for k, v in _VITALS.items())
+    + ", 0::BIGINT AS rejected FROM readings GROUP BY user_id",
+)
+def read_psv(s, sf):
+    """Readings of every user as files of their own, and back by the files' headers."""
+    path = new_folder(s, "psv")
+    rows = T.readings(s, sf).select(
+        F.col("user_id").alias("patient_id"), *[F.col(k).alias(v) for k, v in _VITALS.items()], F.col("hour").alias("ICULOS"), F.col("label").alias("SepsisLabel")
+    )
+    SR.write_psv(rows, path, parts=2)
+    back, rejects = SR.read_psv(s, path, layout="folders")
+    sums = [a for v in _VITALS.values() for a in (F.count(v).alias(f"n_{v}"), F.round(F.sum(v), 6).alias(f"sum_{v}"))]
+    out = back.groupBy("patient_id").agg(F.count("*").alias("n"), F.max("ICULOS").alias("hours"), F.sum("SepsisLabel").alias("positives"), *sums)
+    lost = rejects.groupBy("patient_id").agg(F.count("*").alias("rejected"))
+    return out.join(lost, "patient_id", "left").fillna(0, ["rejected"])
+
+
+@query(
+    "read_upload",
+    """SELECT patient_id, n, n_values, round(total, 6) AS total, rejected, 'hourly' AS format FROM (
+    SELECT user_id::VARCHAR AS patient_id, count(*) AS n, count(*) FILTER (event_id % 7 <> 3 AND value IS NOT NULL) AS n_values,
+      sum(value) FILTER (event_id % 7 <> 3) AS total, count(*) FILTER (event_id % 7 = 3) AS rejected FROM events GROUP BY user_id)""",
+)
+def read_upload(s, sf):
+    """Events as an uploaded table with cells that are no numbers: they are NULL, their lines are rejects."""
+    path = new_folder(s, "upload")
+    cell = F.when(F.col("event_id") % 7 == 3, F.lit("n/a (sensor)")).otherwise(F.col("value").cast("string"))
+    B.write_csv(T.table(s, sf, "events").select(F.col("user_id").alias("PatientID"), cell.alias("HR"), (F.col("event_id") % 2).alias("Gender")), path)
+    rows, rejects, kind = SR.read_upload_checked(s, path)
+    out = rows.groupBy("patient_id").agg(F.count("*").alias("n"), F.count("HR").alias("n_values"), F.round(F.sum("HR"), 6).alias("total"))
+    lost = rejects.groupBy(F.element_at(F.split("line", ","), 1).alias("patient_id")).agg(F.count("*").alias("rejected"))
+    return out.join(lost, "patient_id", "left").fillna(0, ["rejected"]).withColumn("format", F.lit(kind))
+
+
+@query(
+    "alert_log",
+    f"SELECT window_num, true_phase, level, action, severity, D_total, top_names, length(recommendation)::INTEGER AS text_length FROM ({_ALERT})",
+)
+def alert_log(s, sf):
+    """Alerts as JSON lines with their nested lists, and back."""
+    path, made = new_folder(s, "alerts"), alert_table(s, sf)
+    B.write_json(made, path)
+    back = s.read.schema(made.schema).json(path)
+    names = F.array_join(F.transform("top_features", lambda t: t["feature"]), ",")
+    return back.select("window_num", "true_phase", "level", "action", "severity", "D_total", names.alias("top_names"), F.length("recommendation").alias("text_length"))
+
+
+@query(
+    "stored_fingerprint",
+    "SELECT feature, " + rs(["mean_abs", "mean", "std"]) + ", n, rank, round(lo, 6) AS lo, round(hi, 6) AS hi FROM fp_ref "
+    "JOIN (SELECT feature, min(phi) AS lo, max(phi) AS hi FROM phi_ref GROUP BY 1) USING (feature)",
+)
+def stored_fingerprint(s, sf):
+    """The reference profile saved in its two parts, and loaded."""
+    path, phi = new_folder(s, "profile"), monitor.attributions(T.reference_rows(s, sf), [])
+    B.save_fingerprint(A.fingerprint(phi), phi, path)
+    summary, values = B.load_fingerprint(s, path)
+    ends = values.groupBy("feature").agg(F.round(F.min("phi"), 6).alias("lo"), F.round(F.max("phi"), 6).alias("hi"))
+    return r6(summary, "mean_abs", "mean", "std").join(ends, "feature")
+
+
+@query(
+    "model_metrics",
+    f"""SELECT 'run_m' AS run_id, model, round(auprc, 4) AS auprc, round(auroc, 4) AS auroc, round(brier_score, 4) AS brier_score,
+      round(optimal_threshold, 4) AS optimal_threshold, class, round(precision, 4) AS precision, round(recall, 4) AS recall
+    FROM (SELECT phase AS model, {O.AP} AS auprc, {O.AUROC} AS auroc,
+        sum(pos_at * (1 - threshold) * (1 - threshold) + (n_at - pos_at) * threshold * threshold) / max(n) AS brier_score,
+        arg_max(threshold, (f1, -threshold)) AS optimal_threshold FROM (SELECT *, {O.F1} AS f1 FROM {_curve('stream', 'phase')}) GROUP BY 1)
+    JOIN (SELECT phase AS model, class, CASE WHEN class <> 'accuracy' THEN precision END AS precision, CASE WHEN class <> 'accuracy' THEN recall END AS recall
+        FROM ({_report_sql('stream', 'phase', 'p >= 0.5')})) USING (model)""",
+)
+def model_metrics(s, sf):
+    """Quality of the scores by phase, written as a run's metrics file, and read from the tree of runs."""
+    path, rows = new_folder(s, "metrics"), T.scored_stream(s, sf).withColumnRenamed("phase", "model")
+    report = Q.class_report(Q.confusion(rows, ["model"], (F.col("p") >= 0.5).cast("int"), "y"), ["model"])
+    report = report.select("model", "class", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1_score")], "support")
+    B.write_metrics(Q.evaluate_model(rows, ["model"], "p", "y"), report, path, "run_m")
+    B.write_results(results(s, sf), path, "run_m")
+    kept = B.load_bundle(s, path)["baseline"]
+    classes = B.class_metrics(kept).select("model", "class", F.round("precision", 4).alias("precision"), F.round("recall", 4).alias("recall"))
+    return B.model_metrics(kept).join(classes, "model")
+
+
+# ---- the whole flow on a fitted model ----------------------------------------------------------------
+
+
+def fitted_flow(s, sf):
+    key = (s.sparkContext.applicationId, sf, "fitted")
+    if key not in _MODELS:
+        domain = lambda windowed: AD.adversarial_scores(held_out(s, sf), windowed, "window_id", "row_idx", FEATS, 3).select("window_id", "adv_score")
+        _MODELS[key] = FM.monitor_fitted(split_rows(s, sf), T.scored_stream(s, sf).drop("p"), "y", domain)
+    return _MODELS[key]
+
+
+@query("fitted_monitor")
+def fitted_monitor(s, sf):
+    """Train, calibrate, score, attribute, monitor, alert: the record of every window with its alert, if any."""
+    _, _, record, due = fitted_flow(s, sf)
+    due = due.select("window_num", "severity", "recommendation", "alert_text")
+    return record.join(due, "window_num", "left").select(*[F.array_join(c, ",").alias(c) if c in _ARR else F.col(c) for c in _RES], "severity", "recommendation")
+
+
+_RULE = """(SELECT n, size, step, (n - 1) // step + 1 AS windows FROM (
+  SELECT *, CASE WHEN n < 500 THEN greatest(10, size // 4) ELSE size // 2 END AS step FROM (
+    SELECT n, CASE WHEN n < 500 THEN greatest(30, n // 10) WHEN n < 2000 THEN 100 ELSE 200 END AS size FROM (SELECT count(*) AS n FROM stream))))"""
+
+
+@query(
+    "fitted_conditions",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS condition, ({n})::BIGINT AS n, 0.0::DOUBLE AS gap"
+        for name, n in [
+            ("windows", f"SELECT windows FROM {_RULE}"),
+            ("rows in windows", f"SELECT sum(least(n, w * step + size) - w * step) FROM (SELECT *, unnest(range(windows)) AS w FROM {_RULE})"),
+            ("attributions add up", "SELECT count(*) FROM stream"),
+            ("calibrated mean of the held-out rows", "SELECT count(*) FROM split WHERE split = 'val'"),
+            ("levels follow from the record", f"SELECT windows FROM {_RULE}"),
+            ("alerts are the windows at level 1 or above", f"SELECT windows FROM {_RULE}"),
+        ]
+    ),
+)
+def fitted_conditions(s, sf):
+    """What holds whatever the fit; windows and rows are counted by the size rule in the check."""
+    model, scored, record, due = fitted_flow(s, sf)
+
+    def row(df, name, gap, n=F.count("*")):
+        return df.agg(n.cast("long").alias("n"), (F.round(F.coalesce(gap, F.lit(0.0)), 5) + 0.0).cast("double").alias("gap")).select(F.lit(name).alias("condition"), "n", "gap")
+
+    parts = monitor.attributions(scored, ["row_idx", "margin"], model.linear).groupBy("row_idx", "margin").agg(F.sum("phi").alias("phi"))
+    val = scored.join(held_out(s, sf).select("row_idx"), "row_idx", "left_semi")
+    level = CT.intervention_level(F.col("D_total"), F.col("risk_score"))
+    marked = record.join(due.select("window_num", "level"), "window_num", "left")
+    return R.union_all([
+        row(record, "windows", F.lit(0.0)),
+        row(record, "rows in windows", F.lit(0.0), F.sum("n_samples")),
+        row(parts, "attributions add up", F.max(F.abs(F.col("margin") - F.lit(model.intercept) - F.col("phi")))),
+        row(val, "calibrated mean of the held-out rows", F.avg(F.col("p") - F.col("y"))),
+        row(record, "levels follow from the record", F.sum((level != F.col("intervention_level")).cast("double"))),
+        row(marked, "alerts are the windows at level 1 or above", F.sum((F.col("level").isNotNull() != (F.col("intervention_level") >= 1)).cast("double"))),
+    ])
+
+
+@query(
+    "flags_by_column",
+    " UNION ALL ".join(
+        f"SELECT window_id, '{kind}' AS test, array_to_string(list(feature ORDER BY list_position({FEATS!r}, feature))[1:5], ',') AS features FROM {src} GROUP BY 1"
+        for kind, src in (("ks", "ks WHERE p_value < 0.05"), ("psi", "psi_detector WHERE psi > 0.2"))
+    ),
+)
+def flags_by_column(s, sf):
+    """The first five flagged features of every window in the order of the columns."""
+    long = window_long(s, sf)
+    ks = D.ks_test(long, profile(s, sf), W_KEY, bounded=True)
+    both = D.psi_both(D.psi_cells(long, profile(s, sf), W_KEY), W_KEY)
+    out = [
+        A.first_features(df.filter("flagged"), FEATS, 5, W_KEY, "features").select("window_id", F.lit(kind).alias("test"), F.array_join("features", ",").alias("features"))
+        for kind, df in (("ks", ks), ("psi", both))
+    ]
+    return R.union_all(out)

@@ -21,13 +21,13 @@ from tidewatch.plans.tables import to_long
 FINGERPRINT = {"weight": M.WEIGHT, "center": M.CENTER, "scale": M.SCALE}
 
 
-def attributions(df: DataFrame, keys: list[str]) -> DataFrame:
-    return A.linear_attributions(df, keys, M.FEATURES, **FINGERPRINT)
+def attributions(df: DataFrame, keys: list[str], linear: dict = FINGERPRINT) -> DataFrame:
+    return A.linear_attributions(df, keys, M.FEATURES, **linear)
 
 
-def components(reference: DataFrame, windowed: DataFrame, keys: list[str]) -> DataFrame:
-    """Index components of every window against the reference rows."""
-    ref, cur = attributions(reference, []), attributions(windowed, keys)
+def components(reference: DataFrame, windowed: DataFrame, keys: list[str], linear: dict = FINGERPRINT) -> DataFrame:
+    """Index components of every window against the reference rows; ``linear`` is the explained model."""
+    ref, cur = attributions(reference, [], linear), attributions(windowed, keys, linear)
     kl = D.kl_kde(cur.withColumnRenamed("phi", "value"), ref.withColumnRenamed("phi", "value"), keys)
     return I.index_components(A.fingerprint(ref), A.fingerprint(cur, keys), kl, keys)
 
@@ -47,10 +47,12 @@ def window_results(
     comps: DataFrame,
     adversarial: DataFrame | None = None,
     bounded: bool = True,
+    flag_order: str = "score",
 ) -> DataFrame:
     """One row per window with every score, flag and decision, for all windows in one job.
 
-    ``adversarial`` is an optional (window_id, adv_score) table; without it the neutral 0.5 is used.
+    ``adversarial`` is an optional (window_id, adv_score) table; without it the neutral 0.5 is used. ``flag_order``
+    lists the first five flagged features by ``score`` or by ``column``.
     """
     keys = ["window_id"]
     feats = to_long(windowed, keys, M.FEATURES)
@@ -73,6 +75,8 @@ def window_results(
     sizes = windowed.groupBy("window_id").agg(F.count("*").alias("n_samples"))
 
     def flagged(df, score, name):
+        if flag_order == "column":
+            return A.first_features(df.filter("flagged"), M.FEATURES, 5, keys, name)
         return A.top_features(df.filter("flagged"), score, 5, keys, name)
 
     out = (
