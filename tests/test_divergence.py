@@ -179,3 +179,30 @@ def test_kl_against_the_window_before(spark):
         ref = long(spark, {(0, f): parts[w - 1, f] for f in ("a", "b")}).drop("w")
         fixed = {r.feature: r.kl for r in D.kl_kde(cur.filter(F.col("w") == w), ref, W).collect()}
         assert all(got[w, f] == pytest.approx(fixed[f], rel=1e-9, abs=1e-12) for f in ("a", "b"))
+
+
+def test_kl_of_whole_windows_is_the_general_one(spark, monkeypatch):
+    """One pass a window, reference cells by groups of windows: heavy tails, gaps, constant and missing sides."""
+    monkeypatch.setattr(D, "WINDOWS_TOGETHER", 2)  # several groups of windows
+    rng = np.random.default_rng(8)
+    ref = {"a": rng.normal(size=500), "b": rng.standard_cauchy(300), "c": np.full(40, 2.0), "d": np.array([1.0, 2.0, 3.0])}
+    rows, parts = [], {}
+    for w in range(9):
+        n = 3 if w == 8 else 60
+        cols = {"a": rng.normal(w / 4, 1, n), "b": rng.standard_cauchy(n) * 10**w, "c": np.full(n, 2.0 + (w % 2)), "d": rng.normal(size=n)}
+        if w == 7:
+            cols["a"] = np.full(n, np.nan)
+        cols["b"][::5] = np.nan
+        rows += [(w, *[None if v != v else float(v) for v in r]) for r in zip(*cols.values())]
+        parts |= {(w, f): v for f, v in cols.items()}
+    wide = spark.createDataFrame(rows, "w long, a double, b double, c double, d double")
+    r = long(spark, {(0, f): v for f, v in ref.items()}).drop("w")
+    want = {(x.w, x.feature): x.kl for x in D.kl_kde(long(spark, parts), r, W).collect()}
+    found = D.kl_windows(wide, r, W, ["a", "b", "c", "d"])
+    assert found.columns == ["w", "feature", "kl"]
+    got = {(x.w, x.feature): x.kl for x in found.collect()}
+    assert set(got) == set(want) and max(want.values()) > 1
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, rel=1e-9, abs=1e-9), k
+    plan = found._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "_kernel_sums" not in plan and " add(" not in plan  # no block of cells is copied per window
