@@ -219,6 +219,26 @@ def test_lines(spark, docs, empty):
     assert line_dedup.remove_near_lines(empty).count() == 0
 
 
+def test_all_lines_of_a_hash_meet(spark):
+    """Lines of the same words share a hash; each near one goes, not only those like the first or last of the hash."""
+    words = [f"longer{i}word{i * i}" for i in range(14)] + ["ab", "cd"]
+    rows = []
+    for g, order in enumerate([words, words[::-1], words[1::2] + words[::2], words[7:] + words[:7]]):
+        at = order.index("ab")
+        near = order[:at] + order[at + 1 :] + ["ab"] if at < 15 else ["ab", *order[:-1]]
+        rows += [(10 * g, " ".join(order)), (10 * g + 1, " ".join(near))]
+    got = {r.doc_id: r.n_removed for r in line_dedup.remove_near_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(i % 10 == 1) for i, _ in rows}
+
+
+def test_lines_of_very_many_words(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "MAX_WORDS", 150)
+    words = [f"w{i % 61}" for i in range(1000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:400], "another", *words[400:]])), (3, "short line")]
+    got = {r.doc_id: r.n_removed for r in line_dedup.remove_near_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 0}
+
+
 def test_search(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 4) / 7]) for i in range(300)]
