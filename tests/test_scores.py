@@ -244,3 +244,12 @@ def test_observation_windows_by_hour_count_gaps(spark):
     for r, (e, h, mean, std, label) in zip(got, want):
         assert (r.patient_id, r.start_hour, r.label) == (e, h, label)
         assert r.x_mean == (None if mean is None else pytest.approx(mean)) and r.x_std == pytest.approx(std)
+
+
+def test_tables_of_windows_are_not_broadcast(spark):
+    """A table with a row or more per window grows with the stream, so no join may send it through the driver."""
+    scores = spark.createDataFrame([(0, "f", 1.0)], "window_id long, feature string, sadi double")
+    psi = scores.withColumnRenamed("sadi", "psi")
+    w1 = spark.createDataFrame([(0, 0.5)], "window_id long, w1 double")
+    plan = I.d_total(scores, psi, w1, ["window_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") >= 2
