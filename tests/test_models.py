@@ -277,3 +277,19 @@ def test_first_flagged_features_follow_the_columns(spark):
     got = {r.w: r.f for r in A.first_features(rows, list("dcba"), 2, ["w"], "f").collect()}
     assert got == {1: ["d", "c"], 2: ["c"]}
     assert A.first_features(rows.filter("false"), ["a"], 2, ["w"], "f").count() == 0
+
+
+def test_fit_over_pieces_of_rows():
+    """A fit of more rows than one piece, a short last piece included, meets its first-order conditions in every fold."""
+    r = np.random.default_rng(5)
+    n = 2 * AD.ROWS_TOGETHER + 37
+    d = AD.Domains(r.normal(size=(n, 3)), r.normal(size=(400, 3)) + 0.3, 3)
+    train = (d.fold[None, :] != np.arange(d.k)[:, None]).astype(float)
+    beta, done = d.fit(train)
+    x = np.column_stack([np.ones(len(d.x)), d.x])
+    for b, t in zip(beta, train):
+        q = 1 / (1 + np.exp(-x @ b))
+        ones = (t * d.y).sum()
+        weight = t * np.where(d.y == 1, t.sum() / (2 * ones), t.sum() / (2 * (t.sum() - ones)))
+        slope = x.T @ (weight * (d.y - q)) - np.array([1e-9, 1, 1, 1]) * b
+        assert done and np.abs(slope).max() < 1e-6
