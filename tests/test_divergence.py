@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -206,3 +208,18 @@ def test_kl_of_whole_windows_is_the_general_one(spark, monkeypatch):
         assert got[k] == pytest.approx(v, rel=1e-9, abs=1e-9), k
     plan = found._jdf.queryExecution().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "_kernel_sums" not in plan and " add(" not in plan  # no block of cells is copied per window
+
+
+def test_psi_shuffles_counts_and_not_values(spark):
+    """Few groups of many rows: values are binned where they lie, also next to NULL values and NULL keys."""
+    ref = spark.createDataFrame([("f", float(i)) for i in range(100)], "feature string, value double")
+    rows = [(k, "f", float(v) if v % 7 else None) for k in ("a", "b", None) for v in range(200)]
+    cur = spark.createDataFrame(rows, "k string, feature string, value double")
+    cells = D.psi_cells(cur, D.distribution_profile(ref), ["k"])
+    plan = cells._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate \[[^\]]*value#", plan)
+    got = {r["k"]: r for r in cells.collect()}
+    assert [sum(got["a"][f"_c{i}"] for i in range(10)), got["a"]["n_cur"], got[None]["n_cur"]] == [171, 171, 0]
+    both = {r["k"]: r for r in D.psi_both(cells, ["k"]).collect()}
+    index = {r["k"]: r["psi"] for r in D.psi_score(cells, ["k"], variant="index").collect()}
+    assert both["b"]["psi_index"] == index["b"] and both["b"]["psi"] > 0.2
