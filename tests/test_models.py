@@ -293,3 +293,27 @@ def test_fit_over_pieces_of_rows():
         weight = t * np.where(d.y == 1, t.sum() / (2 * ones), t.sum() / (2 * (t.sum() - ones)))
         slope = x.T @ (weight * (d.y - q)) - np.array([1e-9, 1, 1, 1]) * b
         assert done and np.abs(slope).max() < 1e-6
+
+
+def test_fit_of_many_rows_starts_near(monkeypatch):
+    """The curvature of all rows is needed once, at the fit of some of them, and the fit is that of Newton steps from nothing."""
+    r = np.random.default_rng(6)
+    d = AD.Domains(r.normal(size=(12_000, 4)), r.normal(size=(700, 4)) * 1.2 + 0.2, 3)
+    train = (d.fold[None, :] != np.arange(d.k)[:, None]).astype(float)
+    monkeypatch.setattr(AD, "START_ROWS", 10**9)
+    plain, _ = d.fit(train)
+    monkeypatch.setattr(AD, "START_ROWS", 2000)
+    sizes, whole = [], AD.Logits.at_point
+    monkeypatch.setattr(AD.Logits, "at_point", lambda self, beta: sizes.append(sum(p[1].shape[1] for p in self.pieces)) or whole(self, beta))
+    near, done = d.fit(train)
+    assert done and sizes.count(12_700) == 1
+    assert np.abs(near - plain).max() < 1e-9
+
+
+def test_fit_that_does_not_settle_takes_newton_steps():
+    x = np.vstack([np.ones(4000), np.r_[np.linspace(-1, -0.5, 2000), np.linspace(0.5, 1, 2000)]])
+    y, weight = np.repeat([0.0, 1.0], 2000), np.ones((1, 4000))
+    fits = AD.Logits(x, y, weight)
+    far = np.array([[0.0, 40.0]])
+    assert not fits.steady(far, 1e-8)[1]
+    assert np.abs(fits.slope(fits.newton(np.zeros((1, 2)), 1e-8)[0])).max() < 1e-6
