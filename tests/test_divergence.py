@@ -223,3 +223,37 @@ def test_psi_shuffles_counts_and_not_values(spark):
     both = {r["k"]: r for r in D.psi_both(cells, ["k"]).collect()}
     index = {r["k"]: r["psi"] for r in D.psi_score(cells, ["k"], variant="index").collect()}
     assert both["b"]["psi_index"] == index["b"] and both["b"]["psi"] > 0.2
+
+
+@pytest.mark.parametrize(("n", "points", "scale"), [(1000, 100, 1.0), (7, 100, 1.0), (1500, 101, 1.0), (1000, 100, 1e6), (1000, 3, 1.0)])
+def test_kernels_share_exponentials(n, points, scale, monkeypatch):
+    """Sums equal the plain ones, a far value included, and steps below a bandwidth take far fewer exponentials."""
+    r = np.random.default_rng(n + points)
+    x = r.normal(size=n)
+    x[0] *= scale
+    at, h = np.linspace(x.min() - 0.5, x.max() + 0.5, points), n**-0.2
+    want = np.exp(-0.5 * ((at[:, None] - x) / h) ** 2).sum(1)
+    made, exp = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda z, *a, **k: made.append(np.size(z)) or exp(z, *a, **k))
+    got = D._kernels_at(at, x, h)
+    assert np.allclose(got, want, rtol=1e-11, atol=1e-200)
+    if scale == 1.0 and points >= 100 and n >= 1000:
+        assert sum(made) < n * points / 4
+
+
+def test_stream_rows_are_explained_before_windows_multiply_them(spark):
+    """Cutting explained rows into windows gives the components of window rows, a missing value and a row without index included."""
+    from tidewatch.operators.windows import count_windows
+    from tidewatch.plans import model as M
+    from tidewatch.plans import monitor
+
+    r = np.random.default_rng(11)
+    pdf = pd.DataFrame({f: np.round(r.normal(M.CENTER[f], M.SCALE[f], 260), 4) for f in M.FEATURES}).assign(row_idx=np.arange(260))
+    rows = spark.createDataFrame(pdf).withColumn("qty_std", F.when(F.col("row_idx") % 9 > 0, F.col("qty_std")))
+    rows = rows.unionByName(rows.filter("row_idx = 3").withColumn("row_idx", F.lit(None).cast("long")))
+    cut = lambda df: count_windows(df, 80, 40)
+    ref = rows.filter("row_idx < 100")
+    got = monitor.components(ref, rows, ["window_id"], cut=cut).toPandas().sort_values(["window_id", "feature"], ignore_index=True)
+    want = monitor.components(ref, cut(rows), ["window_id"]).toPandas().sort_values(["window_id", "feature"], ignore_index=True)
+    assert len(want) == 7 * len(M.FEATURES)
+    pd.testing.assert_frame_equal(got, want)
