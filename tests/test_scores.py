@@ -253,3 +253,18 @@ def test_tables_of_windows_are_not_broadcast(spark):
     w1 = spark.createDataFrame([(0, 0.5)], "window_id long, w1 double")
     plan = I.d_total(scores, psi, w1, ["window_id"])._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") >= 2
+
+
+def test_stages_are_written_smaller(spark, tmp_path):
+    """Stage tables keep their rows in less room than by the session's codec."""
+    from pathlib import Path
+
+    from tidewatch.functions.runtime import SMALL, materialize
+
+    def room(df):
+        return sum(Path(f.removeprefix("file://")).stat().st_size for f in df.inputFiles())
+
+    rows = spark.range(0, 60_000, 1, 2).select((F.col("id") * 1e-3).alias("x"), F.sqrt("id").alias("y"))
+    plain, small = materialize(rows, "plain"), materialize(rows, "small", **SMALL)
+    assert room(small) < room(plain)
+    assert small.exceptAll(plain).count() == 0 and small.count() == 60_000
