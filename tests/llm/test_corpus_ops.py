@@ -265,6 +265,15 @@ def test_language_model(docs, empty):
     assert brown_lm.score_texts(empty.withColumn("held", F.lit(False))).count() == 0
 
 
+def test_scoring_moves_no_word_lists(docs):
+    """Texts meet the counts of their words by a numbered chunk; its list of hashes and training counts stay behind."""
+    scored = brown_lm.score_texts(docs.withColumn("held", F.lit(False)), passes=1)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    (meets,) = [line for line in plan if "FlatMapCoGroupsInArrow" in line]
+    assert "codes#" in meets and "vocab#" not in meets and "train#" not in meets
+    assert dict(brown_lm.code_texts(docs.withColumn("held", F.lit(False))).dtypes)["chunk"] == "bigint"
+
+
 def test_toxicity(spark, docs, empty):
     rng = np.random.default_rng(2)
     rows = [(i, " ".join(rng.choice(["the", "river", "walks", "stone", "green"], 12)) + (" awfulness" if i % 4 == 0 else "")) for i in range(200)]

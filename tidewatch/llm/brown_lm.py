@@ -19,8 +19,6 @@ class before it. The probabilities of all known words, the unknown word and the
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +37,7 @@ CLASS_SHARE, KAPPA = 0.95, 10.0
 #: Words whose counts travel in one row.
 BLOCK = 256
 
-_CODED = "chunk string, doc_ids array<long>, held array<boolean>, sizes array<long>, vocab array<long>, train array<long>, codes binary"
+_CODED = "doc_ids array<long>, held array<boolean>, sizes array<long>, vocab array<long>, train array<long>, codes binary"
 
 
 def _pack(codes: np.ndarray) -> bytes:
@@ -66,10 +64,9 @@ def code_texts(docs: DataFrame) -> DataFrame:
             training = np.repeat(~np.array(held, bool), counts)
             train = np.bincount(codes[training] - 1, minlength=len(vocab)) if len(codes) else np.zeros(0, np.int64)
             full = np.insert(codes, np.cumsum(counts), 0)
-            name = f"{zlib.crc32(repr(ids).encode()):08x}{int(hashes.sum(dtype=np.uint64)):016x}{len(texts)}"
-            row = [[name], [ids], [held], [(counts + 1).tolist()], [vocab[order].view(np.int64)], [train], [_pack(full)]]
-            kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["chunk", "doc_ids", "held", "sizes", "vocab", "train", "codes"])
+            row = [[ids], [held], [(counts + 1).tolist()], [vocab[order].view(np.int64)], [train], [_pack(full)]]
+            kinds = [pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["doc_ids", "held", "sizes", "vocab", "train", "codes"])
 
         ids, held, texts, total = [], [], [], 0
         for batch in batches:
@@ -82,9 +79,9 @@ def code_texts(docs: DataFrame) -> DataFrame:
         if ids:
             yield chunk(ids, held, texts)
 
-    # two equal chunks would share a name, and a name must be one row
+    # a chunk's number holds only for rows that are written once and read back
     coded = docs.select("doc_id", "text", "held").mapInArrow(emit, _CODED)
-    return coded.withColumn("chunk", F.concat_ws("-", "chunk", F.monotonically_increasing_id()))
+    return coded.select(F.monotonically_increasing_id().alias("chunk"), "*")
 
 
 def _rows(batch: pa.RecordBatch):
@@ -252,8 +249,8 @@ def score_texts(docs: DataFrame, head_words: int = HEAD, passes: int = PASSES) -
     base_of = lambda c: np.log10((c + 0.5) / (n_train + 0.5 * (n_types + 1)))
 
     def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        row = next(_rows(left.select(["doc_ids", "held", "sizes", "vocab", "codes"]).combine_chunks().to_batches()[0]))
-        size = len(row["vocab"]) + 1
+        row = next(_rows(left.select(["doc_ids", "held", "sizes", "codes"]).combine_chunks().to_batches()[0]))
+        size = left.column("n_words")[0].as_py() + 1
         c, cls = np.zeros(size, np.int64), np.full(size, -1, np.int64)
         spot = right.column("i").to_numpy() + 1
         c[spot], cls[spot] = right.column("c").to_numpy(), right.column("cls").to_numpy()
@@ -278,7 +275,8 @@ def score_texts(docs: DataFrame, head_words: int = HEAD, passes: int = PASSES) -
 
     looked = spots.select(F.col("chunk").alias("of"), "i", "h").join(words, "h").select("of", "i", "c", "cls")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return coded.groupBy("chunk").cogroup(looked.groupBy("of")).applyInArrow(score, schema)
+    texts = coded.select("chunk", "doc_ids", "held", "sizes", F.size("vocab").alias("n_words"), "codes")
+    return texts.groupBy("chunk").cogroup(looked.groupBy("of")).applyInArrow(score, schema)
 
 
 def query(spark, sf_dir) -> DataFrame:
