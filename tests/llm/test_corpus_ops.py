@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.functions.runtime import materialize
 from tidewatch.llm import brown_lm, decontamination, jaccard_join, line_dedup, mixing, pivot_search, sharding, substring_dedup, toxicity
 from tidewatch.llm.components import components
 
@@ -231,6 +232,31 @@ def test_all_lines_of_a_hash_meet(spark):
     assert got == {i: int(i % 10 == 1) for i, _ in rows}
 
 
+def test_block_keys_are_shuffled_once(spark, monkeypatch):
+    """Neighbouring hashes come from one exchange of block keys joined with itself, and are those of all pairs."""
+    rng = np.random.default_rng(11)
+    hashes = [int(x) for x in rng.integers(-(1 << 63), 1 << 63, 40)]
+    hashes += [x ^ sum(1 << int(b) for b in rng.choice(63, k, replace=False)) for k in (1, 2, 3, 4) for x in hashes[:12]]
+    plans = {}
+
+    def noted(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return materialize(df, label)
+
+    monkeypatch.setattr(line_dedup, "materialize", noted)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pairs, near = line_dedup.candidate_pairs(spark.createDataFrame(list(enumerate(hashes)), "h long, sh long"))
+        got = {(r.a, r.b) for r in pairs.collect()}
+        seen = {(r.sh, r.sh2) for r in near.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    want = {(i, j) for i in range(len(hashes)) for j in range(i + 1, len(hashes)) if ((hashes[i] ^ hashes[j]) & (1 << 64) - 1).bit_count() <= 3}
+    assert got == want and seen == {tuple(sorted((hashes[i], hashes[j]))) for i, j in want}
+    assert "blocks" not in plans and "ReusedExchange" in plans["near-hashes"]
+
+
 def test_lines_of_very_many_words(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "MAX_WORDS", 150)
     words = [f"w{i % 61}" for i in range(1000)]
