@@ -46,6 +46,14 @@ def test_psv_files_with_other_headers(spark, tmp_path):
     assert sorted(r.line for r in rejects.collect()) == ["38|91", "39|92|2|7"]
 
 
+def test_psv_files_are_opened_once(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1.0, 1), ("b", 2.0, 1), ("b", None, 2)], "patient_id string, HR double, ICULOS int")
+    S.write_psv(df, str(tmp_path / "out"), 2)
+    rows, rejects = S.read_psv(spark, str(tmp_path / "out"), layout="folders")
+    assert not any(str(tmp_path) in f for df in (rows, rejects) for f in df.inputFiles())
+    assert sorted((r.patient_id, r.HR, r.ICULOS) for r in rows.fillna(-1.0).collect()) == [("a", 1.0, 1), ("b", -1.0, 2), ("b", 2.0, 1)]
+
+
 def test_upload_formats(spark, tmp_path):
     (tmp_path / "h.csv").write_text("PatientID,HR,Gender\n7,80,1\n")
     df, kind = S.read_upload(spark, str(tmp_path / "h.csv"))
