@@ -90,3 +90,15 @@ def test_null_key_over_many_blocks(many_blocks):
     assert [r.rn for r in got] == list(range(1, 2001)) and {r.rn_total for r in got} == {2000}
     filled = O.last_known(df, ["k"], ["t"], ["v"]).orderBy("t").collect()
     assert [r.v for r in filled] == [float(i // 100 * 100) for i in range(2000)]
+
+
+def test_lookup_carries_a_double_position_once(spark, monkeypatch):
+    written, plain = [], O.materialize
+    monkeypatch.setattr(O, "materialize", lambda df, *label, **options: written.append(df.columns) or plain(df, *label, **options))
+    table = spark.createDataFrame([(1.0, 10), (2.0, 20)], "t double, v int")
+    for kind, want in (("double", []), ("int", ["_at"])):  # another type needs its own column to compare with
+        asked = spark.createDataFrame([(0,), (1,), (3,), (None,)], f"x {kind}" if kind == "int" else "x int").select(F.col("x").cast(kind).alias("x"))
+        got = O.asof_lookup(asked, table, [], "x", "t", ["v"], [])
+        assert got.dtypes == [("x", kind), ("v", "int")]
+        assert {r.x: r.v for r in got.collect()} == {None: None, 0: None, 1: 10, 3: 20}
+        assert [c for c in written[-1] if c == "_at"] == want
